@@ -36,7 +36,7 @@ def unit_root_statistic(y: np.ndarray) -> float:
     if most < 0 or np.ptp(y) == 0:
         return -np.inf
     dy, best = np.diff(y), (np.inf, 0)
-    for k, start in [(k, most) for k in range(most + 1)]:
+    for k, start in ((k, most) for k in range(most + 1)):
         x = np.column_stack([y[start:-1], np.ones(len(dy) - start), *_lagged(dy, list(range(1, k + 1)), start)])
         _, _, sse = _ols(x, dy[start:])
         m = len(dy) - start
@@ -110,7 +110,7 @@ def _series_schema(df: DataFrame, keys: list[str], extra: str) -> T.StructType:
 def difference_orders(df: DataFrame, keys: list[str], time: str, y: str, most: int = 2) -> DataFrame:
     """``d`` per series: differences needed before a unit root is rejected at 5 %."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values(time)[y].dropna().to_numpy(dtype=float)
         return pd.DataFrame([(*key, difference_order(v, most), len(v))], columns=[*keys, "d", "n"])
 
@@ -149,7 +149,7 @@ def fit_orders(
         (F.col("_d") if d is not None else F.col("_o.d")).alias("d"),
     )
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(time)
         o = pdf.iloc[0][names].astype(int).tolist()
         known = pdf["_y"].notna().to_numpy()

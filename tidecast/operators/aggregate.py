@@ -129,7 +129,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: list[str] = ()) -> DataF
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n")
     )
     if by:
-        rows = lookup_join(rows, span, by, "inner")
+        rows = lookup_join(rows, span, by, "inner", computed=True)
     else:
         s = span.first()
         rows = rows.withColumns(
@@ -203,7 +203,7 @@ def box_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     within = (F.col("_v") >= F.col("q1") - reach) & (F.col("_v") <= F.col("q3") + reach)
     return (
-        lookup_join(rows, quartiles, by, "inner")
+        lookup_join(rows, quartiles, by, "inner", computed=True)
         .groupBy(*by, "q1", "median", "q3")
         .agg(
             F.min(F.when(within, F.col("_v"))).alias("whisker_low"),

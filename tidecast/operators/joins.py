@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidecast.session import materialise
 
 # A lookup table is broadcast only when it was counted and has no more rows than this.
 BROADCAST_ROWS = 200_000
@@ -16,14 +19,21 @@ HOT_SHARE = 0.002
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Count ``df`` as far as the bound, never further."""
-    return df.limit(rows + 1).count() <= rows
+    return rows > 0 and df.limit(rows + 1).count() <= rows
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of all rows: fewer than 1 / share of them."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    return counts.where(F.col("_n") > share * total).select(*keys)
+def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> list[tuple]:
+    """Keys holding more than ``share`` of all rows, in one job; there are at most 1 / share.
+
+    The roll-up adds one line with the number of all rows, always the largest count. Counts are
+    combined on the map side, so a hot key is one row per task when it reaches the shuffle.
+    """
+    counts = (
+        df.select(F.struct(*keys).alias("_k")).rollup("_k").agg(F.count("*").alias("_n"), F.grouping("_k").alias("_all"))
+    )
+    top = counts.orderBy(F.desc("_n"), F.desc("_all")).limit(int(1 / share) + 1).collect()
+    total = sum(r["_n"] for r in top if r["_all"])
+    return [tuple(r["_k"]) for r in top if not r["_all"] and r["_n"] > share * total]
 
 
 def lookup_join(
@@ -32,23 +42,30 @@ def lookup_join(
     keys: list[str],
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
-    hot: DataFrame | None = None,
+    hot: list[tuple] | None = None,
+    computed: bool = False,
 ) -> DataFrame:
     """Join a large table to a lookup table that is unique on ``keys``.
 
     A lookup of counted, bounded size is broadcast. Beyond the bound the join shuffles, except for
-    rows of hot keys: their lookup rows number fewer than 1 / HOT_SHARE, so those are broadcast.
-    ``hot`` may name the hot keys when the caller already knows them.
+    rows of hot keys: their lookup rows number at most 1 / HOT_SHARE, so those are broadcast.
+    ``hot`` may name the hot keys when the caller knows them. ``computed`` says that the lookup is
+    itself the result of a job; it is then written once, so that counting it and joining it do not
+    run that job twice.
     """
+    if computed:
+        lookup = materialise(lookup, "lookup")
     if fits_broadcast(lookup, broadcast_rows):
         return large.join(F.broadcast(lookup), keys, how)
     if hot is None:
         hot = hot_keys(large, keys)
-    hot = F.broadcast(hot)
-    in_lookup = lookup.join(hot, keys, "left_semi")
-    return large.join(hot, keys, "left_semi").join(F.broadcast(in_lookup), keys, how).unionByName(
-        large.join(hot, keys, "left_anti").join(lookup, keys, how)
-    )
+    if not hot:
+        return large.join(lookup, keys, how)
+    schema = T.StructType([large.schema[k] for k in keys])
+    few = F.broadcast(large.sparkSession.createDataFrame(hot, schema))
+    theirs = F.broadcast(lookup.join(few, keys, "left_semi"))
+    cold = large.join(few, keys, "left_anti").join(lookup, keys, how)
+    return large.join(few, keys, "left_semi").join(theirs, keys, how).unionByName(cold)
 
 
 def lookup_with_default(
@@ -56,7 +73,7 @@ def lookup_with_default(
 ) -> DataFrame:
     """Left lookup of ``value``; rows without a match get ``default``."""
     fill = default if isinstance(default, Column) else F.lit(default)
-    return lookup_join(df, mapping, [key]).withColumn(value, F.coalesce(F.col(value), fill))
+    return lookup_join(df, mapping, [key], computed=True).withColumn(value, F.coalesce(F.col(value), fill))
 
 
 def select_rows(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,7 +89,7 @@ def align(actual: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame
 def with_benchmark(results: DataFrame, case: str, model: str, metric: str, name: str) -> DataFrame:
     """Attach the benchmark model's metric of the same case to every row of a result table."""
     bench = results.where(F.col(model) == name).select(case, F.col(metric).alias(f"{metric}_{name}"))
-    return lookup_join(results, bench, [case])
+    return lookup_join(results, bench, [case], computed=True)
 
 
 def coverage_gaps(results: DataFrame, case: str, model: str) -> DataFrame:

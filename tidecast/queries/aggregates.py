@@ -28,6 +28,7 @@ from tidecast.queries.registry import (
     PREDICTIONS,
     predictions,
 )
+from tidecast.session import materialise
 
 
 @query("e01_daily_sum", f"SELECT cast(t AS varchar) AS t, y FROM {F1} x")
@@ -201,9 +202,7 @@ def density(spark, sf):
        max(value) FILTER (WHERE value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_high,
        count(*) FILTER (WHERE value NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers
        FROM events JOIN (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
-       quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1) q USING (event_type) GROUP BY 1, 2, 3, 4, q1, median, q3""".replace(
-        "GROUP BY 1, 2, 3, 4, q1, median, q3", "GROUP BY event_type, q1, median, q3"
-    ),
+       quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1) q USING (event_type) GROUP BY event_type, q1, median, q3""",
 )
 def box_summary(spark, sf):
     return rounded(agg.box_summary(read(spark, sf, "events"), "value", ["event_type"]))
@@ -222,12 +221,11 @@ def lag_regression(spark, sf):
 
 @query(
     "e18_best_model",
-    f"""SELECT x.case_id, 'rmse' AS metric, x.model AS best_model FROM {RESULTS} x JOIN (SELECT case_id, min(rmse) AS m FROM {RESULTS} y GROUP BY 1) b
-        ON x.case_id = b.case_id AND x.rmse = b.m UNION ALL SELECT x.case_id, 'r2', x.model FROM {RESULTS} x
-        JOIN (SELECT case_id, max(r2) AS m FROM {RESULTS} y GROUP BY 1) b ON x.case_id = b.case_id AND x.r2 = b.m""",
+    f"""SELECT case_id, 'rmse' AS metric, arg_min(model, rmse) AS best_model FROM {RESULTS} x GROUP BY 1
+        UNION ALL SELECT case_id, 'r2', arg_max(model, r2) FROM {RESULTS} y GROUP BY 1""",
 )
 def best_model(spark, sf):
-    rows = results(spark, sf)
+    rows = materialise(results(spark, sf), "results")
     picks = [agg.best_model(rows, m).select("case_id", F.lit(m).alias("metric"), "best_model") for m in ("rmse", "r2")]
     return picks[0].unionByName(picks[1])
 
@@ -237,6 +235,6 @@ def best_model(spark, sf):
     f"SELECT DISTINCT 'model' AS kind, model AS name FROM {RESULTS} x UNION ALL SELECT DISTINCT 'case_id', case_id FROM {RESULTS} y",
 )
 def inventory(spark, sf):
-    rows = results(spark, sf)
+    rows = materialise(results(spark, sf), "results")
     parts = [agg.inventory(rows, c).select(F.lit(c).alias("kind"), F.col(c).alias("name")) for c in ("model", "case_id")]
     return parts[0].unionByName(parts[1])

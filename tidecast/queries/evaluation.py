@@ -25,6 +25,7 @@ from tidecast.queries.registry import (
     rounded,
     weekly,
 )
+from tidecast.session import materialise
 from tidecast.queries.scans import LINE, daily_line
 
 def _one(name, metric, sql, digits=3):
@@ -77,7 +78,7 @@ def error_distribution(spark, sf):
     from tidecast.operators.quantiles import exact_quantiles
 
     by = ["case_id", "model"]
-    e = ev.errors(predictions(spark, sf)).persist()
+    e = materialise(ev.errors(predictions(spark, sf)), "errors")
     signed = exact_quantiles(e, "error", [0.5], by).select(*by, F.col("q").alias("median_error"))
     size = (
         exact_quantiles(e, "abs_error", [0.5, 0.95], by)
@@ -142,7 +143,8 @@ ABLATION = f"""(SELECT *, CASE WHEN t <= DATE '2000-06-01' THEN 'train' ELSE 'te
         SELECT round(r2_without, 4) + 0.0 AS r2_without, round(r2_with, 4) + 0.0 AS r2_with, round(r2_with - r2_without, 4) + 0.0 AS gain FROM m""",
 )
 def leakage_ablation(spark, sf):
-    rows = monthly(spark, sf).withColumn("split", F.when(F.col("t") <= "2000-06-01", "train").otherwise("test")).persist()
+    rows = monthly(spark, sf).withColumn("split", F.when(F.col("t") <= "2000-06-01", "train").otherwise("test"))
+    rows = materialise(rows, "panel")
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     out = regress.leakage_ablation(train, test, ["price"], "leak", "y", regress.linear("y"))
     return rounded(out, 4)

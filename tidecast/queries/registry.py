@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidecast.operators.aggregate import money_sum
 from tidecast.operators.joins import lookup_join
+from tidecast.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,9 +30,10 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def r(c: Column | str, digits: int = 6) -> Column:
-    """Rounded double without a negative zero."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.round(col.cast("double"), digits) + F.lit(0.0)
+    """Double rounded half away from zero in binary, as the reference SQL rounds; no negative zero."""
+    col = (F.col(c) if isinstance(c, str) else c).cast("double")
+    scale = F.lit(10.0**digits)
+    return F.signum(col) * (F.floor(F.abs(col) * scale + 0.5) / scale) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -303,7 +305,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     from tidecast.models.forecast import last_value_forecast, seasonal_forecast
     from tidecast.operators.aggregate import simple_regression
 
-    s = all_series(spark, sf).persist()
+    s = materialise(all_series(spark, sf), "series")
     keys = ["case_id", "series_id"]
     train, test = s.where("split = 'train'"), s.where("split = 'test'")
     far = {row["season"]: row["h"] for row in test.groupBy("season").agg(F.max("step").alias("h")).collect()}

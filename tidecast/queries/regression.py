@@ -34,6 +34,7 @@ from tidecast.queries.registry import (
     weekly,
 )
 from tidecast.queries.scans import LINE, daily_line
+from tidecast.session import materialise
 from tidecast.schemas import CROSS_SECTION, DAILY_SERIES, ENTITY_PANEL, WEEKLY_PANEL, Case
 
 PANEL_X = ["price", "competitor", "discount", "inventory"]
@@ -64,7 +65,7 @@ def linear_regression(spark, sf):
 
 
 def scored(spark, sf, estimator, x=PANEL_X):
-    rows = panel_rows(spark, sf).persist()
+    rows = materialise(panel_rows(spark, sf), "panel")
     model = regress.fit(rows.where("split = 'train'"), x, estimator)
     return regress.predict(model, rows.where("split = 'test'"))
 
@@ -95,7 +96,7 @@ def ordered_encoding(spark, sf):
 
 @query("k13_category_boosting")
 def category_boosting(spark, sf):
-    rows = panel_rows(spark, sf).persist()
+    rows = materialise(panel_rows(spark, sf), "panel")
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     encoded = ordered_statistic(train, "p_type", "y", ["s_nationkey", "p_type", "t"])
     x = [*PANEL_X, "p_type_ordered"]
@@ -105,7 +106,8 @@ def category_boosting(spark, sf):
 
 
 def stopped(spark, sf):
-    rows = random_split(panel_rows(spark, sf).withColumnRenamed("split", "part"), ["s_nationkey", "p_type", "t"]).persist()
+    rows = random_split(panel_rows(spark, sf).withColumnRenamed("split", "part"), ["s_nationkey", "p_type", "t"])
+    rows = materialise(rows, "panel")
     train = rows.where("part = 'train' AND split = 'train'")
     val = rows.where("part = 'train' AND split = 'test'")
     return regress.early_stopping(train, val, PANEL_X, regress.boosting("y", maxIter=10, maxDepth=4, stepSize=0.5), 3)
@@ -119,7 +121,7 @@ def early_stopping(spark, sf):
 
 @query("k15_shallow_network")
 def shallow_network(spark, sf):
-    rows = panel_rows(spark, sf).persist()
+    rows = materialise(panel_rows(spark, sf), "panel")
     net = network.train_network(
         rows.where("split = 'train'"), PANEL_X, "y", hidden=(96,), learning_rate=0.02, epochs=12, patience=5
     )
@@ -129,7 +131,7 @@ def shallow_network(spark, sf):
 
 @query("k15_deep_network")
 def deep_network(spark, sf):
-    rows = panel_rows(spark, sf).persist()
+    rows = materialise(panel_rows(spark, sf), "panel")
     net = network.train_network(
         rows.where("split = 'train'"), PANEL_X, "y", hidden=(128, 64, 32), learning_rate=0.01, epochs=8, patience=5
     )

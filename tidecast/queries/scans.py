@@ -171,9 +171,8 @@ def prediction_files(spark, sf):
 
 @query(
     "a11_summary_json",
-    f"""SELECT b.case_id, b.model, round(b.rmse, 3) + 0.0 AS rmse,
-        (SELECT count(*) FROM {RESULTS} n) AS n_results FROM {RESULTS} b
-        JOIN (SELECT case_id, min(rmse) AS best FROM {RESULTS} x GROUP BY 1) m ON b.case_id = m.case_id AND b.rmse = m.best""",
+    f"""SELECT case_id, arg_min(model, rmse) AS model, round(min(rmse), 3) + 0.0 AS rmse,
+        (SELECT count(*) FROM {RESULTS} n) AS n_results FROM {RESULTS} b GROUP BY 1""",
 )
 def summary_json(spark, sf):
     path = fresh_path(spark, "summary")

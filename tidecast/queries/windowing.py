@@ -112,33 +112,27 @@ def average_rank(spark, sf):
     return rounded(win.average_rank(results(spark, sf), "rmse"))
 
 
-def _decompose_sql(source: str, keys: str, t: str, period: int) -> str:
-    half = period // 2
+def _decompose_sql(source: str, keys: list[str], t: str, period: int) -> str:
+    half, by = period // 2, ", ".join(keys)
+    around = f"w ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING"
     if period % 2:
-        trend = f"sum(y) OVER (w ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING) / {period}"
+        trend = f"sum(y) OVER ({around}) / {period}"
     else:
-        trend = (
-            f"(sum(y) OVER (w ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING) "
-            f"- 0.5 * (lag(y, {half}) OVER w + lead(y, {half}) OVER w)) / {period}"
-        )
+        trend = f"(sum(y) OVER ({around}) - 0.5 * (lag(y, {half}) OVER w + lead(y, {half}) OVER w)) / {period}"
     return f"""WITH b AS (SELECT *, row_number() OVER w - 1 AS pos,
-      CASE WHEN count(y) OVER (w ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING) = {2 * half + 1} THEN {trend} END AS trend
-      FROM {source} s WINDOW w AS (PARTITION BY {keys} ORDER BY {t})),
-      c AS (SELECT {keys}, pos % {period} AS phase, avg(y - trend) AS raw FROM b GROUP BY ALL),
-      d AS (SELECT {keys}, avg(raw) AS lev FROM c GROUP BY ALL)
-      SELECT {keys}, cast({t} AS varchar) AS t, round(y, 3) + 0.0 AS y, round(trend, 3) + 0.0 AS trend, round(raw - lev, 3) + 0.0 AS seasonal,
-      round(y - trend - (raw - lev), 3) + 0.0 AS residual FROM b JOIN c ON c.phase = b.pos % {period} AND {{join_c}} JOIN d ON {{join_d}}"""
-
-
-EVENT_DECOMPOSE = _decompose_sql(F5, "event_type", "t", 7)
-WEEK_DECOMPOSE = _decompose_sql(F2, "r_name, c_mktsegment", "wk", 4)
+      CASE WHEN count(y) OVER ({around}) = {2 * half + 1} THEN {trend} END AS trend
+      FROM {source} s WINDOW w AS (PARTITION BY {by} ORDER BY {t})),
+      c AS (SELECT {by}, pos % {period} AS phase, avg(y - trend) AS raw FROM b GROUP BY ALL),
+      d AS (SELECT {by}, avg(raw) AS lev FROM c GROUP BY ALL)
+      SELECT {", ".join("b." + k for k in keys)}, cast({t} AS varchar) AS t, round(y, 3) + 0.0 AS y, round(trend, 3) + 0.0 AS trend,
+      round(raw - lev, 3) + 0.0 AS seasonal, round(y - trend - (raw - lev), 3) + 0.0 AS residual
+      FROM b JOIN c ON c.phase = b.pos % {period} AND {" AND ".join(f"b.{k} = c.{k}" for k in keys)}
+      JOIN d ON {" AND ".join(f"b.{k} = d.{k}" for k in keys)}"""
 
 
 @query(
     "f09_decompose_odd",
-    EVENT_DECOMPOSE.format(join_c="c.event_type = b.event_type", join_d="d.event_type = b.event_type").replace(
-        "SELECT event_type, cast(t", "SELECT b.event_type, cast(t"
-    ),
+    _decompose_sql(F5, ["event_type"], "t", 7),
 )
 def decompose_odd(spark, sf):
     return rounded(win.decompose(event_days(spark, sf), "y", ["event_type"], "t", 7), 3)
@@ -146,10 +140,7 @@ def decompose_odd(spark, sf):
 
 @query(
     "f09_decompose_even",
-    WEEK_DECOMPOSE.format(
-        join_c="c.r_name = b.r_name AND c.c_mktsegment = b.c_mktsegment",
-        join_d="d.r_name = b.r_name AND d.c_mktsegment = b.c_mktsegment",
-    ).replace("SELECT r_name, c_mktsegment, cast(wk", "SELECT b.r_name, b.c_mktsegment, cast(wk"),
+    _decompose_sql(F2, PANEL, "wk", 4),
 )
 def decompose_even(spark, sf):
     out = win.decompose(weekly(spark, sf), "y", PANEL, "wk", 4)
