@@ -17,7 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.operators.split import growing_prefixes, row_hash
+from tidecast.operators.split import row_hash, segments
 
 # Model settings of the compared configurations.
 FOREST = {"numTrees": 200, "maxDepth": 20, "minInstancesPerNode": 2}
@@ -174,11 +174,14 @@ def random_search(train: DataFrame, features: list[str], estimator: Estimator, s
 
 def accuracy_by_size(train: DataFrame, test: DataFrame, time: str, features: list[str], label: str, models: dict[str, Estimator], sizes: list[float], key: list[str]) -> list[tuple[str, float, float]]:
     """RMSE on the same test rows after training on growing prefixes: (model, size, rmse)."""
-    grown = growing_prefixes(train.select(*dict.fromkeys([time, label, *features, *key])), time, sizes, key).persist()
+    rows = train.select(*dict.fromkeys([time, label, *features, *key]))
+    n = rows.count()
+    sizes = sorted(sizes)
+    grown = segments(rows, time, [int(n * s) for s in sizes], key).persist()
     out = []
     try:
-        for size in sorted(sizes):
-            part = grown.where(F.col("size") == size)
+        for i, size in enumerate(sizes):
+            part = grown.where(F.col("segment") <= i)
             for name, estimator in models.items():
                 scored = predict(fit(part, features, estimator), test)
                 err = F.col(label) - F.col("y_pred")

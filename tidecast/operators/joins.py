@@ -10,16 +10,29 @@ from pyspark.sql import types as T
 
 from tidecast.session import materialise
 
-# A lookup table is broadcast only when it was counted and has no more rows than this.
+# A lookup table is broadcast only when it was measured and is no larger than this.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 2**20
 # A key is hot when it holds more than this share of the rows on the large side,
 # so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.002
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Count ``df`` as far as the bound, never further."""
-    return rows > 0 and df.limit(rows + 1).count() <= rows
+    """Measure rows and bytes of ``df`` as far as the row bound, never further."""
+    if rows <= 0:
+        return False
+    fixed, text = 0, []
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            text.append(F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            text.append(F.coalesce(F.octet_length(F.to_json(F.struct(f"`{f.name}`"))), F.lit(0)))
+        else:
+            fixed += 16
+    width = sum(text, F.lit(fixed)).cast("long")
+    seen = df.limit(rows + 1).select(width.alias("w")).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return seen[0] <= rows and seen[1] <= BROADCAST_BYTES
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> list[tuple]:
@@ -78,7 +91,7 @@ def lookup_with_default(
 
 def select_rows(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is listed: a left semi join."""
-    return df.join(ids, keys, "left_semi")
+    return lookup_join(df, ids.select(*keys).distinct(), keys, "left_semi", computed=True)
 
 
 def align(actual: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tidecast.operators.joins import union_all
@@ -46,6 +47,14 @@ def range_split(df: DataFrame, time: str, ranges: dict[str, tuple[int, int]]) ->
     return df.withColumn("split", label)
 
 
+def _until(df: DataFrame, time: str, date: datetime.date) -> Column:
+    """On or before a date, as a comparison of the plain column that a file scan can use."""
+    if isinstance(df.schema[time].dataType, T.DateType):
+        return F.col(time) <= F.lit(date)
+    following = (date + datetime.timedelta(days=1)).isoformat()
+    return F.col(time) < F.lit(following).cast(df.schema[time].dataType)
+
+
 @dataclass(frozen=True)
 class Cut:
     """First ``rows`` rows end inside the group of equal (date, hash) starting at ``start``."""
@@ -78,7 +87,8 @@ def find_cuts(df: DataFrame, time: str, sizes: list[int], key: list[str], seed:
             cuts.append(Cut(0, None, None, 0, 0))
             continue
         date, before, found = _reach(by_day, "d", rows)
-        todays = df.where(day == F.lit(date)).select(row_hash(key, seed).alias("h"))
+        eve = date - datetime.timedelta(days=1)
+        todays = df.where(_until(df, time, date) & ~_until(df, time, eve)).select(row_hash(key, seed).alias("h"))
         prefix = ""
         while found > ORDERED_HASHES and len(prefix) < 32:
             by_prefix = (
@@ -162,7 +172,7 @@ def temporal_split(
     if int(n * fraction) < 1:
         return df.withColumn("split", F.lit("test"))
     last, _, _ = _reach(by_day, "d", int(n * fraction))
-    return df.withColumn("split", F.when(F.to_date(time) <= F.lit(last), "train").otherwise("test"))
+    return df.withColumn("split", F.when(_until(df, time, last), "train").otherwise("test"))
 
 
 def validation_tail(df: DataFrame, time: str, share: float = 0.2, key: list[str] | None = None) -> DataFrame:
