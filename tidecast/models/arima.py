@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidecast.session import task_count
+
 # Fixed value: asymptotic 5 % point of the unit-root test with a constant (MacKinnon 2010).
 UNIT_ROOT_5PCT = -2.86154
 
@@ -114,9 +116,8 @@ def difference_orders(df: DataFrame, keys: list[str], time: str, y: str, most: i
         v = pdf.sort_values(time)[y].dropna().to_numpy(dtype=float)
         return pd.DataFrame([(*key, difference_order(v, most), len(v))], columns=[*keys, "d", "n"])
 
-    return df.select(*keys, time, F.col(y).cast("double").alias(y)).groupBy(*keys).applyInPandas(
-        one, _series_schema(df, keys, "d int, n int")
-    )
+    rows = df.select(*keys, time, F.col(y).cast("double").alias(y)).repartition(task_count(df.sparkSession), *keys)
+    return rows.groupBy(*keys).applyInPandas(one, _series_schema(df, keys, "d int, n int"))
 
 
 def fit_orders(
@@ -169,6 +170,7 @@ def fit_orders(
     schema = _series_schema(
         train, keys, ", ".join(f"{n} int" for n in names) + ", aic double, path array<double>, status string"
     )
+    rows = rows.repartition(task_count(train.sparkSession), *keys, *names)
     return rows.groupBy(*keys, *names).applyInPandas(one, schema)
 
 

@@ -11,9 +11,10 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
 from pyspark.sql import Window as W
 
+from tidecast.session import task_count
+
 MAX_POINTS = 200_000
 
 
@@ -115,16 +116,16 @@ def smooth(arrays: DataFrame, keys: list[str], candidates: list[tuple]) -> DataF
     through a shuffle.
     """
     spark = arrays.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = task_count(spark)
     any_mul = any("mul" in (c[0], c[1]) for c in candidates)
     fields = [f.name for f in CANDIDATE_SCHEMA]
     grid = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(c, fields)]) for c in candidates])
     few = arrays.select(*keys).limit(parts + 1).count() <= parts
     if few:
         cand = F.posexplode(grid).alias("_cid", "_c")
-        rows = arrays.select(*keys, "ys", cand).repartition(parts * 4, *keys, "_cid")
+        rows = arrays.select(*keys, "ys", cand).repartition(parts, *keys, "_cid")
     else:
-        rows = arrays.repartition(parts * 4, *keys).select(*keys, "ys", F.posexplode(grid).alias("_cid", "_c"))
+        rows = arrays.repartition(parts, *keys).select(*keys, "ys", F.posexplode(grid).alias("_cid", "_c"))
     rows = rows.select(*keys, "_cid", *[F.col(f"_c.{n}").alias(n) for n in fields], "ys")
 
     # Multiplicative parts need positive values: shift, and shift the forecast back.

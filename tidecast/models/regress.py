@@ -42,14 +42,15 @@ BOOSTING_SEARCH = {
 def linear(label: str, regularization: str | None = None, alpha: float = 1.0, train: DataFrame | None = None, intercept: bool = True) -> LinearRegression:
     """Ordinary, ridge or lasso regression with the penalty weight in the usual ``alpha`` scale.
 
-    Spark divides the ridge penalty by the label deviation, so ridge needs the training rows.
+    The normal solver reads the rows once. It divides the ridge penalty by the population deviation
+    of the label, so ridge needs the training rows.
     """
     base = LinearRegression(labelCol=label, fitIntercept=intercept, standardization=False)
     if regularization is None:
         return base.setRegParam(0.0)
     if regularization == "ridge":
-        s = train.agg(F.stddev_samp(label), F.count(label)).first()
-        return base.setElasticNetParam(0.0).setSolver("l-bfgs").setTol(1e-10).setRegParam(alpha * s[0] / s[1])
+        s = train.agg(F.stddev_pop(label), F.count(label)).first()
+        return base.setElasticNetParam(0.0).setSolver("normal").setRegParam(alpha * s[0] / s[1])
     if regularization == "lasso":
         return base.setElasticNetParam(1.0).setRegParam(alpha)
     raise ValueError(f"unknown regularization {regularization!r}")

@@ -86,14 +86,15 @@ def apply_scaler(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataF
     )
 
 
-def fit_target_encoding(df: DataFrame, column: str, target: str) -> tuple[DataFrame, float]:
+def fit_target_encoding(
+    df: DataFrame, column: str, target: str, overall: float | None = None
+) -> tuple[DataFrame, float]:
     """Mean target per category, and the overall mean for categories never seen."""
+    mean = F.avg(f"`{target}`")
     mapping = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(F.avg(target).alias(f"{column}_encoded"))
+        df.where(F.col(f"`{column}`").isNotNull()).groupBy(f"`{column}`").agg(mean.alias(f"{column}_encoded"))
     )
-    return mapping, df.agg(F.avg(target)).first()[0]
+    return mapping, df.agg(mean).first()[0] if overall is None else overall
 
 
 def apply_target_encoding(df: DataFrame, column: str, fitted: tuple[DataFrame, float]) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from tidecast.session import materialise
 
@@ -100,9 +101,12 @@ def align(actual: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame
 
 
 def with_benchmark(results: DataFrame, case: str, model: str, metric: str, name: str) -> DataFrame:
-    """Attach the benchmark model's metric of the same case to every row of a result table."""
-    bench = results.where(F.col(model) == name).select(case, F.col(metric).alias(f"{metric}_{name}"))
-    return lookup_join(results, bench, [case], computed=True)
+    """Attach the benchmark model's metric of the same case to every row of a result table.
+
+    A window over the models of a case, so the result table is computed once.
+    """
+    bench = F.max(F.when(F.col(model) == name, F.col(metric))).over(W.partitionBy(case))
+    return results.withColumn(f"{metric}_{name}", bench)
 
 
 def coverage_gaps(results: DataFrame, case: str, model: str) -> DataFrame:
@@ -111,6 +115,7 @@ def coverage_gaps(results: DataFrame, case: str, model: str) -> DataFrame:
     Each case keeps the set of its models; ``array_except`` against the set of all models leaves
     the gaps. Both sets are as long as the list of models, and the full set is one row.
     """
+    results = materialise(results.select(case, model).distinct(), "pairs")
     by_case = results.groupBy(case).agg(F.collect_set(model).alias("_have"))
     everything = [r[0] for r in results.select(model).distinct().limit(10_001).collect()]
     if len(everything) > 10_000:

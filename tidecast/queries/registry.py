@@ -187,28 +187,28 @@ F4 = """(SELECT s_nationkey, p_type, cast(date_trunc('month', l_shipdate) AS dat
 
 
 def monthly(spark: SparkSession, sf: str) -> DataFrame:
-    """s_nationkey, p_type, t, y, price, competitor, discount, inventory, leak."""
-    line = (
-        read(spark, sf, "lineitem")
-        .groupBy("l_partkey", "l_suppkey", F.to_date(F.date_trunc("month", "l_shipdate")).alias("t"))
-        .agg(
-            F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("q"),
-            F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("gross"),
-            F.sum(F.col("l_discount").cast("decimal(4,2)")).alias("disc"),
-            F.count("*").alias("n"),
-        )
+    """s_nationkey, p_type, t, y, price, competitor, discount, inventory, leak.
+
+    Parts and suppliers are looked up; the one shuffle carries sums per nation, type and month.
+    """
+    line = read(spark, sf, "lineitem").select(
+        "l_partkey",
+        "l_suppkey",
+        F.to_date(F.date_trunc("month", "l_shipdate")).alias("t"),
+        *[F.col(c).cast(f"decimal({p},2)").alias(c) for c, p in (("l_quantity", 18), ("l_extendedprice", 18), ("l_discount", 4))],
+    )
+    parts = read(spark, sf, "part").select(
+        F.col("p_partkey").alias("l_partkey"), "p_type", "p_size", F.col("p_retailprice").cast("decimal(18,2)").alias("retail")
     )
-    parts = read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_size", "p_retailprice")
     suppliers = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     joined = lookup_join(lookup_join(line, parts, ["l_partkey"], "inner"), suppliers, ["l_suppkey"], "inner")
-    q, n = F.sum("q").cast("double"), F.sum("n")
-    retail = F.sum(F.col("p_retailprice").cast("decimal(18,2)") * F.col("n")).cast("double")
+    q, n = F.sum("l_quantity").cast("double"), F.count("*")
     return joined.groupBy("s_nationkey", "p_type", "t").agg(
         q.alias("y"),
-        (F.sum("gross").cast("double") / q).alias("price"),
-        (retail / n).alias("competitor"),
-        (100 * F.sum("disc").cast("double") / n).alias("discount"),
-        F.sum(F.col("p_size") * F.col("n")).cast("double").alias("inventory"),
+        (F.sum("l_extendedprice").cast("double") / q).alias("price"),
+        (F.sum("retail").cast("double") / n).alias("competitor"),
+        (100 * F.sum("l_discount").cast("double") / n).alias("discount"),
+        F.sum("p_size").cast("double").alias("inventory"),
         (q + n / 100).alias("leak"),
     )
 

@@ -387,7 +387,9 @@ LINE_SPLIT = f"(SELECT *, {split_sql(*LINE_KEY)} AS split FROM {F3} l)"
          quantile_cont(p_retailprice, 0.99) AS h2, avg(l_quantity) AS g FROM {LINE_SPLIT} c WHERE split = 'train') q""",
 )
 def clean_cross_section(spark, sf):
-    rows = random_split(lines(spark, sf), LINE_KEY)
+    allowed = [*LINE_KEY, CLEAN_LINES.target, *CLEAN_LINES.approved]
+    # Several statistics are read from the joined rows, so those are written once.
+    rows = materialise(random_split(lines(spark, sf), LINE_KEY).select(*allowed, "split"), "lines")
     out = cleaning.clean_cross_section(rows, CLEAN_LINES, rows.where("split = 'train'"), keep=LINE_KEY)
     return rounded(out, 4)
 

@@ -43,6 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for work that costs time per series rather than per byte.
+
+    Passed to ``repartition`` so that small inputs are not merged into one long task.
+    """
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
