@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidecast.operators.aggregate import money_sum
 from tidecast.operators.joins import lookup_join
-from tidecast.session import materialise
+from tidecast.session import materialise, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,7 +96,7 @@ def weekly(spark: SparkSession, sf: str) -> DataFrame:
     """
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     per_order = (
-        read(spark, sf, "lineitem")
+        spread(read(spark, sf, "lineitem"), "l_orderkey")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
         .agg(
             F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("q"),
@@ -167,7 +167,7 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     parts = read(spark, sf, "part").select(
         F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", "p_size", "p_retailprice"
     )
-    with_part = lookup_join(read(spark, sf, "lineitem"), parts, ["l_partkey"], "inner")
+    with_part = lookup_join(spread(read(spark, sf, "lineitem")), parts, ["l_partkey"], "inner")
     return lookup_join(with_part, orders, ["l_orderkey"], "inner").withColumn(
         "leak", F.col("l_quantity") + F.col("l_tax")
     )
@@ -191,7 +191,7 @@ def monthly(spark: SparkSession, sf: str) -> DataFrame:
 
     Parts and suppliers are looked up; the one shuffle carries sums per nation, type and month.
     """
-    line = read(spark, sf, "lineitem").select(
+    line = spread(read(spark, sf, "lineitem")).select(
         "l_partkey",
         "l_suppkey",
         F.to_date(F.date_trunc("month", "l_shipdate")).alias("t"),

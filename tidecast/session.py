@@ -51,6 +51,17 @@ def task_count(spark: SparkSession) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle a file scan that has fewer partitions than there are cores; leave others alone.
+
+    For row-level work on small files only: a large table has more splits than cores.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys) if keys else scan.repartition(cores)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
