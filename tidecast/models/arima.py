@@ -83,8 +83,10 @@ def fit_and_forecast(y, x, x_next, order, seasonal=(0, 0, 0, 0)) -> tuple[float,
     if ma:
         first = np.column_stack([np.ones(n - m), *_lagged(w, list(range(1, m + 1)), m), xw[m:]])
         e[m:] = _ols(first, w[m:])[1]
+    # Residuals before the first usable row count as zero when leaving them out costs too many rows.
     start = (m + longest) if ma else longest
-    start = min(start, n - (len(ar) + len(ma) + xw.shape[1] + 3))
+    if ma and n - start < 5 * (len(ar) + len(ma) + xw.shape[1] + 1):
+        start = max(m, longest)
     second = np.column_stack(
         [np.ones(n - start), *_lagged(w, ar, start), *_lagged(e, ma, start), xw[start:]]
     )

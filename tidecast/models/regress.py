@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.operators.split import row_hash, segments
+from tidecast.session import keep
 
 # Model settings of the compared configurations.
 FOREST = {"numTrees": 200, "maxDepth": 20, "minInstancesPerNode": 2}
@@ -154,7 +155,7 @@ def random_search(train: DataFrame, features: list[str], estimator: Estimator, s
     grid = random_grid(estimator, space, draws)
     fold = F.pmod(F.conv(F.substring(row_hash(key), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    rows = assembler.transform(train.withColumn("_fold", fold)).select("features", estimator.getLabelCol(), "_fold").persist()
+    rows = keep(assembler.transform(train.withColumn("_fold", fold)).select("features", estimator.getLabelCol(), "_fold"))
     try:
         search = CrossValidator(
             estimator=estimator,
@@ -178,7 +179,7 @@ def accuracy_by_size(train: DataFrame, test: DataFrame, time: str, features: lis
     rows = train.select(*dict.fromkeys([time, label, *features, *key]))
     n = rows.count()
     sizes = sorted(sizes)
-    grown = segments(rows, time, [int(n * s) for s in sizes], key).persist()
+    grown = keep(segments(rows, time, [int(n * s) for s in sizes], key))
     out = []
     try:
         for i, size in enumerate(sizes):

@@ -34,7 +34,7 @@ from tidecast.queries.registry import (
     weekly,
 )
 from tidecast.queries.scans import LINE, daily_line
-from tidecast.session import materialise
+from tidecast.session import keep, materialise
 from tidecast.schemas import CROSS_SECTION, DAILY_SERIES, ENTITY_PANEL, WEEKLY_PANEL, Case
 
 PANEL_X = ["price", "competitor", "discount", "inventory"]
@@ -54,7 +54,7 @@ def panel_rows(spark, sf):
         SELECT model, round(slope, 4) + 0.0 AS slope, round(my - slope * mx, 2) + 0.0 AS intercept FROM b""",
 )
 def linear_regression(spark, sf):
-    rows = monthly(spark, sf).select("inventory", "y").persist()
+    rows = keep(monthly(spark, sf).select("inventory", "y"))
     out = []
     for name, kind, alpha in (("ols", None, 0.0), ("ridge", "ridge", 1e6), ("lasso", "lasso", 100.0)):
         fitted = regress.fit(rows, ["inventory"], regress.linear("y", kind, alpha, rows)).stages[-1]
@@ -147,7 +147,7 @@ def training_history(spark, sf):
 
 @query("k17_importances")
 def importances(spark, sf):
-    rows = monthly(spark, sf).persist()
+    rows = keep(monthly(spark, sf))
     out = []
     for name, e in (
         ("RandomForest", regress.forest("y", numTrees=8, maxDepth=5)),
@@ -191,7 +191,7 @@ def candidate_search(spark, sf):
     }
     scores = []
     for case, (rows, x) in tables.items():
-        rows = rows.persist()
+        rows = keep(rows)
         train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
         for units, rate in ((16, 0.05), (16, 0.01), (32, 0.01)):
             net = network.train_network(train, x, "y", (units,), rate, epochs=4, patience=5)

@@ -11,7 +11,7 @@ from tidecast.operators.joins import union_all
 from tidecast.operators.reshape import to_long
 from tidecast.queries.registry import F1, PREDICTIONS, RESULTS, daily, days, predictions, query, r, read, results, rounded
 from tidecast.schemas import DAILY_SERIES, require_columns
-from tidecast.session import fresh_path
+from tidecast.session import fresh_path, keep
 from tidecast.sources import models as saved
 from tidecast.sources import tables
 
@@ -138,7 +138,7 @@ RESULT_SCHEMA = T.StructType(
 )
 def case_files(spark, sf):
     folder = fresh_path(spark, "results")
-    rows = results(spark, sf).persist()
+    rows = keep(results(spark, sf))
     for case in ("case1", "case2", "case3", "case4"):
         cols = ["model", "mae", "rmse", "mape", "r2"] + (["rmsle"] if case == "case2" else [])
         tables.write_csv(rows.where(F.col("case_id") == case).select(*cols), f"{folder}/{case}_results.csv")
@@ -207,7 +207,7 @@ def saved_model(spark, sf):
 
 @query("a13_model_configurations")
 def model_configurations(spark, sf):
-    rows = daily_line(spark, sf).persist()
+    rows = keep(daily_line(spark, sf))
     models = {
         ("case1", "LinearRegression"): regress.fit(rows, ["x"], regress.linear("y")),
         ("case1", "RandomForest"): regress.fit(rows, ["x"], regress.forest("y", numTrees=5, maxDepth=4)),

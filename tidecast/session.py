@@ -76,3 +76,12 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep(df: DataFrame, name: str = "training") -> DataFrame:
+    """A table that many jobs will read, such as training rows: written once, then cached.
+
+    Reading the written files packs small ones together, so later jobs do not run one task per
+    shuffle partition; a lost executor costs a re-read, not a recomputation. Unpersist when done.
+    """
+    return materialise(df, name).persist()
