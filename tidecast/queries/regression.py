@@ -12,7 +12,8 @@ from tidecast.operators.encode import full_statistic, ordered_statistic
 from tidecast.operators.reshape import append_horizon
 from tidecast.operators.split import random_split, temporal_split
 from tidecast.operators.windows import lag_columns, rank_models, series
-from tidecast.plans import cleaning, experiment, features
+from tidecast.plans import cases, cleaning, experiment, features
+from tidecast.queries.projections import RANGES
 from tidecast.queries.expressions import CALENDAR_SQL, cyc_sql
 from tidecast.queries.registry import (
     F1,
@@ -434,3 +435,30 @@ def whole_experiment(spark, sf):
         settings={k: dict(v) for k, v in SMALL.items()},
     )
     return rounded(experiment.run(e, [*experiment.SERIES_MODELS, *experiment.ROW_MODELS]), 4)
+
+
+FAST = ["Naive", "SeasonalNaive", "LinearRegression"]
+
+
+@query("k24_daily_case")
+def daily_case(spark, sf):
+    raw = read(spark, sf, "orders").select(days("o_orderdate").alias("Date"), F.col("o_totalprice").alias("Order_Demand"))
+    return rounded(cases.compare([cases.daily_case(raw)], FAST), 4)
+
+
+@query("k24_weekly_case")
+def weekly_case(spark, sf):
+    raw = weekly(spark, sf).toDF(
+        "city_code", "category", "week", "num_orders", "base_price", "checkout_price", "emailer_for_promotion", "homepage_featured"
+    )
+    return rounded(cases.compare([cases.weekly_case(raw, ranges=RANGES)], FAST), 4)
+
+
+@query("k24_cross_section_case")
+def cross_section_case(spark, sf):
+    return rounded(cases.compare([cases.cross_section_case(cross_section(spark, sf), LINE_KEY)], FAST), 4)
+
+
+@query("k24_panel_case")
+def panel_case(spark, sf):
+    return rounded(cases.compare([cases.panel_case(entity_panel(spark, sf).drop("Units Ordered"))], FAST), 4)
