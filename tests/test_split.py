@@ -87,3 +87,14 @@ def test_top_n(spark):
     assert [r["k"] for r in split.top_n(df, "s", 2, ["k"]).collect()] == ["a", "b"]
     plan = split.top_n_by_group(df, ["k"], "s", 1, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_undated_rows_come_last(table):
+    df = table.withColumn("t", F.when(F.col("id") >= 50, F.col("t")))
+    got = split.temporal_split(df, "t", 0.5, whole_dates=False, key=KEY)
+    assert counts(got) == {"train": 500, "test": 500}
+    assert got.where("t IS NULL AND split = 'train'").count() == 0
+    with pytest.raises(ValueError, match="without a date"):
+        split.temporal_split(df, "t", 1.0)
+    with pytest.raises(ValueError):
+        split.random_split(df, KEY, 1.0)

@@ -77,7 +77,7 @@ def test_shared_folder(spark):
         session.shared_dir(Settings(None, "spark://cluster"))
     assert session.fresh_path(spark, "x") != session.fresh_path(spark, "x")
     kept = session.materialise(spark.range(5), "five")
-    assert kept.count() == 5 and kept.schema == spark.range(5).schema
+    assert kept.count() == 5 and kept.columns == ["id"]
 
 
 def test_summary_profile_and_cardinality(spark):

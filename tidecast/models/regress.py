@@ -8,7 +8,6 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
-    GBTRegressionModel,
     GBTRegressor,
     LinearRegression,
     RandomForestRegressor,

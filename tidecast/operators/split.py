@@ -33,6 +33,8 @@ def row_hash(key: list[str], seed: int = 42) -> Column:
 
 def random_split(df: DataFrame, key: list[str], test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """``split`` = train or test from the first 32 bits of the row hash. No shuffle."""
+    if not 0 <= test_share < 1:
+        raise ValueError("the test share is at least 0 and below 1")
     limit = f"{int(test_share * 2**32):08x}"
     return df.withColumn(
         "split", F.when(F.substring(row_hash(key, seed), 1, 8) < limit, "test").otherwise("train")
@@ -68,12 +70,14 @@ class Cut:
 
 def _reach(counts: DataFrame, order: str, rows: int) -> tuple:
     """The entry of an ordered count table that contains position ``rows`` - 1."""
-    w = W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    w = W.orderBy(F.asc_nulls_last(order)).rowsBetween(W.unboundedPreceding, 0)
     hit = (
         counts.withColumn("_end", F.sum("n").over(w))
         .where((F.col("_end") >= rows) & (F.col("_end") - F.col("n") < rows))
         .first()
     )
+    if hit[order] is None:
+        raise ValueError("the cut falls on rows without a date; drop those first")
     return hit[order], hit["_end"] - hit["n"], hit["n"]
 
 

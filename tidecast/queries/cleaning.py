@@ -10,7 +10,7 @@ from tidecast.operators import clean
 from tidecast.operators.joins import union_all
 from tidecast.operators.split import random_split
 from tidecast.queries.projections import GAPS, with_gaps
-from tidecast.queries.registry import days, query, r, read, rounded, split_sql
+from tidecast.queries.registry import query, r, read, rounded, split_sql
 
 
 @query(

@@ -20,7 +20,6 @@ from tidecast.queries.registry import (
     monthly,
     predictions,
     query,
-    r,
     results,
     rounded,
     weekly,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions import calendar as cal
 from tidecast.functions import ratios
-from tidecast.queries.registry import F1, F2, F4, daily, lines, monthly, query, r, read, rounded, weekly
+from tidecast.queries.registry import F1, F2, F4, daily, monthly, query, read, rounded, weekly
 
 PANEL = ["r_name", "c_mktsegment", "wk"]
 ENTITY = ["s_nationkey", "p_type", "t"]

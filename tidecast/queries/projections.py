@@ -10,7 +10,7 @@ from tidecast.operators.evaluate import deny_list_violations
 from tidecast.operators.joins import union_all
 from tidecast.operators.reshape import ordered_columns
 from tidecast.operators.split import range_split
-from tidecast.queries.registry import F2, F3, LINE_KEY, lines, query, r, read, rounded, weekly
+from tidecast.queries.registry import F2, F3, LINE_KEY, lines, query, read, weekly
 from tidecast.schemas import Case, allowed_columns, feature_columns
 
 # Policy of the cross-section test table.

@@ -123,9 +123,7 @@ def weekly(spark: SparkSession, sf: str) -> DataFrame:
     per_nation = roll(
         lookup_join(per_customer, customers, ["c_custkey"], "inner"), "c_nationkey", "c_mktsegment", "wk"
     )
-    places = read(spark, sf, "nation").join(
-        F.broadcast(read(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey")
-    )
+    places = read(spark, sf, "nation").join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     placed = lookup_join(
         per_nation, places.select(F.col("n_nationkey").alias("c_nationkey"), "r_name"), ["c_nationkey"], "inner"
     )
@@ -154,7 +152,7 @@ LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     customers = read(spark, sf, "customer").join(
-        F.broadcast(read(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")
+        read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )
     orders = lookup_join(
         read(spark, sf, "orders").select(

@@ -11,7 +11,7 @@ from tidecast.models import network, regress
 from tidecast.operators.encode import full_statistic, ordered_statistic
 from tidecast.operators.reshape import append_horizon
 from tidecast.operators.split import random_split, temporal_split
-from tidecast.operators.windows import lag_columns, rank_models, series
+from tidecast.operators.windows import rank_models
 from tidecast.plans import cases, cleaning, experiment, features
 from tidecast.queries.projections import RANGES
 from tidecast.queries.expressions import CALENDAR_SQL, cyc_sql
@@ -22,7 +22,6 @@ from tidecast.queries.registry import (
     F4,
     LINE_KEY,
     all_series,
-    daily,
     days,
     hash_sql,
     lines,

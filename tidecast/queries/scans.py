@@ -8,8 +8,7 @@ from pyspark.sql import types as T
 from tidecast.functions.text import parse_number, parse_timestamp
 from tidecast.models import regress
 from tidecast.operators.joins import union_all
-from tidecast.operators.reshape import to_long
-from tidecast.queries.registry import F1, PREDICTIONS, RESULTS, daily, days, predictions, query, r, read, results, rounded
+from tidecast.queries.registry import F1, PREDICTIONS, RESULTS, daily, predictions, query, r, read, results, rounded
 from tidecast.schemas import DAILY_SERIES, require_columns
 from tidecast.session import fresh_path, keep
 from tidecast.sources import models as saved

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidecast.models import regress
 from tidecast.operators import split
-from tidecast.operators.aggregate import top_correlations
 from tidecast.operators.reshape import append_horizon, tagged_union, to_long
 from tidecast.operators.windows import lag_columns, series
 from tidecast.queries.registry import (
@@ -15,16 +13,13 @@ from tidecast.queries.registry import (
     F4,
     F5,
     PREDICTIONS,
-    RESULTS,
     daily,
     event_days,
     hash_sql,
     monthly,
     predictions,
     query,
-    r,
     read,
-    results,
     rounded,
     split_sql,
     weekly,
