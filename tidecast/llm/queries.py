@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecast.llm import packing, token_files, topk
+from tidecast.llm import langid, packing, quality, token_counts, token_files, topk
 from tidecast.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,20 @@ def op3_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_token_files")
 def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.round_trip(read(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
+@query("op5_line_quality")
+def op5_line_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    return quality.predict(docs, quality.train(docs, read(spark, sf, "labels")))
+
+
+@query("op6_prefix_counts")
+def op6_prefix_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.budgets(read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from tidecast.llm.common import column, gather, offsets
 
 #: Chunks a Python worker keeps between slices.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 1_000_000
 #: Chunks encoded as one text.
 JOINED = 500
 _SPACE = np.zeros(256, bool)
@@ -52,28 +52,57 @@ def chunked(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return pieces.dictionary.to_pylist(), pieces.indices.to_numpy().astype(np.int64), np.searchsorted(starts, bounds)
 
 
-class Encoder:
-    """Ids of the chunks of a slice; one per Python worker and vocabulary."""
+class ChunkTable:
+    """Values of chunks, made once for each distinct chunk: ``make`` gives those of new chunks."""
 
-    _own: dict[str, Encoder] = {}
+    _own: dict[tuple[type, str], ChunkTable] = {}
+    kind = np.uint32
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
+        self.flat = np.zeros(0, self.kind)
         self.starts = self.lengths = np.zeros(0, np.int64)
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._own:
-            cls._own[path] = cls(path)
-        return cls._own[path]
+    def of(cls, path: str):
+        """The one of this Python worker."""
+        if (cls, path) not in cls._own:
+            cls._own[cls, path] = cls(path)
+        return cls._own[cls, path]
+
+    def make(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Values of ``chunks`` laid end to end, and the number of each."""
+        raise NotImplementedError
+
+    def table(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values, and each chunk's start and number of values in them."""
+        at = np.array([self.known.get(c, -1) for c in chunks], np.int64)
+        new = np.flatnonzero(at < 0)
+        flat, counts = self.make([chunks[i] for i in new])
+        begin, seen = len(self.flat), len(self.starts)
+        both = np.concatenate([self.flat, flat])
+        starts = np.concatenate([self.starts, begin + np.cumsum(counts) - counts])
+        lengths = np.concatenate([self.lengths, counts])
+        at[new] = seen + np.arange(len(new))
+        room = max(0, KEPT_CHUNKS - seen)
+        if room and len(new):
+            self.known.update((chunks[i], seen + j) for j, i in enumerate(new[:room]))
+            self.starts, self.lengths = starts[: seen + room].copy(), lengths[: seen + room].copy()
+            self.flat = both[: self.starts[-1] + self.lengths[-1]].copy()
+        return both, starts[at], lengths[at]
+
+
+class Encoder(ChunkTable):
+    """Token ids."""
 
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of ``chunks`` and the number of each."""
+    def __init__(self, path: str):
+        super().__init__(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def make(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joinable = [i for i, c in enumerate(chunks) if c[0] in "\t\n\v\f\r " and not c[-1].isspace()]
         alone = sorted(set(range(len(chunks))) - set(joinable))
         groups = [joinable[i : i + JOINED] for i in range(0, len(joinable), JOINED)] + [[i] for i in alone]
@@ -93,23 +122,6 @@ class Encoder:
         back = np.argsort(order)
         return flat[gather(np.cumsum(counts) - counts, counts, back)], counts[back]
 
-    def table(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Flat ids, and each chunk's start and number of ids in them."""
-        at = np.array([self.known.get(c, -1) for c in chunks], np.int64)
-        new = np.flatnonzero(at < 0)
-        flat, counts = self.encode([chunks[i] for i in new])
-        begin, seen = len(self.flat), len(self.starts)
-        both = np.concatenate([self.flat, flat])
-        starts = np.concatenate([self.starts, begin + np.cumsum(counts) - counts])
-        lengths = np.concatenate([self.lengths, counts])
-        at[new] = seen + np.arange(len(new))
-        room = max(0, KEPT_CHUNKS - seen)
-        if room and len(new):
-            self.known.update((chunks[i], seen + j) for j, i in enumerate(new[:room]))
-            self.starts, self.lengths = starts[: seen + room].copy(), lengths[: seen + room].copy()
-            self.flat = both[: self.starts[-1] + self.lengths[-1]].copy()
-        return both, starts[at], lengths[at]
-
 
 def token_ids(batch: pa.RecordBatch, path: str, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a slice laid end to end, and each text's bounds; ``end`` closes each text."""
