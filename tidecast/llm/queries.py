@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecast.llm import langid, packing, quality, token_counts, token_files, topk
+from tidecast.llm import langid, near_dups, packing, quality, token_counts, token_files, topk
 from tidecast.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op5_line_quality(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_prefix_counts")
 def op6_prefix_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.budgets(read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_tensored_minhash")
+def op9_tensored_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dups.deduplicate(read(spark, sf, "documents"))
