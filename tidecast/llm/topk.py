@@ -18,16 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import column, cores, numbers, to_batch
+from tidecast.llm.common import column, cores, to_batch
 
 #: Rows and queries of a block.
 ROW_BLOCK = 1024
 QUERY_BLOCK = 512
 #: Queries whose scores are held at once, so that the accumulator stays in cache.
-STRIDE = 128
+STRIDE = 64
 
-_PAIR = "query_id long, vec_id long, score long"
-_OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+#: In place of an identifier where a query has fewer rows.
+NONE = 2**63 - 1
 _LIMIT = 2**63 - 1
 
 
@@ -58,20 +58,21 @@ def blocks(rows: DataFrame, count: int, name: str) -> DataFrame:
     return dealt.groupBy(name).applyInArrow(pack, f"{name} long, ids binary, lens binary, weights binary")
 
 
-def grid(rows: DataFrame, queries: DataFrame, row_block: int, query_block: int) -> DataFrame:
-    """Every pair of a block of rows and a block of queries, once: an equality join on both numbers."""
-    n_rows, n_queries = rows.count(), queries.count()
-    r, q = max(1, -(-n_rows // row_block)), max(1, -(-n_queries // query_block))
-    left = blocks(rows, r, "rb").withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q - 1).cast("long"))))
-    right = blocks(queries, q, "qb").select(
-        "qb",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(r - 1).cast("long"))).alias("rb"),
-        *[F.col(c).alias(f"q_{c}") for c in ("ids", "lens", "weights")],
-    )
+def meetings(rows: DataFrame, queries: DataFrame, row_block: int, query_block: int) -> DataFrame:
+    """Every block of rows beside every block of queries, once, in sorted partitions.
+
+    Blocks of rows are dealt into as many parts as tasks need. For each (qb, part) the block of
+    queries comes first (rb is -1), then the part's blocks of rows, one after another.
+    """
     spark = rows.sparkSession
+    r, q = max(1, -(-rows.count() // row_block)), max(1, -(-queries.count() // query_block))
     tasks = max(2 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # Both sides are dealt by the join's own key, by number, so adaptive execution does not merge the grid into a few long tasks.
-    return left.repartition(tasks, "rb", "qb").join(right.repartition(tasks, "rb", "qb"), ["rb", "qb"])
+    parts = min(r, -(-tasks // q))
+    numbered = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    fields = ["qb", "part", "rb", "ids", "lens", "weights"]
+    left = blocks(rows, r, "rb").withColumn("part", F.pmod("rb", F.lit(parts))).withColumn("qb", numbered(q)).select(*fields)
+    right = blocks(queries, q, "qb").withColumn("part", numbered(parts)).withColumn("rb", F.lit(-1).cast("long")).select(*fields)
+    return left.unionByName(right).repartition(tasks, "qb", "part").sortWithinPartitions("qb", "part", "rb")
 
 
 def unpack(ids: bytes, lens: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -92,14 +93,48 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(scores))
 
 
-def merged(partial: DataFrame, k: int) -> DataFrame:
-    """The blocks' best of each query, merged and ranked."""
+def better(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of each line, best first, ties to the smaller identifier."""
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, index, find, kind: str, row_block: int, query_block: int) -> DataFrame:
+    """query_id, rank, vec_id, score of each query's ``k`` best rows.
+
+    ``index(ids, rows)`` prepares a block of rows, ids ascending; ``find(index, asked, queries, k)``
+    gives two arrays with a line of ``k`` per query: scores and identifiers, ``NONE`` and the
+    lowest score where there are fewer. A task keeps ``k`` rows per query of the block at hand,
+    so what is merged between tasks does not grow with the rows of a block.
+    """
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64() if kind == "double" else pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = lines = held = None
+
+        def done():
+            ids = held[1]
+            some = ids != NONE
+            yield to_batch(schema, query_id=np.repeat(asked, some.sum(axis=1)), vec_id=ids[some], score=held[0][some])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cell = {f: column(batch, f)[i].as_py() for f in ("rb", "ids", "lens", "weights")}
+                ids, matrix = unpack(cell["ids"], cell["lens"], cell["weights"])
+                if cell["rb"] < 0:
+                    if held is not None:
+                        yield from done()
+                    asked, lines, held = ids, matrix, None
+                elif asked is not None:
+                    found = find(index(ids, matrix), asked, lines, k)
+                    held = found if held is None else better(*(np.concatenate(x, axis=1) for x in zip(held, found, strict=True)), k)
+        if held is not None:
+            yield from done()
+
+    partial = meetings(vectors, queries, row_block, query_block).mapInArrow(work, f"query_id long, vec_id long, score {kind}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        partial.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def integer_type(rows: np.ndarray, queries: np.ndarray):
@@ -109,23 +144,49 @@ def integer_type(rows: np.ndarray, queries: np.ndarray):
 
 
 def accumulate(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Scores of rows x queries, one term after another."""
+    """Scores of queries x rows, one term after another, each scattered to the rows of its postings.
+
+    A term that most rows hold is added to all of them, with zero weights for the others.
+    """
     kind = integer_type(rows, queries)
     if kind is object:
         rows, queries = (np.array([int(y) for y in x.flat], object).reshape(x.shape) for x in (rows, queries))
     else:
         rows, queries = rows.astype(kind), queries.astype(kind)
-    scores = np.zeros((len(rows), len(queries)), kind)
+    scores, product = np.zeros((len(queries), len(rows)), kind), np.empty((len(queries), len(rows)), kind)
     for term in range(min(rows.shape[1], queries.shape[1])):
-        holders, asked = np.flatnonzero(rows[:, term]), np.flatnonzero(queries[:, term])
-        weights = rows[holders, term]
-        if len(asked) == len(queries):
-            scores[holders] += weights[:, None] * queries[None, :, term]
-        else:
-            scores[np.ix_(holders, asked)] += weights[:, None] * queries[None, asked, term]
+        weights, asked = rows[:, term], np.flatnonzero(queries[:, term])
+        holders = np.flatnonzero(weights)
+        if 2 * len(holders) > len(rows):
+            np.multiply(queries[:, term, None], weights[None, :], out=product)
+            np.add(scores, product, out=scores)
+        elif len(holders) and len(asked):
+            scores[np.ix_(asked, holders)] += queries[asked, term, None] * weights[None, holders]
     return scores
 
 
+def find_integers(block: tuple[np.ndarray, np.ndarray], asked: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block's best of each query by accumulation and partition selection."""
+    ids, rows = block
+    top, names = np.full((len(asked), k), -_LIMIT, np.int64), np.full((len(asked), k), NONE, np.int64)
+    place = len(ids) - 1 - np.arange(len(ids))
+    for at in range(0, len(asked), STRIDE):
+        scores = accumulate(rows, queries[at : at + STRIDE])
+        if scores.dtype == object:
+            scores = np.clip(scores, -_LIMIT, _LIMIT).astype(np.int64)
+        own = ids[None, :] == asked[at : at + STRIDE, None]
+        n = min(k, len(ids))
+        if np.abs(scores).max(initial=0) < 2**50:  # score and place in one number: ties are settled in the selection
+            key = np.where(own, -(2**62), scores.astype(np.int64) * len(ids) + place)
+            chosen = np.argpartition(key, len(ids) - n, axis=1)[:, len(ids) - n :]
+        else:
+            chosen = np.array([best(np.where(o, -_LIMIT, line), ids, n) for o, line in zip(own, scores, strict=True)])
+        kept = ~np.take_along_axis(own, chosen, 1)
+        top[at : at + STRIDE, :n] = np.where(kept, np.take_along_axis(scores, chosen, 1), -_LIMIT)
+        names[at : at + STRIDE, :n] = np.where(kept, ids[chosen], NONE)
+    return top, names
+
+
 def search_integers(vectors: DataFrame, queries: DataFrame, k: int = 20, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """Each query's ``k`` highest integer inner products among all rows but its own.
 
@@ -134,30 +195,7 @@ def search_integers(vectors: DataFrame, queries: DataFrame, k: int = 20, row_blo
     Vectors of unequal length meet as if the shorter ended in zeros. Empty tables give no rows.
     Scores beyond 64 bits are held at the limit of a long.
     """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                cell = {f: column(batch, f)[i].as_py() for f in batch.schema.names}
-                ids, rows = unpack(cell["ids"], cell["lens"], cell["weights"])
-                asked, all_queries = unpack(cell["q_ids"], cell["q_lens"], cell["q_weights"])
-                for at in range(0, len(asked), STRIDE):
-                    part = asked[at : at + STRIDE]
-                    scores = np.ascontiguousarray(accumulate(rows, all_queries[at : at + STRIDE]).T)
-                    found = []
-                    for query, line in zip(part, scores, strict=True):
-                        other = np.flatnonzero(ids != query)
-                        top = other[best(line[other], ids[other], k)]
-                        found.append((np.full(len(top), query), ids[top], [max(-_LIMIT - 1, min(_LIMIT, int(s))) for s in line[top]]))
-                    yield to_batch(
-                        _OUT,
-                        query_id=np.concatenate([f[0] for f in found]),
-                        vec_id=np.concatenate([f[1] for f in found]),
-                        score=[s for f in found for s in f[2]],
-                    )
-
-    pairs = grid(vectors, queries, row_block, query_block)
-    return merged(pairs.mapInArrow(work, _PAIR), k)
+    return search(vectors, queries, k, lambda ids, rows: (ids, rows), find_integers, "long", row_block, query_block)
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
