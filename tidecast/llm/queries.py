@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecast.llm import langid, near_dups, packing, quality, token_counts, token_files, topk
+from tidecast.llm import ann, langid, licenses, near_dups, packing, pieces, quality, token_counts, token_files, topk
 from tidecast.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,18 @@ def op6_prefix_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_tensored_minhash")
 def op9_tensored_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_dups.deduplicate(read(spark, sf, "documents"))
+
+
+@query("op2_multiprobe")
+def op2_multiprobe(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.nearest_vectors(read(spark, sf, "embeddings"))
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(read(spark, sf, "documents"))
+
+
+@query("op8_piece_lattice")
+def op8_piece_lattice(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.checked(read(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -26,10 +26,11 @@ _CONTROL = np.zeros(256, bool)
 _CONTROL[28:32] = True
 
 
-def chunked(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def chunked(texts: pa.Array, spaces: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct chunks of ``texts``, the code of each chunk in order, and each text's first chunk.
 
-    A chunk starts at ASCII white space after a character that is no white space of any kind.
+    A chunk starts at ASCII white space, with ``spaces`` at a space only, after a character that is
+    no white space of any kind.
     """
     texts = texts.cast(pa.large_string())
     if not len(texts):
@@ -42,7 +43,7 @@ def chunked(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     after[1 : len(data) + 1] = space | _CONTROL[data]
     after[2 : len(data) + 1] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
     after[3 : len(data) + 3] |= (data >= 0xE1) & (data <= 0xE3)
-    first = space & ~after[: len(data)]
+    first = (data == 32 if spaces else space) & ~after[: len(data)]
     first[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
     starts = np.flatnonzero(first)
     ends = np.append(starts[1:], len(data)).astype(np.int64)
