@@ -33,10 +33,10 @@ def test_daily_and_panel_cases_end_to_end(spark):
     e1, e4 = cases.daily_case(daily(spark), settings=FAST), cases.panel_case(panel(spark), settings=FAST)
     assert "demand_forecast" not in e4.features and "category_toys" in e4.features and e4.categories == ["category"]
     splits = {r["split"]: r["count"] for r in e1.rows.groupBy("split").count().collect()}
-    assert set(splits) == {"train", "val", "test"} and splits["test"] == 37 + 1
+    assert set(splits) == {"train", "val", "test"} and splits["test"] == 40
     got = {(r["case_id"], r["model"]): r for r in cases.compare([e1, e4], MODELS, folder, "2020-01-01").collect()}
     assert len(got) == 2 * len(MODELS) and all(r["status"] == "fitted" for r in got.values()), got
-    assert got["case1", "LinearRegression"]["mae"] < got["case1", "Naive"]["mae"]
+    assert got["case1", "LinearRegression"]["rmse"] < got["case1", "Naive"]["rmse"]
     assert got["case4", "CatBoost"]["r2"] > 0.5
     back = spark.read.parquet(f"{folder}/predictions")
     assert back.select("case_id", "model").distinct().count() == 2 * len(MODELS)

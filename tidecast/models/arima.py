@@ -31,10 +31,10 @@ def _lagged(v: np.ndarray, lags: list[int], start: int) -> list[np.ndarray]:
     return [v[start - k : len(v) - k] for k in lags]
 
 
-def unit_root_statistic(y: np.ndarray) -> float:
-    """t ratio of the level in the augmented regression; number of lags by AIC."""
+def unit_root_statistic(y: np.ndarray, lags: int | None = None) -> float:
+    """t ratio of the level in the augmented regression; number of lags by AIC, up to ``lags``."""
     n = len(y)
-    most = min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
+    most = min(int(np.ceil(12 * (n / 100) ** 0.25)) if lags is None else lags, n // 2 - 2)
     if most < 0 or np.ptp(y) == 0:
         return -np.inf
     dy, best = np.diff(y), (np.inf, 0)
@@ -52,9 +52,9 @@ def unit_root_statistic(y: np.ndarray) -> float:
     return float(beta[0] / np.sqrt(cov)) if cov > 0 else -np.inf
 
 
-def difference_order(y: np.ndarray, most: int = 2) -> int:
+def difference_order(y: np.ndarray, most: int = 2, lags: int | None = None) -> int:
     for d in range(most):
-        if unit_root_statistic(np.diff(y, d)) < UNIT_ROOT_5PCT:
+        if unit_root_statistic(np.diff(y, d), lags) < UNIT_ROOT_5PCT:
             return d
     return most
 
@@ -65,9 +65,32 @@ def _seasonal_lags(k: int, seasonal: int, s: int) -> list[int]:
     return sorted(lags - {0})
 
 
-def fit_and_forecast(y, x, x_next, order, seasonal=(0, 0, 0, 0)) -> tuple[float, np.ndarray]:
-    """AIC and forecasts of one order. ``x`` and ``x_next`` are regressors or have no columns."""
+def first_used(n: int, order, seasonal=(0, 0, 0, 0)) -> int:
+    """The first observation whose error counts for an order, on a series of ``n``.
+
+    Differencing takes d + s D observations, lags the longest of them, and moving-average terms
+    first a long autoregression of max(longest + 2, ln(n) squared) lags for the residuals.
+    """
     (p, d, q), (sp, sd, sq, s) = order, seasonal
+    gone = d + s * sd
+    ar, ma = _seasonal_lags(p, sp, s), _seasonal_lags(q, sq, s)
+    longest = max(ar + ma + [1])
+    return gone + longest + (_long_order(n - gone, longest) if ma else 0)
+
+
+def _long_order(n: int, longest: int) -> int:
+    return max(longest + 2, int(np.log(max(n, 2)) ** 2))
+
+
+def fit_and_forecast(y, x, x_next, order, seasonal=(0, 0, 0, 0), start: int | None = None) -> tuple[float, np.ndarray]:
+    """AIC and forecasts of one order. ``x`` and ``x_next`` are regressors or have no columns.
+
+    ``start`` is the first observation whose error counts; orders of one series are comparable
+    when they share it. A series without at least two more such observations than coefficients is
+    too short.
+    """
+    (p, d, q), (sp, sd, sq, s) = order, seasonal
+    start = first_used(len(y), order, seasonal) if start is None else start
     levels, w, xd = [], y.astype(float), np.vstack([x, x_next]).astype(float)
     for gap in [1] * d + [s] * sd:
         levels.append((gap, w[-gap:]))
@@ -76,17 +99,14 @@ def fit_and_forecast(y, x, x_next, order, seasonal=(0, 0, 0, 0)) -> tuple[float,
     xw = xd[:n]
     ar, ma = _seasonal_lags(p, sp, s), _seasonal_lags(q, sq, s)
     longest = max(ar + ma + [1])
-    m = min(max(longest + 2, int(np.log(max(n, 2)) ** 2)), n // 3)
-    if n < 3 * longest + len(ar) + len(ma) + xw.shape[1] + 5 or m < 1:
+    m = _long_order(n, longest)
+    start -= d + s * sd
+    if n - start < len(ar) + len(ma) + xw.shape[1] + 3:
         raise ValueError("series too short for this order")
     e = np.zeros(n)
     if ma:
         first = np.column_stack([np.ones(n - m), *_lagged(w, list(range(1, m + 1)), m), xw[m:]])
         e[m:] = _ols(first, w[m:])[1]
-    # Residuals before the first usable row count as zero when leaving them out costs too many rows.
-    start = (m + longest) if ma else longest
-    if ma and n - start < 5 * (len(ar) + len(ma) + xw.shape[1] + 1):
-        start = max(m, longest)
     second = np.column_stack(
         [np.ones(n - start), *_lagged(w, ar, start), *_lagged(e, ma, start), xw[start:]]
     )
@@ -111,12 +131,14 @@ def _series_schema(df: DataFrame, keys: list[str], extra: str) -> T.StructType:
     return T.StructType(head.fields + T._parse_datatype_string(f"struct<{extra}>").fields)
 
 
-def difference_orders(df: DataFrame, keys: list[str], time: str, y: str, most: int = 2) -> DataFrame:
+def difference_orders(
+    df: DataFrame, keys: list[str], time: str, y: str, most: int = 2, lags: int | None = None
+) -> DataFrame:
     """``d`` per series: differences needed before a unit root is rejected at 5 %."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values(time)[y].dropna().to_numpy(dtype=float)
-        return pd.DataFrame([(*key, difference_order(v, most), len(v))], columns=[*keys, "d", "n"])
+        return pd.DataFrame([(*key, difference_order(v, most, lags), len(v))], columns=[*keys, "d", "n"])
 
     rows = df.select(*keys, time, F.col(y).cast("double").alias(y)).repartition(task_count(df.sparkSession), *keys)
     return rows.groupBy(*keys).applyInPandas(one, _series_schema(df, keys, "d int, n int"))
@@ -136,44 +158,59 @@ def fit_orders(
     """Fit each candidate to each series: keys, order columns, aic, forecasts, status.
 
     ``orders`` holds (p, d, q, P, D, Q, s); a ``d`` table replaces the given d per series.
-    ``future`` holds the regressors of the horizon. Each candidate is its own group.
+    ``future`` holds the regressors of the horizon, at most ``horizon`` periods after the last
+    training period; forecasts are for those periods. Training periods without a value are left
+    out. All candidates of a series are scored on the same observations. Candidates are spread over
+    tasks when there are fewer series than tasks, and stay beside their series otherwise, so that
+    rows are not copied through a shuffle.
     """
     exog = list(exog)
     names = ["p", "d", "q", "sp", "sd", "sq", "s"]
-    rows = train.select(*keys, time, F.col(y).cast("double").alias("_y"), *exog)
+    ahead_ = F.lit(False).alias("_ahead")
+    rows = train.select(*keys, time, F.col(y).cast("double").alias("_y"), ahead_, *exog)
     if exog:
-        ahead = future.select(*keys, time, F.lit(None).cast("double").alias("_y"), *exog)
-        rows = rows.unionByName(ahead)
+        later = future.select(*keys, time, F.lit(None).cast("double").alias("_y"), F.lit(True).alias("_ahead"), *exog)
+        rows = rows.unionByName(later)
     if d is not None:
         rows = rows.join(d.select(*keys, F.col("d").alias("_d")), keys)
-    grid = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, names)]) for o in orders])
-    rows = rows.withColumn("_o", F.explode(grid)).select(
-        *keys, time, "_y", *exog, *[F.col(f"_o.{n}").alias(n) for n in names if n != "d"],
-        (F.col("_d") if d is not None else F.col("_o.d")).alias("d"),
-    )
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    parts = task_count(train.sparkSession)
+    own_d = d is not None
+    few = train.select(*keys).distinct().limit(parts + 1).count() <= parts
+    if few:
+        rows = rows.withColumn("_cid", F.explode(F.sequence(F.lit(0), F.lit(len(orders) - 1))))
+    by = [*keys, "_cid"] if few else keys
+
+    def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(time)
-        o = pdf.iloc[0][names].astype(int).tolist()
-        known = pdf["_y"].notna().to_numpy()
-        v = pdf["_y"].to_numpy(dtype=float)[known]
-        x = pdf[exog].to_numpy(dtype=float) if exog else np.zeros((len(pdf), 0))
-        ahead = x[~known][:horizon] if exog else np.zeros((horizon, 0))
-        try:
-            aic, path = fit_and_forecast(v, x[known], ahead, tuple(o[:3]), tuple(o[3:]))
-            status = "fitted" if np.isfinite(path).all() and np.isfinite(aic) else "failed"
-        except (ValueError, np.linalg.LinAlgError):
-            status = "failed"
-        if status == "failed":
-            aic, path = None, np.full(horizon, v[-1] if len(v) else np.nan)
-        head = list(key[: len(keys)])
-        return pd.DataFrame([(*head, *o, aic, path.tolist(), status)], columns=[*keys, *names, "aic", "path", "status"])
+        now, later = pdf[~pdf["_ahead"] & pdf["_y"].notna()], pdf[pdf["_ahead"]]
+        if len(later) > horizon or (exog and len(later) and len(now) and later[time].iloc[0] <= now[time].iloc[-1]):
+            raise ValueError(f"series {key}: the horizon must hold at most {horizon} periods, all after the training periods")
+        v = now["_y"].to_numpy(dtype=float)
+        x = now[exog].to_numpy(dtype=float) if exog else np.zeros((len(now), 0))
+        ahead = later[exog].to_numpy(dtype=float) if exog else np.zeros((horizon, 0))
+        all_ = [list(o) for o in orders]
+        if own_d:
+            all_ = [[o[0], int(pdf["_d"].iloc[0]), *o[2:]] for o in all_]
+        # Orders that fit the series at all; the common start is the latest among those.
+        starts = [first_used(len(v), tuple(o[:3]), tuple(o[3:])) for o in all_]
+        fits = [n for n, o in zip(starts, all_) if len(v) - n >= 3 + x.shape[1] + sum(map(len, (_seasonal_lags(o[0], o[3], o[6]), _seasonal_lags(o[2], o[5], o[6]))))]
+        start, out = max(fits, default=0), []
+        for o in [all_[int(pdf["_cid"].iloc[0])]] if few else all_:
+            try:
+                own = first_used(len(v), tuple(o[:3]), tuple(o[3:]))
+                aic, path = fit_and_forecast(v, x, ahead, tuple(o[:3]), tuple(o[3:]), max(own, start))
+                status = "fitted" if np.isfinite(path).all() and np.isfinite(aic) else "failed"
+            except (ValueError, np.linalg.LinAlgError):
+                status = "failed"
+            if status == "failed":
+                aic, path = None, np.full(len(ahead), v[-1] if len(v) else np.nan)
+            out.append((*key[: len(keys)], *o, aic, path.tolist(), status))
+        return pd.DataFrame(out, columns=[*keys, *names, "aic", "path", "status"])
 
     schema = _series_schema(
         train, keys, ", ".join(f"{n} int" for n in names) + ", aic double, path array<double>, status string"
     )
-    rows = rows.repartition(task_count(train.sparkSession), *keys, *names)
-    return rows.groupBy(*keys, *names).applyInPandas(one, schema)
+    return rows.repartition(parts, *by).groupBy(*by).applyInPandas(group, schema)
 
 
 def search_grid(most_p: int = 3, most_q: int = 3, d: int = 1) -> list[tuple]:

@@ -108,8 +108,11 @@ def _array_mean(a: Column) -> Column:
 
 
 def smooth(arrays: DataFrame, keys: list[str], candidates: list[tuple]) -> DataFrame:
-    """Run every candidate over every series: final state, squared error, AIC.
+    """Run every candidate over every series: final state, squared error, AIC, status.
 
+    Errors count from the longest season among the candidates that fit the series, so that all of
+    them are compared on the same observations. A series too short for every candidate gets one
+    row with status ``fallback`` that repeats its last value.
     One fold per (series, candidate) inside the SQL engine, carrying level, trend and the season
     as a rotating queue. Candidates become rows. They are spread over tasks when there are fewer
     series than partitions, and stay beside their series otherwise so that arrays are not copied
@@ -135,9 +138,12 @@ def smooth(arrays: DataFrame, keys: list[str], candidates: list[tuple]) -> DataF
     rows = rows.withColumn("shift", shift)
     if any_mul:
         rows = rows.withColumn("ys", F.transform("ys", lambda v: v + F.col("shift")))
+    needed = {(c[3] if c[1] != "none" else 1): (2 * c[3] if c[1] != "none" else 3) for c in candidates}
     rows = rows.withColumn("n", F.size("ys")).where(
         F.col("n") >= F.when(F.col("seasonal") == "none", 3).otherwise(2 * F.col("season"))
     )
+    common = F.greatest(F.lit(0), F.lit(0), *[F.when(F.col("n") >= least, F.lit(skip)).otherwise(0) for skip, least in needed.items()])
+    rows = rows.withColumn("_from", common)
     s = F.col("season")
     first, second = F.slice("ys", F.lit(1), s), F.slice("ys", s + 1, s)
     rows = rows.withColumns({"_m1": _array_mean(first), "_m2": _array_mean(second)})
@@ -173,14 +179,15 @@ def smooth(arrays: DataFrame, keys: list[str], candidates: list[tuple]) -> DataF
             new.alias("l"),
             moved.alias("b"),
             F.concat(F.slice(queue, F.lit(2), F.size(queue)), F.array(swing)).alias("q"),
-            (state["sse"] + (y - fitted) * (y - fitted)).alias("sse"),
+            (state["sse"] + F.when(state["i"] >= F.col("_from"), (y - fitted) * (y - fitted)).otherwise(0.0)).alias("sse"),
+            (state["i"] + 1).alias("i"),
         )
 
     start = F.struct(
-        F.col("_m1").alias("l"), b0.cast("double").alias("b"), q0.alias("q"), F.lit(0.0).alias("sse")
+        F.col("_m1").alias("l"), b0.cast("double").alias("b"), q0.alias("q"), F.lit(0.0).alias("sse"), s.cast("int").alias("i")
     )
     folded = F.aggregate(F.slice("ys", s + 1, F.col("n")), start, step)
-    used = (F.col("n") - s).cast("double")
+    used = (F.col("n") - F.col("_from")).cast("double")
     weights = (
         1
         + (F.col("trend") != "none").cast("int") * 2
@@ -188,7 +195,7 @@ def smooth(arrays: DataFrame, keys: list[str], candidates: list[tuple]) -> DataF
         + F.col("damped").cast("int")
         + 1
     )
-    return (
+    fitted = (
         rows.withColumn("_f", folded)
         .select(
             *keys,
@@ -200,23 +207,38 @@ def smooth(arrays: DataFrame, keys: list[str], candidates: list[tuple]) -> DataF
             F.col("_f.b").alias("slope"),
             F.col("_f.q").alias("queue"),
             F.col("_f.sse").alias("sse"),
+            (used * F.log(F.greatest(F.col("_f.sse") / used, F.lit(1e-300))) + 2 * weights).alias("aic"),
+            F.lit("fitted").alias("status"),
         )
-        .withColumn("aic", used * F.log(F.greatest(F.col("sse") / used, F.lit(1e-300))) + 2 * weights)
     )
+    plain = {"trend": "none", "seasonal": "none", "damped": False, "season": 1, "alpha": 1.0, "beta": 0.0, "gamma": 0.0, "phi": 1.0}
+    none = F.lit(None).cast("double")
+    short = arrays.where(F.size("ys") < min(needed.values())).select(
+        *keys,
+        F.lit(-1).alias("_cid"),
+        *[F.lit(v).alias(n) for n, v in plain.items()],
+        F.size("ys").alias("n"),
+        F.lit(0.0).alias("shift"),
+        F.element_at("ys", -1).alias("level"),
+        F.lit(0.0).alias("slope"),
+        F.array(F.lit(0.0)).alias("queue"),
+        none.alias("sse"),
+        none.alias("aic"),
+        F.lit("fallback").alias("status"),
+    )
+    return fitted.unionByName(short)
 
 
 def pick_best(fitted: DataFrame, keys: list[str], measure: str = "aic") -> DataFrame:
     """The candidate with the smallest measure per series; ties go to the first candidate."""
     rest = [c for c in fitted.columns if c not in keys]
-    order = F.struct(measure, "_cid")
-    best = fitted.where(F.col(measure).isNotNull()).groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), order).alias("_b")
-    )
+    order = F.struct(F.coalesce(measure, F.lit(float("inf"))).alias("m"), "_cid")
+    best = fitted.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_b"))
     return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest if c != "_cid"])
 
 
 def smoothing_forecast(best: DataFrame, keys: list[str], horizon: int) -> DataFrame:
-    """Forecast steps from the final state: keys, step, y_pred."""
+    """Forecast steps from the final state: keys, step, y_pred, status."""
     steps = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")
     h = F.col("step")
     damp = F.when(F.col("phi") == 1, h.cast("double")).otherwise(
@@ -227,7 +249,7 @@ def smoothing_forecast(best: DataFrame, keys: list[str], horizon: int) -> DataFr
         F.col("level") + damp * F.col("slope")
     )
     full = F.when(F.col("seasonal") == "mul", path * season).otherwise(path + season)
-    return best.select("*", steps).select(*keys, "step", (full - F.col("shift")).alias("y_pred"))
+    return best.select("*", steps).select(*keys, "step", (full - F.col("shift")).alias("y_pred"), "status")
 
 
 def smoothing_auto(
@@ -238,12 +260,4 @@ def smoothing_auto(
     ``status`` says which of the two a forecast is.
     """
     arrays = series_arrays(df, keys, time, y)
-    best = pick_best(smooth(arrays, keys, all_variants(season)), keys)
-    fitted = smoothing_forecast(best, keys, horizon)
-    plain = last_value_forecast(df, keys, time, y, horizon).withColumnRenamed("y_pred", "_last")
-    return plain.join(fitted, [*keys, "step"], "left").select(
-        *keys,
-        "step",
-        F.coalesce("y_pred", "_last").alias("y_pred"),
-        F.when(F.col("y_pred").isNull(), "fallback").otherwise("fitted").alias("status"),
-    )
+    return smoothing_forecast(pick_best(smooth(arrays, keys, all_variants(season)), keys), keys, horizon)

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
+    GBTRegressionModel,
     GBTRegressor,
     LinearRegression,
     RandomForestRegressor,
 )
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.operators.split import row_hash, segments
@@ -70,13 +72,36 @@ def category_boosting(label: str, **settings) -> GBTRegressor:
 
 
 def fit(train: DataFrame, features: list[str], estimator: Estimator) -> PipelineModel:
-    """Assemble the features and fit. Names in every report come from the assembler."""
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    return Pipeline(stages=[assembler, estimator]).fit(train)
+    """Assemble the features and fit on the complete rows.
+
+    Names in every report come from the assembler, which keeps rows with missing features, so that
+    scoring loses none.
+    """
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    return Pipeline(stages=[assembler, estimator]).fit(complete(train, [*features, estimator.getLabelCol()]))
+
+
+def complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without a null or NaN in ``columns``."""
+    return df.dropna(subset=list(dict.fromkeys(columns)))
+
+
+def predict(model: PipelineModel, df: DataFrame, status: bool = False) -> DataFrame:
+    """Every row of ``df`` with ``y_pred``, null where a feature is missing.
+
+    With ``status``, a column says ``scored`` or ``missing features``.
+    """
+    whole = F.lit(True)
+    for f in model.stages[0].getInputCols():
+        value = F.col(f"`{f}`")
+        whole = whole & value.isNotNull() & ~F.isnan(value.cast("double"))
+    out = model.transform(df).withColumn("y_pred", F.when(whole, F.col("prediction"))).drop("prediction", "features")
+    return out.withColumn("status", F.when(whole, "scored").otherwise("missing features")) if status else out
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(df).withColumnRenamed("prediction", "y_pred").drop("features")
+def unscored(predictions: DataFrame) -> int:
+    """Rows without a prediction."""
+    return predictions.where(F.col("y_pred").isNull()).count()
 
 
 def importances(model: PipelineModel, top: int | None = None) -> list[tuple[str, float]]:
@@ -111,8 +136,13 @@ def coefficients(model: PipelineModel) -> list[tuple[str, float]]:
 def training_history(model: PipelineModel, train: DataFrame, val: DataFrame | None = None) -> list[tuple]:
     """(step, loss, val_loss) of a boosted model, mean squared error after each tree."""
     assembler, fitted = model.stages[0], model.stages[-1]
-    loss = fitted.evaluateEachIteration(assembler.transform(train), "squared")
-    other = fitted.evaluateEachIteration(assembler.transform(val), "squared") if val is not None else [None] * len(loss)
+    needed = [*assembler.getInputCols(), fitted.getLabelCol()]
+
+    def each(rows: DataFrame) -> list[float]:
+        return fitted.evaluateEachIteration(assembler.transform(complete(rows, needed)), "squared")
+
+    loss = each(train)
+    other = each(val) if val is not None else [None] * len(loss)
     return [(i + 1, float(a), None if b is None else float(b)) for i, (a, b) in enumerate(zip(loss, other))]
 
 
@@ -128,16 +158,27 @@ def best_iteration(val_loss: list[float], patience: int = 50) -> int:
 
 
 def early_stopping(train: DataFrame, val: DataFrame, features: list[str], estimator: GBTRegressor, patience: int = 50) -> tuple[PipelineModel, int, list[tuple]]:
-    """Fit, score every prefix of trees on the validation rows, refit with the best number.
-
-    The seed is fixed, so the shorter fit repeats the kept trees.
-    """
+    """Fit once, score every prefix of trees on the validation rows, keep the best prefix."""
     full = fit(train, features, estimator)
     history = training_history(full, train, val)
     keep = best_iteration([h[2] for h in history], patience)
-    if keep == len(history):
-        return full, keep, history
-    return fit(train, features, estimator.copy({estimator.maxIter: keep})), keep, history
+    return first_trees(full, keep), keep, history
+
+
+def first_trees(model: PipelineModel, count: int) -> PipelineModel:
+    """A boosted model cut to its first ``count`` trees: each tree depends on those before it only."""
+    whole = model.stages[-1]
+    if count >= whole.getNumTrees:
+        return model
+    context = SparkSession.getActiveSession().sparkContext
+    ml, new_array = context._jvm.org.apache.spark.ml.regression, context._gateway.new_array
+    trees, weights = new_array(ml.DecisionTreeRegressionModel, count), new_array(context._jvm.double, count)
+    for i in range(count):
+        trees[i], weights[i] = whole.trees[i]._java_obj, float(whole.treeWeights[i])
+    cut = GBTRegressionModel(ml.GBTRegressionModel(whole.uid, trees, weights, whole.numFeatures))
+    cut._resetUid(whole.uid)
+    whole._copyValues(cut)
+    return PipelineModel(stages=[model.stages[0], cut])
 
 
 def random_grid(estimator: Estimator, space: dict[str, list], draws: int = 20, seed: int = 42) -> list[dict]:
@@ -153,8 +194,9 @@ def random_search(train: DataFrame, features: list[str], estimator: Estimator, s
     """Cross-validated search by mean squared error. Folds come from the row hash."""
     grid = random_grid(estimator, space, draws)
     fold = F.pmod(F.conv(F.substring(row_hash(key), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    rows = keep(assembler.transform(train.withColumn("_fold", fold)).select("features", estimator.getLabelCol(), "_fold"))
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    whole = complete(train, [*features, estimator.getLabelCol()])
+    rows = keep(assembler.transform(whole.withColumn("_fold", fold)).select("features", estimator.getLabelCol(), "_fold"))
     try:
         search = CrossValidator(
             estimator=estimator,
@@ -192,13 +234,37 @@ def accuracy_by_size(train: DataFrame, test: DataFrame, time: str, features: lis
     return out
 
 
+def candidate_search(
+    tables: dict[str, tuple[DataFrame, DataFrame]], candidates: dict[str, Callable[[str, DataFrame, DataFrame], DataFrame]], label: str
+) -> DataFrame:
+    """Rank candidates over several tables by the sum of their RMSE ranks: model, rank_sum, best first.
+
+    ``tables`` holds training and test rows by name; a candidate takes the name and both and
+    returns the test rows with ``y_pred``. Rows without a prediction are left out of its error.
+    """
+    from tidecast.operators.windows import rank_models
+
+    scores = []
+    for case, (train, test) in tables.items():
+        for name, candidate in candidates.items():
+            e = F.col(label) - F.col("y_pred")
+            scores.append((case, name, candidate(case, train, test).agg(F.sqrt(F.avg(e * e))).first()[0]))
+    spark = next(iter(tables.values()))[0].sparkSession
+    df = spark.createDataFrame(scores, "case_id string, model string, rmse double")
+    return rank_models(df, "rmse").groupBy("model").agg(F.sum("rank").alias("rank_sum")).orderBy("rank_sum", "model")
+
+
+def score_future(history: DataFrame, future: DataFrame, features: list[str], estimator: Estimator, back: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Fit on ``history`` and predict every row of ``future``; ``back`` undoes a transformed label."""
+    out = predict(fit(history, features, estimator), future, status=True)
+    return out.withColumn("y_pred", back(F.col("y_pred"))) if back else out
+
+
 def parameters(model: Model) -> list[tuple[str, str]]:
     """Parameter names and values of a fitted stage, as text."""
     return sorted((p.name, str(v)) for p, v in model.extractParamMap().items())
 
 
-
-
 def leakage_ablation(train: DataFrame, test: DataFrame, features: list[str], suspect: str, label: str, estimator: Estimator) -> DataFrame:
     """Test R² without and with a suspect column, and the difference. One row."""
     from tidecast.functions.metrics import r2

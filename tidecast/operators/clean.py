@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from tidecast.operators.joins import lookup_with_default
 from tidecast.operators.quantiles import fit_quantiles
@@ -16,7 +17,7 @@ from tidecast.operators.quantiles import fit_quantiles
 UNKNOWN = "Unknown"
 # Winsorising percentiles.
 WINSOR_LOWER, WINSOR_UPPER = 0.01, 0.99
-# One-hot encoding makes one column per category; a wider column set is a modelling mistake.
+# One-hot encoding makes one column per category; by default a wider column set is an error.
 MAX_ONE_HOT = 2_000
 
 
@@ -99,18 +100,33 @@ def fit_target_encoding(
 
 def apply_target_encoding(df: DataFrame, column: str, fitted: tuple[DataFrame, float]) -> DataFrame:
     mapping, overall = fitted
-    return lookup_with_default(df, mapping, column, f"{column}_encoded", overall).drop(column)
-
-
-def fit_one_hot(df: DataFrame, columns: list[str], drop_first: bool = True) -> dict[str, list]:
-    """Sorted categories per column, the first one left out as the base level."""
+    return lookup_with_default(df, mapping, column, f"{column}_encoded", overall, computed=True).drop(column)
+
+
+def fit_one_hot(df: DataFrame, columns: list[str], drop_first: bool = True, most: int = MAX_ONE_HOT) -> dict[str, list]:
+    """Sorted categories per column, the first one left out as the base level.
+
+    One job for all columns. More than ``most`` categories in a column are an error.
+    """
+    if not columns:
+        return {}
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)])).alias("p"))
+    seen = pairs.select("p.*").where("v IS NOT NULL").distinct()
+    ranked = seen.withColumn("k", F.row_number().over(W.partitionBy("i").orderBy("v"))).where(F.col("k") <= most + 1)
+    found: dict[int, list] = {}
+    for r in ranked.select("i", F.col("v")).collect():
+        found.setdefault(r["i"], []).append(r["v"])
     out = {}
-    for c in columns:
-        seen = df.select(c).where(F.col(c).isNotNull()).distinct().limit(MAX_ONE_HOT + 1).collect()
-        if len(seen) > MAX_ONE_HOT:
-            raise ValueError(f"{c} has over {MAX_ONE_HOT} categories; use target encoding")
-        values = sorted(r[0] for r in seen)
-        out[c] = values[1:] if drop_first else values
+    for i, c in enumerate(columns):
+        values = found.get(i, [])
+        if len(values) > most:
+            raise ValueError(f"{c} has over {most} categories; use target encoding")
+        kind = df.schema[c].dataType
+        if isinstance(kind, T.IntegralType):
+            values = [int(v) for v in values]
+        elif not isinstance(kind, T.StringType):
+            values = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect()]
+        out[c] = sorted(values)[1:] if drop_first else sorted(values)
     return out
 
 

@@ -14,26 +14,36 @@ from tidecast.session import materialise
 # A lookup table is broadcast only when it was measured and is no larger than this.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 2**20
+# A table whose planner estimate is beyond this is not measured: it is too large to broadcast.
+MEASURED_BYTES = 2**40
 # A key is hot when it holds more than this share of the rows on the large side,
 # so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.002
+# Parts into which the rows of a hot key and the rows without a key are dealt.
+SALTS = 64
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Measure rows and bytes of ``df`` as far as the row bound, never further."""
+    """Measure rows and bytes of ``df`` by one aggregation; a session measures a plan once."""
     if rows <= 0:
         return False
-    fixed, text = 0, []
-    for f in df.schema:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            text.append(F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)))
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            text.append(F.coalesce(F.octet_length(F.to_json(F.struct(f"`{f.name}`"))), F.lit(0)))
-        else:
-            fixed += 16
-    width = sum(text, F.lit(fixed)).cast("long")
-    seen = df.limit(rows + 1).select(width.alias("w")).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
-    return seen[0] <= rows and seen[1] <= BROADCAST_BYTES
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(estimate) > MEASURED_BYTES:
+        return False
+    known = df.sparkSession.__dict__.setdefault("_tidecast_sizes", {})
+    plan = (df.semanticHash(), tuple(df.columns))
+    if plan not in known:
+        fixed, text = 0, []
+        for f in df.schema:
+            if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+                text.append(F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)))
+            elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+                text.append(F.coalesce(F.octet_length(F.to_json(F.struct(f"`{f.name}`"))), F.lit(0)))
+            else:
+                fixed += 16
+        width = sum(text, F.lit(fixed)).cast("long")
+        known[plan] = tuple(df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first())
+    return known[plan][0] <= rows and known[plan][1] <= BROADCAST_BYTES
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> list[tuple]:
@@ -56,38 +66,48 @@ def lookup_join(
     keys: list[str],
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
-    hot: list[tuple] | None = None,
+    hot: list[tuple] = (),
     computed: bool = False,
 ) -> DataFrame:
     """Join a large table to a lookup table that is unique on ``keys``.
 
-    A lookup of counted, bounded size is broadcast. Beyond the bound the join shuffles, except for
-    rows of hot keys: their lookup rows number at most 1 / HOT_SHARE, so those are broadcast.
-    ``hot`` may name the hot keys when the caller knows them. ``computed`` says that the lookup is
-    itself the result of a job; it is then written once, so that counting it and joining it do not
-    run that job twice.
+    A lookup of counted, bounded size is broadcast. Beyond the bound the join shuffles each side
+    once, on the keys and a salt. Rows with a null key match nothing and are dealt over all salts;
+    so are the rows of the keys in ``hot``, whose lookup rows are written once per salt. Large keys
+    that nobody named are split by adaptive execution. ``computed`` says that the lookup is itself
+    the result of a job; it is then written once, so that counting it and joining it do not run
+    that job twice.
     """
     if computed:
         lookup = materialise(lookup, "lookup")
     if fits_broadcast(lookup, broadcast_rows):
         return large.join(F.broadcast(lookup), keys, how)
-    if hot is None:
-        hot = hot_keys(large, keys)
-    if not hot:
-        return large.join(lookup, keys, how)
-    schema = T.StructType([large.schema[k] for k in keys])
-    few = F.broadcast(large.sparkSession.createDataFrame(hot, schema))
-    theirs = F.broadcast(lookup.join(few, keys, "left_semi"))
-    cold = large.join(few, keys, "left_anti").join(lookup, keys, how)
-    return large.join(few, keys, "left_semi").join(theirs, keys, how).unionByName(cold)
+    names = [F.col(f"`{k}`") for k in keys]
+    hot = [k for k in hot if None not in k]
+    kinds = [large.schema[k].dataType for k in keys]
+
+    def is_hot() -> Column:
+        rows = [F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(k, kinds, keys)]) for k in hot]
+        return F.struct(*[c.alias(k) for c, k in zip(names, keys)]).isin(*rows) if hot else F.lit(False)
+
+    missing = F.lit(False)
+    for c in names:
+        missing = missing | c.isNull()
+    # From the row's own values, so that a task that runs again deals its rows alike.
+    values = [F.col(f"`{f.name}`") for f in large.schema if not isinstance(f.dataType, T.MapType)]
+    spread_ = F.pmod(F.xxhash64(*values), F.lit(SALTS))
+    salted = large.withColumn("_salt", F.when(missing | is_hot(), spread_).otherwise(F.lit(0)).cast("int"))
+    copies = F.when(is_hot(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    side = lookup.withColumn("_salt", F.explode(copies))
+    return salted.join(side, [*keys, "_salt"], how).drop("_salt")
 
 
 def lookup_with_default(
-    df: DataFrame, mapping: DataFrame, key: str, value: str, default: Column | float
+    df: DataFrame, mapping: DataFrame, key: str, value: str, default: Column | float, computed: bool = False
 ) -> DataFrame:
     """Left lookup of ``value``; rows without a match get ``default``."""
     fill = default if isinstance(default, Column) else F.lit(default)
-    return lookup_join(df, mapping, [key], computed=True).withColumn(value, F.coalesce(F.col(value), fill))
+    return lookup_join(df, mapping, [key], computed=computed).withColumn(value, F.coalesce(F.col(value), fill))
 
 
 def select_rows(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
@@ -117,11 +137,9 @@ def coverage_gaps(results: DataFrame, case: str, model: str) -> DataFrame:
     """
     results = materialise(results.select(case, model).distinct(), "pairs")
     by_case = results.groupBy(case).agg(F.collect_set(model).alias("_have"))
-    everything = [r[0] for r in results.select(model).distinct().limit(10_001).collect()]
-    if len(everything) > 10_000:
-        raise ValueError("more than 10,000 model names: not a model comparison table")
-    wanted = F.array(*[F.lit(m) for m in sorted(everything)])
-    return by_case.select(case, F.explode(F.array_except(wanted, "_have")).alias(model))
+    everything = results.agg(F.array_sort(F.collect_set(model)).alias("_all"))
+    # One row, as long as the list of models.
+    return by_case.join(F.broadcast(everything)).select(case, F.explode(F.array_except("_all", "_have")).alias(model))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tidecast.operators.joins import union_all
+from tidecast.session import materialise
 
 # Hash characters added per counting pass, and how many hashes are ordered at once.
 PREFIX = 4
@@ -68,6 +69,12 @@ class Cut:
     copies: int
 
 
+def _place(df: DataFrame, key: list[str], seed: int) -> Column:
+    """Order of the rows of one date: by key hash, rows that share a key by the whole row."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    return F.concat(row_hash(key, seed), F.md5(row))
+
+
 def _reach(counts: DataFrame, order: str, rows: int) -> tuple:
     """The entry of an ordered count table that contains position ``rows`` - 1."""
     w = W.orderBy(F.asc_nulls_last(order)).rowsBetween(W.unboundedPreceding, 0)
@@ -81,42 +88,68 @@ def _reach(counts: DataFrame, order: str, rows: int) -> tuple:
     return hit[order], hit["_end"] - hit["n"], hit["n"]
 
 
-def find_cuts(df: DataFrame, time: str, sizes: list[int], key: list[str], seed: int = 42) -> list[Cut]:
-    """Cut points after the given numbers of rows, in (date, hash) order."""
-    day = F.to_date(time)
-    by_day = df.groupBy(day.alias("d")).agg(F.count("*").alias("n"))
-    cuts = []
-    for rows in sizes:
-        if rows <= 0:
-            cuts.append(Cut(0, None, None, 0, 0))
-            continue
-        date, before, found = _reach(by_day, "d", rows)
-        eve = date - datetime.timedelta(days=1)
-        todays = df.where(_until(df, time, date) & ~_until(df, time, eve)).select(row_hash(key, seed).alias("h"))
-        prefix = ""
-        while found > ORDERED_HASHES and len(prefix) < 32:
-            by_prefix = (
-                todays.where(F.col("h").startswith(prefix))
-                .groupBy(F.substring("h", 1, len(prefix) + PREFIX).alias("p"))
-                .agg(F.count("*").alias("n"))
-            )
-            prefix, skipped, found = _reach(by_prefix, "p", rows - before)
-            before += skipped
-        by_hash = todays.where(F.col("h").startswith(prefix)).groupBy("h").agg(F.count("*").alias("n"))
-        hashed, skipped, copies = _reach(by_hash, "h", rows - before)
-        cuts.append(Cut(rows, date, hashed, before + skipped, copies))
-    return cuts
-
-
-def segments(df: DataFrame, time: str, sizes: list[int], key: list[str], seed: int = 42) -> DataFrame:
+def days_of(df: DataFrame, time: str) -> DataFrame:
+    """Rows per date, written once: every cut of the table is placed on it."""
+    return materialise(df.groupBy(F.to_date(time).alias("d")).agg(F.count("*").alias("n")), "dates")
+
+
+def total(by_day: DataFrame) -> int:
+    return by_day.agg(F.sum("n")).first()[0] or 0
+
+
+def find_cuts(
+    df: DataFrame, time: str, sizes: list[int], key: list[str], seed: int = 42, by_day: DataFrame | None = None
+) -> list[Cut]:
+    """Cut points after the given numbers of rows, in (date, hash) order.
+
+    All cuts are found together: one job per level counts the prefixes, or in the end the hashes,
+    of every date that holds a cut.
+    """
+    by_day = days_of(df, time) if by_day is None else by_day
+    open_ = {}
+    for rows in dict.fromkeys(sizes):
+        if rows > 0:
+            date, before, found = _reach(by_day, "d", rows)
+            open_[rows] = (date, "", before, found)
+    done = {rows: Cut(0, None, None, 0, 0) for rows in sizes if rows <= 0}
+    place = _place(df, key, seed)
+
+    def counted(level: int | None, picked: dict) -> DataFrame:
+        inside = F.lit(False)
+        for date, prefix, _, _ in picked.values():
+            eve = date - datetime.timedelta(days=1)
+            inside = inside | (_until(df, time, date) & ~_until(df, time, eve) & place.startswith(prefix))
+        part = place if level is None else F.substring(place, 1, level)
+        return materialise(df.where(inside).groupBy(F.to_date(time).alias("d"), part.alias("h")).agg(F.count("*").alias("n")), "hashes")
+
+    level = 0
+    while level < 64 and (deep := {r: o for r, o in open_.items() if o[3] > ORDERED_HASHES}):
+        level += PREFIX
+        counts = counted(level, deep)
+        for rows, (date, prefix, before, _) in deep.items():
+            here = counts.where((F.col("d") == F.lit(date)) & F.col("h").startswith(prefix))
+            prefix, skipped, found = _reach(here, "h", rows - before)
+            open_[rows] = (date, prefix, before + skipped, found)
+    if open_:
+        counts = counted(None, open_)
+        for rows, (date, prefix, before, _) in open_.items():
+            here = counts.where((F.col("d") == F.lit(date)) & F.col("h").startswith(prefix))
+            hashed, skipped, copies = _reach(here, "h", rows - before)
+            done[rows] = Cut(rows, date, hashed, before + skipped, copies)
+    return [done[rows] for rows in sizes]
+
+
+def segments(
+    df: DataFrame, time: str, sizes: list[int], key: list[str], seed: int = 42, by_day: DataFrame | None = None
+) -> DataFrame:
     """Add ``segment``: how many of the cuts lie at or before the row.
 
-    Rows equal in date and hash are copies of one another when ``key`` identifies a row. If a cut
-    falls between copies, that one group is counted and written out again in chunks, so that each
-    side receives the exact number.
+    Rows equal in date and hash are equal in every column. If a cut falls between such copies, that
+    one group is counted and written out again in chunks, so that each side receives the exact
+    number.
     """
-    cuts = find_cuts(df, time, sizes, key, seed)
-    day, h = F.to_date(time), row_hash(key, seed)
+    cuts = find_cuts(df, time, sizes, key, seed, by_day)
+    day, h = F.to_date(time), _place(df, key, seed)
     at = F.lit(0)
     torn: dict[tuple, Cut] = {}
     for c in cuts:
@@ -166,13 +199,13 @@ def temporal_split(
     Otherwise exactly ``int(n * fraction)`` rows are training rows.
     """
     if not whole_dates:
-        n = df.count()
-        done = segments(df, time, [int(n * fraction)], key or df.columns, seed)
+        by_day = days_of(df, time)
+        done = segments(df, time, [int(total(by_day) * fraction)], key or df.columns, seed, by_day)
         return done.withColumn(
             "split", F.when(F.col("segment") == 0, "train").otherwise("test")
         ).drop("segment")
-    by_day = df.groupBy(F.to_date(time).alias("d")).agg(F.count("*").alias("n"))
-    n = by_day.agg(F.sum("n")).first()[0] or 0
+    by_day = days_of(df, time)
+    n = total(by_day)
     if int(n * fraction) < 1:
         return df.withColumn("split", F.lit("test"))
     last, _, _ = _reach(by_day, "d", int(n * fraction))
@@ -189,17 +222,18 @@ def validation_tail(df: DataFrame, time: str, share: float = 0.2, key: list[str]
 
 def earliest(df: DataFrame, time: str, fraction: float = 0.3, key: list[str] | None = None) -> DataFrame:
     """The earliest ``fraction`` of the rows, at least one row."""
-    rows = max(1, int(df.count() * fraction))
-    return segments(df, time, [rows], key or df.columns).where("segment = 0").drop("segment")
+    by_day = days_of(df, time)
+    rows = max(1, int(total(by_day) * fraction))
+    return segments(df, time, [rows], key or df.columns, by_day=by_day).where("segment = 0").drop("segment")
 
 
 def growing_prefixes(
     df: DataFrame, time: str, fractions: list[float], key: list[str] | None = None
 ) -> DataFrame:
     """Each row once per training size that includes it, in column ``size``."""
-    n = df.count()
-    ordered = sorted(fractions)
-    placed = segments(df, time, [int(n * f) for f in ordered], key or df.columns)
+    by_day = days_of(df, time)
+    n, ordered = total(by_day), sorted(fractions)
+    placed = segments(df, time, [int(n * f) for f in ordered], key or df.columns, by_day=by_day)
     names = F.array(*[F.lit(float(f)) for f in ordered])
     remaining = F.slice(names, F.col("segment") + 1, F.lit(len(ordered)))
     return placed.withColumn("size", F.explode(remaining)).drop("segment")

@@ -6,6 +6,7 @@ from tidecast.queries.registry import ORACLES, QUERIES
 from tidecast.queries import (  # noqa: F401  (registration)
     aggregates,
     cleaning,
+    closed_forms,
     evaluation,
     expressions,
     forecasting,

@@ -174,11 +174,11 @@ def peak_flag(spark, sf):
     "e14_histogram",
     f"""SELECT model, bin, round(lo + bin * w, 2) + 0.0 AS bin_start, n, round(n / (total * w), 9) + 0.0 AS density FROM
         (SELECT model, lo, w, total, least(cast(floor((e - lo) / w) AS int), 19) AS bin, count(*) AS n FROM
-        (SELECT model, y_true - y_pred AS e FROM {PREDICTIONS} p WHERE model <> 'LinearRegression') a JOIN (SELECT model, min(e) AS lo, (max(e) - min(e)) / 20 AS w, count(*) AS total
+        (SELECT model, y_true - y_pred AS e FROM {PREDICTIONS} p) a JOIN (SELECT model, min(e) AS lo, (max(e) - min(e)) / 20 AS w, count(*) AS total
         FROM (SELECT model, y_true - y_pred AS e FROM {PREDICTIONS} q) b GROUP BY 1) s USING (model) GROUP BY 1, 2, 3, 4, 5) h""",
 )
 def histogram(spark, sf):
-    df = predictions(spark, sf).where("model <> 'LinearRegression'").withColumn("e", F.col("y_true") - F.col("y_pred"))
+    df = predictions(spark, sf).withColumn("e", F.col("y_true") - F.col("y_pred"))
     out = agg.histogram(df, "e", 20, ["model"])
     return out.select("model", "bin", r("bin_start", 2).alias("bin_start"), "n", r("density", 9).alias("density"))
 

@@ -134,15 +134,18 @@ def one_hot(spark, sf):
 
 @query(
     "c10_common_columns",
-    """SELECT side, count(*) AS n, sum(CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END) AS low FROM
-       (SELECT CASE WHEN o_orderstatus = 'F' THEN 'a' ELSE 'b' END AS side, * FROM orders
-        WHERE o_orderstatus = 'F' OR o_orderpriority IN ('1-URGENT', '5-LOW')) t GROUP BY 1""",
+    """SELECT side, count(*) AS n, sum(CASE WHEN p = '5-LOW' THEN 1 ELSE 0 END) AS low FROM
+       (SELECT CASE WHEN o_orderstatus = 'F' THEN 'a' ELSE 'b' END AS side,
+        CASE WHEN o_orderstatus = 'F' OR o_orderpriority IN ('1-URGENT', '5-LOW') THEN o_orderpriority ELSE '1-URGENT' END AS p FROM orders) t GROUP BY 1""",
 )
 def common_columns(spark, sf):
     orders = read(spark, sf, "orders")
     sides = {
         "a": orders.where("o_orderstatus = 'F'"),
-        "b": orders.where("o_orderstatus <> 'F' AND o_orderpriority IN ('1-URGENT', '5-LOW')"),
+        # The other side has two priorities only.
+        "b": orders.where("o_orderstatus <> 'F'").withColumn(
+            "o_orderpriority", F.when(F.col("o_orderpriority") == "5-LOW", "5-LOW").otherwise("1-URGENT")
+        ),
     }
     hot = {k: clean.apply_one_hot(d, clean.fit_one_hot(d, ["o_orderpriority"])) for k, d in sides.items()}
     shared = clean.common_columns(*hot.values())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidecast.functions.calendar import harmonics
 from tidecast.models import arima, forecast
@@ -74,11 +75,12 @@ def difference_order(spark, sf):
 
 
 def event_split(spark, sf):
-    """Event series with positions, harmonics and the last six days as the horizon."""
+    """Event series with positions, harmonics and the last six days of each as the horizon."""
     pos = (F.row_number().over(series(EVENT, "t")) - 1).alias("pos")
-    df = event_days(spark, sf).select(*EVENT, pos, "y")
+    n = F.count("*").over(W.partitionBy(*EVENT)).alias("n")
+    df = event_days(spark, sf).select(*EVENT, pos, "y", n)
     df = df.withColumns(harmonics(F.col("pos"), 7))
-    return df.where("pos < 24"), df.where("pos >= 24"), ["x_t", "x_sin", "x_cos"]
+    return df.where("pos < n - 6"), df.where("pos >= n - 6"), ["x_t", "x_sin", "x_cos"]
 
 
 @query("k06_arimax")
@@ -104,6 +106,5 @@ def sarimax(spark, sf):
 
 @query("k09_seasonal_order_search")
 def seasonal_order_search(spark, sf):
-    regions = weekly(spark, sf).groupBy("r_name", "wk").agg(F.sum("y").alias("y"))
-    fits = arima.fit_orders(regions, None, ["r_name"], "wk", "y", arima.seasonal_grid(4), 10)
-    return rounded(arima.best_order(fits, ["r_name"]).select("r_name", "p", "d", "q", "sp", "sd", "sq", "s", "aic", "status"), 4)
+    fits = arima.fit_orders(weekly(spark, sf), None, PANEL, "wk", "y", arima.seasonal_grid(4), 10)
+    return rounded(arima.best_order(fits, PANEL).select(*PANEL, "p", "d", "q", "sp", "sd", "sq", "s", "aic", "status"), 4)

@@ -53,7 +53,8 @@ def benchmark(spark, sf):
 @query(
     "d05_coverage_gaps",
     f"""SELECT case_id, model FROM (SELECT DISTINCT case_id FROM {RESULTS} a) c, (SELECT DISTINCT model FROM {RESULTS} b) m
-        EXCEPT SELECT case_id, model FROM {RESULTS} d""",
+        EXCEPT SELECT case_id, model FROM {RESULTS} d WHERE case_id <> 'case3' OR model <> 'SeasonalNaive'""",
 )
 def coverage_gaps(spark, sf):
-    return joins.coverage_gaps(results(spark, sf), "case_id", "model")
+    # One result is taken away, so that there is a gap.
+    return joins.coverage_gaps(results(spark, sf).where("case_id <> 'case3' OR model <> 'SeasonalNaive'"), "case_id", "model")

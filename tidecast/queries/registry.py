@@ -33,7 +33,9 @@ def r(c: Column | str, digits: int = 6) -> Column:
     """Double rounded half away from zero in binary, as the reference SQL rounds; no negative zero."""
     col = (F.col(c) if isinstance(c, str) else c).cast("double")
     scale = F.lit(10.0**digits)
-    return F.signum(col) * (F.floor(F.abs(col) * scale + 0.5) / scale) + F.lit(0.0)
+    grown = F.abs(col) * scale + 0.5
+    # From 2**52 on a double has no decimals left to round, and ``floor`` returns a 64-bit integer.
+    return F.when(grown < 2.0**52, F.signum(col) * (F.floor(grown) / scale) + F.lit(0.0)).otherwise(col)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -283,7 +285,7 @@ def all_series(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# Test predictions of three models that SQL can reproduce. Seasonal naive is left out of case 3.
+# Test predictions of three models that SQL can reproduce.
 PREDICTIONS = f"""(WITH s AS (SELECT * FROM {SERIES} z)
   SELECT e.case_id, e.series_id, e.step, e.y AS y_true, 'Naive' AS model, l.y AS y_pred
   FROM s e JOIN s l ON e.case_id = l.case_id AND e.series_id = l.series_id AND l.pos = e.n_train - 1
@@ -291,7 +293,7 @@ PREDICTIONS = f"""(WITH s AS (SELECT * FROM {SERIES} z)
   UNION ALL SELECT e.case_id, e.series_id, e.step, e.y, 'SeasonalNaive', l.y
   FROM s e JOIN s l ON e.case_id = l.case_id AND e.series_id = l.series_id
     AND l.pos = e.n_train - e.season + (e.step - 1) % e.season
-  WHERE e.split = 'test' AND e.case_id <> 'case3'
+  WHERE e.split = 'test'
   UNION ALL SELECT e.case_id, e.series_id, e.step, e.y, 'LinearRegression', f.a + f.b * e.pos
   FROM s e JOIN (SELECT case_id, series_id, regr_slope(y, pos) AS b, regr_intercept(y, pos) AS a
     FROM s WHERE split = 'train' GROUP BY 1, 2) f USING (case_id, series_id)
@@ -312,7 +314,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     naive = last_value_forecast(train, keys, "pos", "y", max(far.values()))
     frames.append(actual.join(naive, [*keys, "step"]).withColumn("model", F.lit("Naive")))
     for season, horizon in far.items():
-        part = train.where((F.col("season") == season) & (F.col("case_id") != "case3"))
+        part = train.where(F.col("season") == season)
         seasonal = seasonal_forecast(part, keys, "pos", "y", season, horizon)
         frames.append(actual.join(seasonal, [*keys, "step"]).withColumn("model", F.lit("SeasonalNaive")))
     line = simple_regression(train, "y", "pos", keys)

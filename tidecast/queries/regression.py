@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from tidecast.functions.ratios import to_count
 from tidecast.models import network, regress
 from tidecast.operators.encode import full_statistic, ordered_statistic
+from tidecast.operators.joins import union_all
 from tidecast.operators.reshape import append_horizon
 from tidecast.operators.split import random_split, temporal_split
-from tidecast.operators.windows import rank_models
 from tidecast.plans import cases, cleaning, experiment, features
 from tidecast.queries.projections import RANGES
 from tidecast.queries.expressions import CALENDAR_SQL, cyc_sql
@@ -90,7 +90,7 @@ def boosted_trees(spark, sf):
 )
 def ordered_encoding(spark, sf):
     orders = read(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    out = ordered_statistic(orders, "o_orderpriority", "o_totalprice", ["o_orderkey"])
+    out = ordered_statistic(orders, "o_orderpriority", "o_totalprice", ["o_orderkey"], scale=2)
     return rounded(out.select("o_orderkey", "o_orderpriority_ordered"), 4)
 
 
@@ -189,18 +189,24 @@ def candidate_search(spark, sf):
         "case4": (panel_rows(spark, sf), PANEL_X),
         "case1": (temporal_split(daily_line(spark, sf), "t", 0.8), ["x"]),
     }
-    scores = []
-    for case, (rows, x) in tables.items():
-        rows = keep(rows)
-        train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-        for units, rate in ((16, 0.05), (16, 0.01), (32, 0.01)):
+    kept = {case: keep(rows) for case, (rows, _) in tables.items()}
+
+    def candidate(units, rate):
+        def run(case, train, test):
+            x = tables[case][1]
             net = network.train_network(train, x, "y", (units,), rate, epochs=4, patience=5)
-            e = F.col("y") - F.col("y_pred")
-            rmse = network.network_predict(net, test.select("y", *x)).agg(F.sqrt(F.avg(e * e))).first()[0]
-            scores.append((case, f"units={units}, rate={rate}", rmse))
+            return network.network_predict(net, test.select("y", *x))
+
+        return run
+
+    out = regress.candidate_search(
+        {case: (rows.where("split = 'train'"), rows.where("split = 'test'")) for case, rows in kept.items()},
+        {f"units={u}, rate={a}": candidate(u, a) for u, a in ((16, 0.05), (16, 0.01), (32, 0.01))},
+        "y",
+    )
+    for rows in kept.values():
         rows.unpersist()
-    df = spark.createDataFrame(scores, "case_id string, model string, rmse double")
-    return rank_models(df, "rmse").groupBy("model").agg(F.sum("rank").alias("rank_sum")).orderBy("rank_sum", "model")
+    return out
 
 
 @query(
@@ -213,8 +219,7 @@ def candidate_search(spark, sf):
 def score_future(spark, sf):
     df = weekly(spark, sf).withColumn("promo", F.col("emailer") + F.col("homepage") + F.col("checkout_price") / 1000)
     both = append_horizon(df.where("wk <= 296"), df.where("wk > 296").drop("y"), "wk", "y").withColumn("log_y", F.log1p("y"))
-    model = regress.fit(both.where("wk <= 296"), ["promo"], regress.linear("log_y"))
-    out = regress.predict(model, both.where("wk > 296").drop("y", "log_y"))
+    out = regress.score_future(both.where("wk <= 296"), both.where("wk > 296").drop("y", "log_y"), ["promo"], regress.linear("log_y"))
     return out.select("r_name", "c_mktsegment", "wk", to_count(F.col("y_pred")).alias("units"))
 
 
@@ -240,7 +245,7 @@ def _cycles(t: str, shift: bool = True) -> str:
         {CALENDAR_SQL.format(t='t')}, {_cycles('t').replace(', 6)', ', 2)')} FROM {F1} x WINDOW w AS (ORDER BY t)) z WHERE lag_14 IS NOT NULL""",
 )
 def daily_features(spark, sf):
-    raw = read(spark, sf, "orders").select(days("o_orderdate").alias("Date"), F.col("o_totalprice").alias("Order_Demand"))
+    raw = read(spark, sf, "orders").select(days("o_orderdate").alias("Date"), F.col("o_totalprice").cast("decimal(18,2)").alias("Order_Demand"))
     return rounded(features.daily_features(raw, DAILY_SERIES), 2)
 
 
@@ -339,10 +344,9 @@ DIRTY_ORDERS = """(SELECT o_orderkey, cast(o_orderdate AS date) AS t, CASE WHEN
 
 @query(
     "k23_clean_daily",
-    f"""SELECT o_orderkey, cat, round(greatest(least(y, hi), lo), 4) + 0.0 AS "Order_Demand" FROM
-        (SELECT o_orderkey, coalesce(cat, 'Unknown') AS cat, coalesce(y, med) AS y FROM {DIRTY_ORDERS} a, (SELECT quantile_cont(y, 0.5) AS med FROM {DIRTY_ORDERS} m) f) c,
-        (SELECT quantile_cont(coalesce(y, med), 0.01) AS lo, quantile_cont(coalesce(y, med), 0.99) AS hi FROM {DIRTY_ORDERS} b,
-         (SELECT quantile_cont(y, 0.5) AS med FROM {DIRTY_ORDERS} m2) g) q""",
+    f"""SELECT statistics, o_orderkey, coalesce(cat, 'Unknown') AS cat, CASE WHEN y IS NOT NULL THEN round(greatest(least(y, hi), lo), 4) + 0.0 END AS "Order_Demand" FROM {DIRTY_ORDERS} c,
+        (SELECT 'table' AS statistics, quantile_cont(y, 0.01) AS lo, quantile_cont(y, 0.99) AS hi FROM {DIRTY_ORDERS} b
+         UNION ALL SELECT 'train', quantile_cont(y, 0.01), quantile_cont(y, 0.99) FROM {DIRTY_ORDERS} t WHERE t < DATE '1996-01-01') q""",
 )
 def clean_daily(spark, sf):
     k = F.col("o_orderkey")
@@ -352,7 +356,8 @@ def clean_daily(spark, sf):
         F.when(k % 17 == 0, None).when(k % 19 == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice")).alias("Order_Demand"),
         F.when(k % 13 != 0, F.col("o_orderpriority")).alias("cat"),
     )
-    return rounded(cleaning.clean_daily(raw, DAILY_SERIES).drop("Date"), 4)
+    modes = {"table": None, "train": raw.where("Date < date'1996-01-01'")}
+    return rounded(union_all([cleaning.clean_daily(raw, DAILY_SERIES, t).drop("Date").withColumn("statistics", F.lit(n)) for n, t in modes.items()]), 4)
 
 
 @query(
@@ -396,12 +401,15 @@ def clean_cross_section(spark, sf):
 
 @query(
     "k23_clean_panel",
-    f"""SELECT s_nationkey, p_type, cast(t AS varchar) AS t, round(greatest(least(y, hi), lo), 4) + 0.0 AS y FROM {F4} x,
-        (SELECT quantile_cont(y, 0.01) AS lo, quantile_cont(y, 0.99) AS hi FROM {F4} z) q""",
+    f"""SELECT statistics, s_nationkey, p_type, cast(t AS varchar) AS t, round(greatest(least(y, hi), lo), 4) + 0.0 AS y FROM {F4} x,
+        (SELECT 'table' AS statistics, quantile_cont(y, 0.01) AS lo, quantile_cont(y, 0.99) AS hi FROM {F4} z
+         UNION ALL SELECT 'train', quantile_cont(y, 0.01), quantile_cont(y, 0.99) FROM {F4} w WHERE t < DATE '1996-01-01') q""",
 )
 def clean_panel(spark, sf):
     case = replace(ENTITY_PANEL, target="y", time="t", keys=("s_nationkey", "p_type"))
-    return rounded(cleaning.clean_panel(monthly(spark, sf).select("s_nationkey", "p_type", "t", "y"), case), 4)
+    rows = materialise(monthly(spark, sf).select("s_nationkey", "p_type", "t", "y"), "panel")
+    modes = {"table": None, "train": rows.where("t < date'1996-01-01'")}
+    return rounded(union_all([cleaning.clean_panel(rows, case, t).withColumn("statistics", F.lit(n)) for n, t in modes.items()]), 4)
 
 
 SMALL = {
@@ -441,7 +449,7 @@ FAST = ["Naive", "SeasonalNaive", "LinearRegression"]
 
 @query("k24_daily_case")
 def daily_case(spark, sf):
-    raw = read(spark, sf, "orders").select(days("o_orderdate").alias("Date"), F.col("o_totalprice").alias("Order_Demand"))
+    raw = read(spark, sf, "orders").select(days("o_orderdate").alias("Date"), F.col("o_totalprice").cast("decimal(18,2)").alias("Order_Demand"))
     return rounded(cases.compare([cases.daily_case(raw)], FAST), 4)
 
 

@@ -50,7 +50,7 @@ def encoding_fallback(spark, sf):
         path = fresh_path(spark, "encoded")
         tables.write_csv(docs, path, encoding)
         found = tables.choose_encoding(spark, path)
-        back = tables.read_csv(spark, path, docs.schema, found)
+        back = tables.read_csv(spark, path, docs.schema, found, line_breaks=True)
         parts.append(back.select(F.lit(found).alias("encoding"), "doc_id", F.md5(F.encode("text", "UTF-8")).alias("h")))
     return union_all(parts)
 
