@@ -5,8 +5,8 @@ sketches a side give ``M * M`` tables: ``2 * M * R`` minhashes do the work of ``
 
 Documents with equal sets are one class, found by a digest and represented by the smallest doc_id.
 Classes that share a key are candidates, compared in two rounds so that a large group does not
-turn into all its pairs. First each class meets the smallest class of its key. Then, where a key
-still holds several components, its classes are gathered in bundles (classes connected by such
+turn into all its pairs. First each class meets one other: of the smallest classes of its keys, the
+one it shares most keys with. Then, where a key still holds several components, its classes are gathered in bundles (classes connected by such
 keys), a bundle is dealt into blocks, and a task takes two blocks: it compares classes of different
 components, the likeliest first, and joins components as it finds links, so that what lies in one
 component by then is not compared. Components are those of all candidate pairs.
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tidecast.llm.common import coded, column, slices, texts_of, to_batch, written
 from tidecast.llm.packing import ddl
 
+#: Text handled at once: every shingle becomes a few 64-bit numbers.
+SLICE = 4 << 20
 #: Words of a shingle, and the similarity that links, in percent.
 WORDS, PERCENT = 5, 85
 #: Minhashes of a sketch and sketches of a collection. A pair at 0.85 shares a sketch of three
@@ -119,7 +121,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, the set's digest (d1, d2) and the two collections, for every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             flat, bounds = shingle_sets(column(batch, "text"))
             left, right = halves(flat, bounds)
             digest = [xxhash.xxh3_128_digest(flat[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -135,7 +137,7 @@ def sets(docs: DataFrame) -> DataFrame:
     """doc_id and its shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             flat, bounds = shingle_sets(column(batch, "text"))
             yield to_batch(_SETS, doc_id=column(batch, "doc_id"), shingles=pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64))))
 
@@ -214,13 +216,15 @@ def links_between(bundled: DataFrame, members: DataFrame, block: int = BLOCK) ->
 
         found: list[tuple[int, int]] = []
         left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
-        apart, hopes = key[1].as_py() != key[2].as_py(), []
+        apart, hopes = key[1].as_py() != key[2].as_py(), [np.zeros((0, 3))]
         for i in left.tolist():
             j = right[(component[right] != component[i]) & ((right > i) | apart)]
             j = j[np.minimum(sizes[j], sizes[i]) * 100 >= np.maximum(sizes[j], sizes[i]) * PERCENT]
             same = (hashes[:, j] == hashes[:, [i]]).mean(axis=0)
-            hopes += [(-s, i, k) for s, k in zip(same[same >= HOPE].tolist(), j[same >= HOPE].tolist(), strict=True)]
-        for _, i, j in sorted(hopes):
+            j, same = j[same >= HOPE], same[same >= HOPE]
+            hopes.append(np.column_stack([-same, np.full(len(j), i), j]))
+        hopes = np.concatenate(hopes)
+        for i, j in hopes[np.lexsort(hopes.T[::-1]), 1:].astype(np.int64):
             a, b = find(int(component[i])), find(int(component[j]))
             if a == b:
                 continue
@@ -238,7 +242,8 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     every = keys(classes)
     shared = every.groupBy("key").agg(F.min("rep").alias("lead"), F.min_by("n", "rep").alias("lead_n"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     met = written(every.join(shared, "key"), "met")
-    first = met.where((F.col("rep") != F.col("lead")) & alike("n", "lead_n")).select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
+    meetings = met.where((F.col("rep") != F.col("lead")) & alike("n", "lead_n")).groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("keys"))
+    first = meetings.groupBy(F.col("rep").alias("v")).agg(F.max_by("lead", F.struct("keys", -F.col("lead"))).alias("u"))
     # Sets of every class that shares a key with one of about its size.
     needed = met.where(F.col("size") > 2).select("rep").unionByName(first.select(F.col("u").alias("rep"))).unionByName(first.select(F.col("v").alias("rep"))).distinct()
     members = written(sets(docs.join(needed.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
