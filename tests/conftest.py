@@ -8,9 +8,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from tidecast.session import local_session
+    from tidecast.session import local_session, stages
 
     session = local_session(8)
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    with stages(session):
+        yield session
     session.stop()

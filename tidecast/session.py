@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,8 +65,28 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other run uses; ``stages`` knows it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.__dict__.setdefault("_tidecast_paths", []).append(path)
+    return path
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables made inside, through the file system that holds them.
+
+    A query reads its intermediate tables when its result is computed, so compute it inside.
+    """
+    made = spark.__dict__.setdefault("_tidecast_paths", [])
+    before = len(made)
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made[before:]:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        del made[before:]
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
