@@ -10,6 +10,7 @@ from tidecast.operators.encode import full_statistic, ordered_statistic
 from tidecast.plans import cases, cleaning
 from tidecast.queries.registry import r
 from tidecast.schemas import DAILY_SERIES, WEEKLY_PANEL
+from tidecast.sources import models as saved
 from tidecast.sources import tables
 from test_cases import daily
 
@@ -184,3 +185,21 @@ def test_a_missing_target_is_not_filled(spark):
     week = spark.createDataFrame([(1, 1.0, None), (2, None, 5.0), (3, 3.0, 6.0)], "week int, base_price double, num_orders double")
     got = cleaning.clean_weekly(week, WEEKLY_PANEL).orderBy("week").collect()
     assert [x["num_orders"] for x in got] == [None, 5.0, 6.0] and got[1]["base_price"] == 2.0
+
+
+def test_networks_and_states_are_saved_and_loaded(spark, tmp_path):
+    rows = spark.range(50).selectExpr("cast(id as double) x", "cast(id * 2 as double) y")
+    net = network.train_network(rows, ["x"], "y", (4, 3), 0.01, 3, 3, val=rows)
+    saved.save_network(spark, net, f"{tmp_path}/net")
+    back = saved.load_network(spark, f"{tmp_path}/net")
+    assert back.history == net.history and back.best_epoch == net.best_epoch and back.features == net.features
+    a, b = (sorted(x["y_pred"] for x in network.network_predict(n, rows).collect()) for n in (net, back))
+    assert a == b
+    table = saved.training_histories(spark, {("c", "n"): back.history}).collect()
+    assert len(table) == 3 and sum(x["best"] for x in table) == 1
+    conf = {x["parameter"]: x["value"] for x in saved.model_configurations(spark, {("c", "n"): back}).collect()}
+    assert conf["hidden"] == "[4, 3]" and conf["n_features"] == "1"
+    fits = arima.fit_orders(series(spark, {"a": range(40)}), None, ["k"], "t", "y", [(1, 1, 0, 0, 0, 0, 1)], 3)
+    saved.save_states(fits, f"{tmp_path}/arma")
+    loaded = arima.order_forecast(saved.load_states(spark, f"{tmp_path}/arma"), ["k"]).collect()
+    assert sorted(map(tuple, loaded)) == sorted(map(tuple, arima.order_forecast(fits, ["k"]).collect()))

@@ -29,7 +29,7 @@ from tidecast.queries.registry import (
     weekly,
 )
 from tidecast.queries.scans import LINE, daily_line
-from tidecast.session import keep, materialise
+from tidecast.session import fresh_path, keep, materialise
 from tidecast.sources import models as saved
 
 EVENT = ["event_type"]
@@ -282,6 +282,38 @@ def line_network(spark, sf):
     return rounded(network.network_predict(net, rows.select(*KEY4, "inventory")).select(*KEY4, "y_pred"), 2)
 
 
+@query(
+    "k16_network_history",
+    f"""WITH s AS (SELECT corr(y, inventory) AS c FROM {F4} z), one AS (SELECT c, {W0} AS w0, 2 * ({W0} - c) AS g FROM s),
+        two AS (SELECT c, w0, w0 - {RATE} * g / (abs(g) + 1e-8) AS w1 FROM one)
+        SELECT 'case4' AS case_id, 'Line' AS model, step, round(pow(w - c, 2) + 1 - c * c, 6) + 0.0 AS loss, NULL::DOUBLE AS val_loss, abs(w - c) = least(abs(w0 - c), abs(w1 - c)) AS best
+        FROM (SELECT 1 AS step, w0 AS w, * FROM two UNION ALL SELECT 2, w1, * FROM two) t""",
+)
+def network_history(spark, sf):
+    """Saved, loaded, and its history as a table: squared error on standardised numbers by epoch."""
+    rows = keep(monthly(spark, sf).select("y", "inventory"))
+    net = network.train_network(rows, ["inventory"], "y", hidden=(), learning_rate=RATE, epochs=2, patience=5)
+    path = fresh_path(spark, "network")
+    saved.save_network(spark, net, path)
+    return rounded(saved.training_histories(spark, {("case4", "Line"): saved.load_network(spark, path).history}))
+
+
+@query(
+    "a12_smoothing_state",
+    f"""WITH RECURSIVE s AS (SELECT event_type, y, row_number() OVER (PARTITION BY event_type ORDER BY t) AS i FROM {F5} x),
+        f AS (SELECT event_type, cast(1 AS bigint) AS i, y AS level FROM s WHERE i = 1
+          UNION ALL SELECT f.event_type, s.i, 0.3 * s.y + 0.7 * f.level FROM f JOIN s ON s.event_type = f.event_type AND s.i = f.i + 1)
+        SELECT event_type, step, round(arg_max(level, i), 4) + 0.0 AS y_pred, 'fitted' AS status FROM f, (SELECT unnest(generate_series(1, 3)) AS step) g GROUP BY 1, 2""",
+)
+def smoothing_state(spark, sf):
+    """Fitted states saved as a table; the forecast comes from the loaded ones."""
+    arrays = forecast.series_arrays(event_days(spark, sf), EVENT, "t", "y")
+    best = forecast.pick_best(forecast.smooth(arrays, EVENT, forecast.smoothing_grid(None, None, False, 1, alphas=(0.3,))), EVENT)
+    path = fresh_path(spark, "states")
+    saved.save_states(best, path)
+    return rounded(forecast.smoothing_forecast(saved.load_states(spark, path), EVENT, 3), 4)
+
+
 @query(
     "k17_stump_importances",
     f"""SELECT m.model, m.kind, f.feature, CASE WHEN f.feature = best THEN 1.0 ELSE 0.0 END AS value FROM {FIRST} c,
