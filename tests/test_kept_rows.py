@@ -203,3 +203,13 @@ def test_networks_and_states_are_saved_and_loaded(spark, tmp_path):
     saved.save_states(fits, f"{tmp_path}/arma")
     loaded = arima.order_forecast(saved.load_states(spark, f"{tmp_path}/arma"), ["k"]).collect()
     assert sorted(map(tuple, loaded)) == sorted(map(tuple, arima.order_forecast(fits, ["k"]).collect()))
+
+
+@pytest.mark.parametrize("model", ["RandomForest", "XGBoost"])
+def test_configured_searches_draw_from_their_spaces(spark, model):
+    estimator, space = regress.configured_search(model, "y")
+    grid = regress.random_grid(estimator, space, 20)
+    assert len(grid) == 20
+    assert all(v in space[p.name] for g in grid for p, v in g.items())
+    with pytest.raises(ValueError):
+        regress.configured_search("FFNN", "y")

@@ -215,6 +215,15 @@ def random_search(train: DataFrame, features: list[str], estimator: Estimator, s
     return PipelineModel(stages=[assembler, search.bestModel]), sorted(table, key=lambda r: r[1])
 
 
+def configured_search(model: str, label: str) -> tuple[Estimator, dict[str, list]]:
+    """The estimator and the parameter space of a configured search, for ``random_search``."""
+    searches = {"RandomForest": (forest, FOREST_SEARCH), "XGBoost": (boosting, BOOSTING_SEARCH)}
+    if model not in searches:
+        raise ValueError(f"no search is configured for {model!r}")
+    make, space = searches[model]
+    return make(label), space
+
+
 def accuracy_by_size(train: DataFrame, test: DataFrame, time: str, features: list[str], label: str, models: dict[str, Estimator], sizes: list[float], key: list[str]) -> list[tuple[str, float, float]]:
     """RMSE on the same test rows after training on growing prefixes: (model, size, rmse)."""
     rows = train.select(*dict.fromkeys([time, label, *features, *key]))

@@ -67,7 +67,6 @@ WEEKLY_PANEL = Case(
     categorical=("Region", "center_type", "category", "cuisine"),
 )
 WEEK_RANGES = {"train": (1, 100), "val": (101, 125), "test": (126, 145)}
-FORECAST_WEEKS = (146, 155)
 
 CROSS_SECTION = Case(
     name="case3",
@@ -163,8 +162,6 @@ ENTITY_PANEL = Case(
     denied=("Demand Forecast",),
 )
 
-CASES = {c.name: c for c in (DAILY_SERIES, WEEKLY_PANEL, CROSS_SECTION, ENTITY_PANEL)}
-
 
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Check names before any job runs."""
