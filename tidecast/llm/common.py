@@ -16,13 +16,30 @@ from tidecast.session import fresh_path
 SLICE_BYTES = 8 << 20
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded by ``BATCH_BYTES``.
+
+    Texts can be long, and the default of 64 MB a batch is held twice by every task. A smaller
+    setting of the session stays.
+    """
+    conf = df.sparkSession.conf
+    if int("".join(c for c in str(conf.get(_BATCH_CONF, "67108864")) if c.isdigit())) > BATCH_BYTES:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def texts_of(docs: DataFrame, *extra: str) -> DataFrame:
     """Only the columns an operator needs; a null text becomes an empty one."""
-    return docs.select(
+    return bounded(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
         *[F.col(c) for c in extra],

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import coded, column, slices, sums, to_batch, written
+from tidecast.llm.common import bounded, coded, column, slices, sums, texts_of, to_batch, written
 from tidecast.llm.packing import ddl
 
 ORDER = 5
@@ -34,6 +34,8 @@ REJECT, DEVIATIONS = 0.5, 6.0
 #: Symbols that count as one independent observation when the score is formed: about a word.
 WORD = 8.0
 UNKNOWN = "und"
+#: Text handled at once: a table of costs per word and language goes with it.
+SLICE = 3 << 20
 
 _GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 _SLOTTED = pa.schema([("order", pa.int32()), ("kind", pa.int32()), ("slot", pa.int32()), ("lang", pa.string()), ("value", pa.float64())])
@@ -93,7 +95,7 @@ def counts(docs: DataFrame) -> DataFrame:
     """lang, gram, n over every row of ``docs`` (text, lang); each slice of a task sends a gram once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             words, codes, rows = _words(batch)
             if not words:
                 continue
@@ -109,7 +111,7 @@ def counts(docs: DataFrame) -> DataFrame:
                 if len(some):
                     yield to_batch(_GRAMS, lang=[lang] * len(some), gram=found[some], n=n[some].astype(np.int64))
 
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    usable = bounded(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     return usable.mapInArrow(work, ddl(_GRAMS)).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -244,12 +246,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             names, score, entropy, accepted = shared.value.judge(batch)
             yield to_batch(_PREDICTED, doc_id=column(batch, "doc_id"), lang_pred=names, score=score, cross_entropy=entropy, accepted=accepted)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.mapInArrow(work, ddl(_PREDICTED))
+    found = texts_of(docs).mapInArrow(work, ddl(_PREDICTED))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
 
 
@@ -259,8 +260,8 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices([batch.set_column(batch.schema.get_field_index("text"), "text", column(batch, "text").fill_null(""))]):
+            for part in slices([batch.set_column(batch.schema.get_field_index("text"), "text", column(batch, "text").fill_null(""))], limit=SLICE):
                 good = shared.value.judge(part)[3]
                 yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(work, docs.schema)
+    return bounded(docs).mapInArrow(work, docs.schema)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import coded, column, slices, sums, to_batch
+from tidecast.llm.common import bounded, coded, column, slices, sums, texts_of, to_batch
 from tidecast.llm.langid import held_out
 from tidecast.llm.packing import ddl
 
@@ -27,6 +27,8 @@ SAMPLE = 6000
 #: Of a document learned from: lines of a window, and windows, evenly spaced.
 WINDOW, WINDOWS = 64, 4
 STEPS, RATE, RIDGE = 250, 0.1, 1e-3
+#: Text handled at once: every character becomes a few numbers.
+SLICE = 2 << 20
 CLASSES = 7  # other, lower, upper, digit, space, stop, symbol
 
 _LINES = pa.schema([("label", pa.int32()), ("lengths", pa.list_(pa.int32())), ("features", pa.binary())])
@@ -36,7 +38,7 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicte
 @cache
 def classes() -> np.ndarray:
     """The class of every code point."""
-    out = np.zeros(0x110000, np.int64)
+    out = np.zeros(0x110000, np.int32)
     for c in range(0x110000):
         x = chr(c)
         out[c] = 1 if x.islower() else 2 if x.isupper() else 3 if x.isdigit() else 4 if x.isspace() else 0
@@ -53,8 +55,9 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lines, rows = split.flatten(), np.concatenate([np.zeros(1, np.int64), np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
     size = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64) + 1
     points = np.frombuffer(("\n".join(lines.to_pylist()) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
-    of = np.repeat(np.arange(len(lines)), size)
-    kinds = np.bincount(of * CLASSES + classes()[points], minlength=len(lines) * CLASSES).reshape(-1, CLASSES).astype(np.float64)
+    cells = np.repeat(np.arange(len(lines), dtype=np.int64) * CLASSES, size)
+    cells += classes()[points]
+    kinds = np.bincount(cells, minlength=len(lines) * CLASSES).reshape(-1, CLASSES).astype(np.float64)
     words, codes, bounds = coded(pc.ascii_split_whitespace(lines))
     n = np.diff(bounds)
     line = np.repeat(np.arange(len(lines)), n)
@@ -172,10 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """
     usable = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     picked = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             features, sizes, rows = line_features(column(batch, "text"))
             for i, label in enumerate(column(batch, "label").to_pylist()):
                 count = -(-(rows[i + 1] - rows[i]) // WINDOW)
@@ -205,12 +208,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             score, lines = shared.value.score(column(batch, "text"))
             yield to_batch(_SCORED, doc_id=column(batch, "doc_id"), score=score, predicted=(score >= 0.5).astype(np.int32), n_lines=lines.astype(np.int32))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(work, ddl(_SCORED)).select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_lines")
+    return texts_of(docs).mapInArrow(work, ddl(_SCORED)).select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_lines")
 
 
 def good(docs: DataFrame, model: Model) -> DataFrame:
@@ -219,7 +221,7 @@ def good(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices([batch.set_column(batch.schema.get_field_index("text"), "text", column(batch, "text").fill_null(""))]):
+            for part in slices([batch.set_column(batch.schema.get_field_index("text"), "text", column(batch, "text").fill_null(""))], limit=SLICE):
                 yield part.filter(pa.array(shared.value.score(column(part, "text"))[0] >= 0.5))
 
-    return docs.mapInArrow(work, docs.schema)
+    return bounded(docs).mapInArrow(work, docs.schema)
