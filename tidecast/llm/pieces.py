@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecast.llm.common import column, cores, gather, numbers, slices, to_batch, written
+from tidecast.llm.common import column, cores, gather, numbers, slices, texts_of, to_batch, written
 from tidecast.llm.packing import ddl
 from tidecast.llm.tokens import chunked
 
@@ -33,12 +33,17 @@ SPACE = "▁"
 #: Characters of a unit that the fold can hold: a cut is a bit of a long. Longer units, which real
 #: text hardly has, are merged by the same rule in the task that meets them.
 UNIT = 60
-#: Distinct units up to which their table is sent to every task: 24 bytes each.
+#: Characters below this code point have a table of their pairs.
+LOW = 1024
+#: Distinct units up to which their table is sent to every task: about 30 bytes each.
 SENT_UNITS = 16_000_000
+#: Text handled at once where a task also holds the table.
+SLICE = 4 << 20
 #: Text that a group holds where texts and units are joined.
 GROUP_BYTES = 16 << 20
 
 _UNITS = pa.schema([("unit", pa.string())])
+_TABLED = pa.schema([("unit", pa.string()), ("ids", pa.list_(pa.int32()))])
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 _CHECKED = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_())])
 
@@ -66,12 +71,25 @@ class Pieces:
         if any(a != SPACE and b == SPACE for a, b in inner):
             raise ValueError("only models whose pieces hold spaces at their start are supported")
         self.inner = np.array(sorted((ord(a) << 21) | ord(b) for a, b in inner), np.int64)
+        #: The same pairs as a table, for the characters that most text is made of.
+        self.common = np.zeros(LOW * LOW, bool)
+        self.common[[ord(a) * LOW + ord(b) for a, b in inner if ord(a) < LOW > ord(b)]] = True
 
     @staticmethod
     @cache
     def of(path: str) -> Pieces:
         return Pieces(path)
 
+    def joined(self, points: np.ndarray) -> np.ndarray:
+        """Whether each character and the one before it stand side by side in some piece."""
+        a, b = points[:-1], points[1:]
+        low = (a < LOW) & (b < LOW)
+        out = self.common[np.where(low, a * LOW + b, 0)]
+        rest = np.flatnonzero(~low)
+        pair = (a[rest] << 21) | b[rest]
+        out[rest] = self.inner[np.minimum(np.searchsorted(self.inner, pair), len(self.inner) - 1)] == pair
+        return out
+
     def single(self, char: str) -> list[int]:
         """Ids of a character that no longer piece covers."""
         if char in self.normal:
@@ -144,9 +162,7 @@ class Units:
         firsts = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(c) for c in chunks])]).astype(np.int64)
         cut = np.ones(len(points), bool)
         if len(points) > 1:
-            pair = (points[:-1] << 21) | points[1:]
-            at = np.minimum(np.searchsorted(pieces.inner, pair), len(pieces.inner) - 1)
-            cut[1:] = pieces.inner[at] != pair
+            cut[1:] = ~pieces.joined(points)
             cut[firsts[:-1]] = True
         starts = np.flatnonzero(cut)
         width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
@@ -157,10 +173,8 @@ class Units:
         #: Units of chunk c: ``of[first[c] : first[c + 1]]``.
         self.of, self.first = made.indices.to_numpy().astype(np.int64), np.searchsorted(starts, firsts)
 
-    def ids(self, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts laid end to end and their bounds, from those of the distinct units."""
-        lengths = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter((i for x in lists for i in x), np.int32, int(lengths.sum()))
         each = np.diff(self.first)
         units = self.of[gather(self.first[:-1], each, self.codes)]
         sizes = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths[units])])
@@ -187,7 +201,7 @@ def _bit(place: Column) -> Column:
 
 
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit, edges: (order, start, ends, inner, size, score) of every piece in it, best first.
+    """unit, edges: (order, start, ends, inner, and for a unigram model size, score) of every piece in it, best first.
 
     ``ends`` has the bits of an edge's two ends, ``inner`` those between. A unit without a piece of
     two characters keeps one edge that fits nowhere.
@@ -196,22 +210,17 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     table = [(p, float(s)) for p, (_, s) in pieces.normal.items() if len(p) > 1 or pieces.unigram]
     schema = T.StructType([T.StructField("piece", T.StringType()), T.StructField("score", T.DoubleType())])
     known = spark.createDataFrame([*table, ("", 0.0)], schema)
-    n = F.length("unit")
+    # A unit has two characters at least. Where the first begins, width 0 gives the edge that fits nowhere.
     shortest = 1 if pieces.unigram else 2
-    begins = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda b: F.transform(
-            F.sequence(F.lit(shortest), F.greatest(F.lit(shortest), F.least(F.lit(pieces.longest), n - b + 1))),
-            lambda w: F.struct(b.alias("b"), w.alias("w")),
-        ),
-    )
-    spans = units.select("unit", F.explode(F.concat(F.flatten(begins), F.array(F.struct(F.lit(1).alias("b"), F.lit(0).alias("w"))))).alias("span"))
-    spans = spans.where(F.col("span.b") + F.col("span.w") <= F.length("unit") + 1)
-    parts = spans.select("unit", "span.b", "span.w", F.expr("substring(unit, span.b, span.w)").alias("piece"))
+    begins = units.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit") + 1 - shortest)).alias("b"))
+    widths = F.sequence(F.when(F.col("b") == 1, 0).otherwise(shortest), F.least(F.lit(pieces.longest), F.length("unit") - F.col("b") + 1))
+    spans = begins.select("unit", "b", F.explode(widths).alias("w"))
+    parts = spans.select("unit", "b", "w", F.substring("unit", F.col("b"), F.col("w")).alias("piece"))
     start, end = F.col("b") - 1, F.col("b") - 1 + F.col("w")
     ends = F.when(F.col("w") == 0, F.lit(-1).cast("long")).otherwise(_bit(start).bitwiseOR(_bit(end)))
     inner = F.when(F.col("w") == 0, F.lit(0).cast("long")).otherwise(_bit(end) - F.lit(2).cast("long") * _bit(start))
-    edge = F.struct((-F.col("score")).alias("order"), start.alias("start"), ends.alias("ends"), inner.alias("inner"), F.col("w").alias("size"), F.col("score").alias("score"))
+    fields = [(-F.col("score")).alias("order"), start.alias("start"), ends.alias("ends"), inner.alias("inner")]
+    edge = F.struct(*fields, *([F.col("w").alias("size"), F.col("score").alias("score")] if pieces.unigram else []))
     # The piece table is the vocabulary: its size is the model's, whatever the corpus.
     return parts.join(F.broadcast(known), "piece").select("unit", edge.alias("edge")).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
@@ -257,61 +266,78 @@ def viterbi(edges: str = "edges", floor: float = -1e9) -> Column:
 
 
 def unit_table(docs: DataFrame, path: str) -> DataFrame:
-    """unit, cuts: the segmentation of every distinct unit, written once."""
+    """unit, ids: the pieces of every distinct unit, written once."""
     pieces = Pieces.of(path)
     units = distinct_units(docs, path)
     floor = min(s for _, s in pieces.normal.values()) - 10
     fold = viterbi(floor=floor) if pieces.unigram else merges()
-    return written(lattice(units, pieces).select("unit", fold.alias("cuts")), "units")
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Pieces.of(path)
+        for batch in batches:
+            names, cuts = column(batch, "unit"), column(batch, "cuts").to_pylist()
+            yield to_batch(_TABLED, unit=names, ids=[vocabulary.ids(n, c) for n, c in zip(names.to_pylist(), cuts, strict=True)])
 
-def _lists(units: Units, pieces: Pieces, cuts) -> list[list[int]]:
-    """Ids of the distinct units; ``cuts(names)`` has the segmentations of those in the table."""
-    names = units.distinct.to_pylist()
-    tabled = [i for i, u in enumerate(names) if 1 < len(u) <= UNIT]
-    out = [[] if 1 < len(u) <= UNIT else pieces.single(u) if len(u) == 1 else pieces.long(u) for u in names]
-    for i, c in zip(tabled, cuts([names[i] for i in tabled]), strict=True):
-        out[i] = pieces.ids(names[i], c)
-    return out
+    return written(lattice(units, pieces).select("unit", fold.alias("cuts")).mapInArrow(named, ddl(_TABLED)), "units")
 
 
-def _keys(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of a hash of each unit, as two numbers."""
-    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(n) for n in names]), np.uint64).reshape(-1, 2)
-    return both[:, 0].copy(), both[:, 1].copy()
+def _ragged(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values laid end to end, and the number of each list."""
+    return lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _sent(table: DataFrame):
-    """A function for tasks: the cuts of units, from sorted arrays that every task has."""
-    found = table.toArrow()
-    high, low = _keys(found.column("unit").to_pylist())
-    order = np.lexsort((low, high))
-    shared = table.sparkSession.sparkContext.broadcast((high[order], low[order], found.column("cuts").to_numpy()[order]))
+def _all(units: Units, pieces: Pieces, tabled) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the distinct units; ``tabled(names)`` has those in the table."""
+    names = units.distinct.to_pylist()
+    sizes = np.array([len(n) for n in names], np.int64)
+    inside = (sizes > 1) & (sizes <= UNIT)
+    others = [pieces.single(names[i]) if sizes[i] == 1 else pieces.long(names[i]) for i in np.flatnonzero(~inside)]
+    flat, lengths = tabled([names[i] for i in np.flatnonzero(inside)])
+    counts = np.zeros(len(names), np.int64)
+    counts[inside], counts[~inside] = lengths, [len(o) for o in others]
+    starts = np.empty(len(names), np.int64)
+    starts[inside] = np.cumsum(lengths) - lengths
+    starts[~inside] = len(flat) + np.cumsum(counts[~inside]) - counts[~inside]
+    both = np.concatenate([flat.astype(np.int32), np.array([i for o in others for i in o], np.int32)])
+    return both[gather(starts, counts, np.arange(len(names)))], counts
 
-    def cuts(names: list[str]) -> list[int]:
-        sent_high, sent_low, sent_cuts = shared.value
-        if not names:
-            return []
-        high, low = _keys(names)
-        at = np.searchsorted(sent_high, high)
-        while (wrong := sent_low[at] != low).any():  # units that share the first half
-            at[wrong] += 1
-        return sent_cuts[at].tolist()
 
-    return cuts
+def _sent(table: DataFrame):
+    """A function for tasks: the ids of units, from arrays sorted by a hash that every task has.
+
+    None if two units share a hash.
+    """
+    found = table.select(F.xxhash64("unit").alias("key"), "ids").toArrow().combine_chunks()
+    keys = found.column("key").to_numpy().view(np.uint64)
+    lists = found.column("ids").combine_chunks()
+    flat, lengths = _ragged(lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists) if len(found) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    order = np.argsort(keys)
+    if (np.diff(keys[order]) == 0).any():
+        return None
+    starts = (np.cumsum(lengths) - lengths)[order]
+    shared = table.sparkSession.sparkContext.broadcast((keys[order], starts.astype(np.uint32), lengths[order].astype(np.uint8), flat.astype(np.int32)))
+
+    def tabled(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        known, starts, lengths, flat = shared.value
+        # The hash of the column function: the same algorithm, with its seed.
+        at = np.searchsorted(known, np.array([xxhash.xxh64_intdigest(n, 42) for n in names], np.uint64))
+        counts = lengths[at].astype(np.int64)
+        return flat[gather(starts[at].astype(np.int64), counts, np.arange(len(at)))], counts
+
+    return tabled
 
 
 def _over(docs: DataFrame, path: str, schema: pa.Schema, make, sent_units: int) -> DataFrame:
     """``make(batch, ids, bounds, pieces)`` over slices of documents with the ids of their texts."""
     table = unit_table(docs, path)
-    if table.count() <= sent_units:
-        cuts = _sent(table)
+    tabled = _sent(table) if table.count() <= sent_units else None
+    if tabled is not None:
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pieces = Pieces.of(path)
-            for batch in slices(batches):
+            for batch in slices(batches, limit=SLICE):
                 units = Units(column(batch, "text"), pieces)
-                yield make(batch, *units.ids(_lists(units, pieces, cuts)), pieces)
+                yield make(batch, *units.ids(*_all(units, pieces, tabled)), pieces)
 
         return docs.mapInArrow(work, ddl(schema))
     # Beyond that, documents are dealt into groups of bounded size, and each group gets its own units.
@@ -333,18 +359,20 @@ def _over(docs: DataFrame, path: str, schema: pa.Schema, make, sent_units: int)
     asked = dealt.select("grp", "text").mapInArrow(used, "grp long, unit string").distinct().join(table, "unit")
 
     def joined(texts, units):
-        known = dict(zip(units.column("unit").to_pylist(), units.column("cuts").to_pylist(), strict=True))
-        made = [
-            make(part, *(u := Units(column(part, "text"), Pieces.of(path))).ids(_lists(u, Pieces.of(path), lambda names: [known[n] for n in names])), Pieces.of(path))
-            for part in slices(texts.select(["doc_id", "text"]).combine_chunks().to_batches())
-        ]
-        return pa.Table.from_batches(made, schema)
+        pieces = Pieces.of(path)
+        known = dict(zip(units.column("unit").to_pylist(), units.column("ids").to_pylist(), strict=True))
 
-    return dealt.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(joined, ddl(schema))
+        def tabled(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            lists = [known[n] for n in names]
+            return np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists], np.int64)
 
+        made = []
+        for part in slices(texts.select(["doc_id", "text"]).combine_chunks().to_batches()):
+            found = Units(column(part, "text"), pieces)
+            made.append(make(part, *found.ids(*_all(found, pieces, tabled)), pieces))
+        return pa.Table.from_batches(made, schema)
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return dealt.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(joined, ddl(schema))
 
 
 def encode(docs: DataFrame, path: str, sent_units: int = SENT_UNITS) -> DataFrame:
@@ -356,7 +384,7 @@ def encode(docs: DataFrame, path: str, sent_units: int = SENT_UNITS) -> DataFram
     def make(batch, ids, bounds, pieces):
         return pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))], schema=_IDS)
 
-    return _over(_texts(docs), path, _IDS, make, sent_units)
+    return _over(texts_of(docs), path, _IDS, make, sent_units)
 
 
 def text_of(ids: np.ndarray, pieces: Pieces) -> str:
@@ -388,4 +416,4 @@ def checked(docs: DataFrame, path: str, sent_units: int = SENT_UNITS) -> DataFra
         same = [text_of(ids[a:b], pieces) == t.replace(SPACE, " ") for (a, b), t in zip(spans, texts, strict=True)]
         return to_batch(_CHECKED, doc_id=column(batch, "doc_id"), n_pieces=np.diff(bounds), ids_crc32=[zlib.crc32(wire[a:b]) for a, b in spans], round_trip=same)
 
-    return _over(_texts(docs), path, _CHECKED, make, sent_units)
+    return _over(texts_of(docs), path, _CHECKED, make, sent_units)

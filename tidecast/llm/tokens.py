@@ -17,7 +17,7 @@ import pyarrow as pa
 from tidecast.llm.common import column, gather, offsets
 
 #: Chunks a Python worker keeps between slices.
-KEPT_CHUNKS = 1_000_000
+KEPT_CHUNKS = 400_000
 #: Chunks encoded as one text.
 JOINED = 500
 _SPACE = np.zeros(256, bool)
@@ -38,17 +38,18 @@ def chunked(texts: pa.Array, spaces: bool = False) -> tuple[list[str], np.ndarra
     bounds = offsets(texts)
     begin = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[begin : begin + bounds[-1]]
-    space = _SPACE[data]
-    after = np.zeros(len(data) + 3, bool)  # whether the character before a byte may be white space
-    after[1 : len(data) + 1] = space | _CONTROL[data]
-    after[2 : len(data) + 1] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
-    after[3 : len(data) + 3] |= (data >= 0xE1) & (data <= 0xE3)
-    first = (data == 32 if spaces else space) & ~after[: len(data)]
+    at = np.flatnonzero(data == 32 if spaces else _SPACE[data])
+    # Only the few bytes before white space are looked at: whether the character there may be white space too.
+    one, two, three = (data[np.maximum(at - n, 0)] for n in (1, 2, 3))
+    blank = _SPACE[one] | _CONTROL[one] | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | ((three >= 0xE1) & (three <= 0xE3))
+    # Every text that is not empty starts a chunk, whatever the text before ends with.
+    first = np.zeros(len(data), bool)
+    first[at[~blank]] = True
     first[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
     starts = np.flatnonzero(first)
     ends = np.append(starts[1:], len(data)).astype(np.int64)
-    at = np.concatenate([starts, ends[-1:]]) if len(starts) else np.zeros(1, np.int64)
-    pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data.tobytes())])
+    cuts = np.concatenate([starts, ends[-1:]]) if len(starts) else np.zeros(1, np.int64)
+    pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data.tobytes())])
     pieces = pieces.dictionary_encode()
     return pieces.dictionary.to_pylist(), pieces.indices.to_numpy().astype(np.int64), np.searchsorted(starts, bounds)
 
