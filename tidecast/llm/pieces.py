@@ -37,8 +37,8 @@ UNIT = 60
 LOW = 1024
 #: Distinct units up to which their table is sent to every task: about 30 bytes each.
 SENT_UNITS = 16_000_000
-#: Text handled at once where a task also holds the table.
-SLICE = 4 << 20
+#: Text handled at once, where units are gathered and where a task also holds the table.
+GATHERED, SLICE = 4 << 20, 2 << 20
 #: Text that a group holds where texts and units are joined.
 GROUP_BYTES = 16 << 20
 
@@ -188,7 +188,7 @@ def distinct_units(docs: DataFrame, path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=GATHERED):
             found = Units(column(batch, "text"), Pieces.of(path)).distinct
             size = pc.utf8_length(found)
             yield pa.RecordBatch.from_arrays([found.filter(pc.and_(pc.greater(size, 1), pc.less_equal(size, UNIT)))], schema=_UNITS)
@@ -315,7 +315,7 @@ def _sent(table: DataFrame):
     if (np.diff(keys[order]) == 0).any():
         return None
     starts = (np.cumsum(lengths) - lengths)[order]
-    shared = table.sparkSession.sparkContext.broadcast((keys[order], starts.astype(np.uint32), lengths[order].astype(np.uint8), flat.astype(np.int32)))
+    shared = table.sparkSession.sparkContext.broadcast((keys[order], starts.astype(np.uint32), lengths[order].astype(np.uint8), flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.int32)))
 
     def tabled(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         known, starts, lengths, flat = shared.value
