@@ -79,6 +79,22 @@ def test_a_large_group_of_near_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == label
 
 
+def test_chains_whose_links_share_no_key(spark):
+    """C is linked with A and with B, A and B are not: where no key holds all three, both links count."""
+    rows = []
+    for i in range(300):
+        text = [f"{w}{i}" for w in words(200, i).split()]
+        first, second = list(text), list(text)
+        first[40:51] = [f"a{i}x{k}" for k in range(11)]
+        second[140:151] = [f"b{i}x{k}" for k in range(11)]
+        rows += [(3 * i + k, " ".join(t)) for k, t in enumerate((first, second, text))]
+    a, b, c = (shingles(t) for _, t in rows[:3])
+    share = lambda x, y: len(x & y) / len(x | y)
+    assert 0.85 <= share(a, c) < 0.87 and 0.85 <= share(b, c) < 0.87 and share(a, b) < 0.8
+    got = near_dups.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 3 for i, _ in rows}
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     got = [tuple(r) for r in near_dups.deduplicate(awkward(spark)).collect()]
     by = {}

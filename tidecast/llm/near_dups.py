@@ -6,7 +6,8 @@ sketches a side give ``M * M`` tables: ``2 * M * R`` minhashes do the work of ``
 Documents with equal sets are one class, found by a digest and represented by the smallest doc_id.
 Classes that share a key are candidates, compared in two rounds so that a large group does not
 turn into all its pairs. First each class meets one other: of the smallest classes of its keys, the
-one it shares most keys with. Then, where a key still holds several components, its classes are gathered in bundles (classes connected by such
+one it shares most keys with. Then the two classes of every key that holds no third are compared,
+where they are still apart: at most a pair a key. Last, where a key still holds several components, its classes are gathered in bundles (classes connected by such
 keys), a bundle is dealt into blocks, and a task takes two blocks: it compares classes of different
 components, the likeliest first, and joins components as it finds links, so that what lies in one
 component by then is not compared. Components are those of all candidate pairs.
@@ -242,12 +243,22 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     every = keys(classes)
     shared = every.groupBy("key").agg(F.min("rep").alias("lead"), F.min_by("n", "rep").alias("lead_n"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     met = written(every.join(shared, "key"), "met")
-    meetings = met.where((F.col("rep") != F.col("lead")) & alike("n", "lead_n")).groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("keys"))
-    first = meetings.groupBy(F.col("rep").alias("v")).agg(F.max_by("lead", F.struct("keys", -F.col("lead"))).alias("u"))
+    meetings = met.where((F.col("rep") != F.col("lead")) & alike("n", "lead_n")).groupBy(F.col("lead").alias("u"), F.col("rep").alias("v"))
+    meetings = written(meetings.agg(F.count(F.lit(1)).alias("keys"), F.bool_or(F.col("size") == 2).alias("two")), "meetings")
+    first = meetings.groupBy("v").agg(F.max_by("u", F.struct("keys", -F.col("u"))).alias("u"))
     # Sets of every class that shares a key with one of about its size.
-    needed = met.where(F.col("size") > 2).select("rep").unionByName(first.select(F.col("u").alias("rep"))).unionByName(first.select(F.col("v").alias("rep"))).distinct()
+    needed = met.where(F.col("size") > 2).select("rep").unionByName(meetings.select(F.explode(F.array("u", "v")).alias("rep"))).distinct()
     members = written(sets(docs.join(needed.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
-    found = components(written(confirmed(first, members), "links"))
+    links = written(confirmed(first, members), "links")
+    found = components(links)
+    # No later round sees a key of two classes: each such pair that is still apart is compared here.
+    twos = meetings.where("two").select("u", "v").join(first.select("v", F.col("u").alias("best")), "v").where(F.col("u") != F.col("best"))
+    for side in ("u", "v"):
+        twos = twos.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+    apart = twos.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+    more = written(confirmed(apart, members), "links")
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     rest = met.where(F.col("size") > 2).join(found.withColumnRenamed("node", "rep"), "rep", "left")
     rest = rest.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = rest.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") != F.col("b")).select("key")
