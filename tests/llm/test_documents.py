@@ -294,6 +294,23 @@ def test_costs_are_interpolated_kneser_ney(spark):
     assert model.vocabulary == vocabulary + 1
 
 
+def test_unseen_grams_are_not_priced_as_seen(spark):
+    """Grams that no text holds, whose hash of 20 bits is that of a gram seen: they cost what back-off gives."""
+    docs = lang_docs(spark, 60).where("lang = 'en'")
+    model = langid.train(docs)
+    texts = [r["text"] for r in docs.where(~langid.held_out()).collect()]
+    p, _ = brute_kneser_ney(texts)
+    slot = lambda g: (g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+    seen = np.unique(langid.grams_of(" ".join(texts).split())[0])
+    letters = np.random.default_rng(5).integers(98, 123, (200_000, langid.ORDER))
+    grams = np.setdiff1d((letters << (langid.BITS * np.arange(langid.ORDER))).sum(axis=1), seen)
+    grams = grams[np.isin(slot(grams), slot(seen))][:40]
+    assert len(grams) == 40
+    for gram, cost in zip(grams.tolist(), model.costs(grams)[:, 0], strict=True):
+        symbols = tuple(gram >> (langid.BITS * (langid.ORDER - 1 - i)) & 4095 for i in range(langid.ORDER))
+        assert cost == pytest.approx(-np.log(p(symbols)), rel=1e-4), symbols
+
+
 def test_held_out_languages(spark):
     docs = lang_docs(spark)
     got = langid.predict(docs, langid.train(docs)).join(docs.where("lang is not null"), "doc_id").toPandas()

@@ -2,8 +2,9 @@
 
 Every language has a model of order ``ORDER`` over the letters of words, with the gap between
 words as one more symbol. Counts come from all training rows; discounts, continuation counts and
-back-off weights are aggregations in Spark. The finished probabilities are kept per order in arrays
-sorted by a hash of the n-gram and looked up by binary search. A text gets the language with the
+back-off weights are aggregations in Spark. The finished model is a written table of exact n-grams,
+which grows with the corpus; the distinct n-grams of the texts are priced by joins with it, and each
+slice of texts meets the costs of its own n-grams. A text gets the language with the
 lowest cross-entropy per symbol, and is rejected where even that is far above what the language's
 own text costs.
 """
@@ -11,14 +12,16 @@ own text costs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidecast.llm.common import bounded, coded, column, slices, sums, texts_of, to_batch, written
 from tidecast.llm.packing import ddl
@@ -26,8 +29,6 @@ from tidecast.llm.packing import ddl
 ORDER = 5
 #: Bits of a symbol in a packed n-gram: letters beyond the first 4,095 code points share symbols.
 BITS = 12
-#: Bits of the hash, and with it the bound of the model: 2**SLOTS entries per order, kind and language.
-SLOTS = 20
 #: Where a text is rejected: this far from its language's own cost towards a uniform guess, plus
 #: this many standard deviations of the mean over its symbols.
 REJECT, DEVIATIONS = 0.5, 6.0
@@ -38,8 +39,6 @@ UNKNOWN = "und"
 SLICE = 3 << 20
 
 _GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
-_SLOTTED = pa.schema([("order", pa.int32()), ("kind", pa.int32()), ("slot", pa.int32()), ("lang", pa.string()), ("value", pa.float64())])
-_COSTS = pa.schema([("lang", pa.string()), ("n", pa.float64()), ("cost", pa.float64()), ("square", pa.float64())])
 _PREDICTED = pa.schema(
     [("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("accepted", pa.bool_())]
 )
@@ -86,11 +85,6 @@ def _words(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
     return dictionary.to_pylist(), codes, rows
 
 
-def slot(grams: np.ndarray) -> np.ndarray:
-    """The hash of a packed n-gram, ``SLOTS`` bits."""
-    return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
-
-
 def counts(docs: DataFrame) -> DataFrame:
     """lang, gram, n over every row of ``docs`` (text, lang); each slice of a task sends a gram once."""
 
@@ -136,45 +130,26 @@ def probabilities(grams: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Model:
-    """Per order, hashes in ascending order with a row of values for every language."""
+class Judge:
+    """What a task needs besides the costs of its texts' n-grams."""
 
     langs: list[str]
     vocabulary: int
-    keys: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
-    values: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
     mean: np.ndarray | None = None
     deviation: np.ndarray | None = None
 
-    def look(self, order: int, kind: int, grams: np.ndarray, missing: float) -> np.ndarray:
-        keys = self.keys[order, kind]
-        asked = slot(grams)
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        out = self.values[order, kind][at].astype(np.float64)
-        out[keys[at] != asked] = missing
-        return out
-
-    def costs(self, grams: np.ndarray) -> np.ndarray:
-        """Nats of each gram's last symbol after the others, per language."""
-        distinct, place = np.unique(grams, return_inverse=True)
-        p = np.full((len(distinct), len(self.langs)), 1.0 / self.vocabulary)
-        for order in range(1, ORDER + 1):
-            tail = distinct & ((1 << (BITS * order)) - 1)
-            p = self.look(order, 0, tail, 0.0) + self.look(order, 1, tail >> BITS, 1.0) * p
-        return -np.log(np.maximum(p, 1e-12))[place]
-
-    def texts(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """Cost of each text in each language, and its number of symbols."""
+    def texts(self, batch: pa.RecordBatch, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cost of each text in each language, and its number of symbols. ``keys``: its n-grams, ascending, each with a row of costs."""
         words, codes, rows = _words(batch)
-        if not words or not self.langs:
+        grams, firsts = grams_of(words) if words else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        if not len(grams) or not self.langs:
             return np.zeros((batch.num_rows, max(1, len(self.langs)))), np.zeros(batch.num_rows, np.int64)
-        grams, firsts = grams_of(words)
-        word_cost, size = sums(self.costs(grams), firsts), np.diff(firsts)
+        word_cost, size = sums(values[np.searchsorted(keys, grams)].astype(np.float64), firsts), np.diff(firsts)
         return sums(word_cost[codes], rows), sums(size[codes], rows)
 
-    def judge(self, batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    def judge(self, batch: pa.RecordBatch, keys: np.ndarray, values: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy and acceptance of each text."""
-        cost, size = self.texts(batch)
+        cost, size = self.texts(batch, keys, values)
         if not self.langs:
             none = np.zeros(batch.num_rows)
             return [UNKNOWN] * batch.num_rows, none, none, none > 0
@@ -188,49 +163,95 @@ class Model:
         return names, score, entropy, (size > 0) & (entropy <= most)
 
 
+@dataclass
+class Model(Judge):
+    """``table``: order, kind, gram and an array with a value for every language, one row per n-gram seen."""
+
+    table: DataFrame | None = None
+
+    def priced(self, grams: DataFrame) -> DataFrame:
+        """gram, cost: for every distinct gram, the nats of its last symbol after the others, per language.
+
+        From the shortest order up: an order's distinct n-grams meet their discounted share, the
+        back-off weight of their context and what the order below gave.
+        """
+        needed = written(grams.select("gram").distinct(), "needed")
+        shares, ones = (F.array(*[F.lit(x)] * len(self.langs)) for x in (0.0, 1.0))
+        below = None
+        for order in range(1, ORDER + 1):
+            cut = F.col("gram").bitwiseAND(F.lit((1 << (BITS * order)) - 1))
+            here = self.table.where(F.col("order") == order)
+            share = here.where("kind = 0").select("gram", F.col("value").alias("share"))
+            weight = here.where("kind = 1").select(F.col("gram").alias("context"), F.col("value").alias("weight"))
+            found = needed.select(cut.alias("gram")).distinct().withColumn("context", F.shiftright("gram", BITS))
+            found = found.join(share, "gram", "left").join(weight, "context", "left")
+            if below is None:
+                found = found.withColumn("p", F.array(*[F.lit(1.0 / self.vocabulary)] * len(self.langs)))
+            else:
+                tail = F.col("gram").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
+                found = found.withColumn("tail", tail).join(below.select(F.col("gram").alias("tail"), "p"), "tail")
+            lower = F.zip_with(F.coalesce("weight", ones), "p", lambda x, y: x * y)
+            below = found.select("gram", F.zip_with(F.coalesce("share", shares), lower, lambda x, y: x + y).alias("p"))
+        return below.select("gram", F.transform("p", lambda x: -F.log(F.greatest(x, F.lit(1e-12)))).alias("cost"))
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """Nats of each of a few grams' last symbol after the others, per language."""
+        asked = self.table.sparkSession.createDataFrame([(int(g),) for g in np.unique(grams)], "gram long")
+        found = {r["gram"]: r["cost"] for r in self.priced(asked).collect()}
+        return np.array([found[int(g)] for g in grams])
+
+    def applied(self, docs: DataFrame, schema: T.StructType | str, work) -> DataFrame:
+        """``work(judge, batch, keys, values)`` on slices of ``docs``, each with the costs of its own n-grams.
+
+        Slices are written with their distinct n-grams, so that both reads see the same ones. Only
+        n-grams are joined with the model, and each slice goes to one task with its costs.
+        """
+        plain, names = Judge(self.langs, self.vocabulary, self.mean, self.deviation), docs.columns
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number = TaskContext.get().partitionId() << 32
+            for batch in slices(batches, limit=SLICE):
+                words = _words(batch)[0]
+                grams = np.unique(grams_of(words)[0]) if words else np.zeros(0, np.int64)
+                held = pa.array([grams] + [None] * (batch.num_rows - 1), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([number] * batch.num_rows, pa.int64()), held], names=[*names, "_slice", "_grams"])
+                number += 1
+
+        def meet(part: pa.Table, costs: pa.Table) -> pa.Table:
+            costs = costs.sort_by("gram").combine_chunks()
+            values = costs.column("cost").combine_chunks()
+            values = values.flatten().to_numpy(zero_copy_only=False).reshape(costs.num_rows, -1) if costs.num_rows else np.zeros((0, len(plain.langs)), np.float32)
+            batches = part.select(names).combine_chunks().to_batches()
+            return pa.Table.from_batches([work(plain, b, costs.column("gram").to_numpy(), values) for b in batches])
+
+        made = T.StructType([*docs.schema.fields, T.StructField("_slice", T.LongType()), T.StructField("_grams", T.ArrayType(T.LongType()))])
+        parts = written(docs.mapInArrow(cut, made), "slices")
+        grams = parts.where(F.col("_grams").isNotNull()).select(F.col("_slice").alias("_of"), F.explode("_grams").alias("gram"))
+        priced = written(self.priced(grams).select("gram", F.col("cost").cast("array<float>").alias("cost")), "priced")
+        costs = grams.join(priced, "gram").select("_of", "gram", "cost")
+        return parts.drop("_grams").groupBy("_slice").cogroup(costs.groupBy("_of")).applyInArrow(meet, schema)
+
+
 def train(docs: DataFrame) -> Model:
     """A model of every language in ``docs``, from the rows that are not held out and have a text and a language.
 
-    Every such row counts. What reaches the driver is the finished model, bounded by ``SLOTS``.
-    Without any such row the model knows no language and calls every text unknown.
+    Every such row counts and every n-gram is kept. Only the languages' names, the number of
+    symbols and two figures per language reach the driver. Without any such row the model knows no
+    language and calls every text unknown.
     """
-    spark = docs.sparkSession
     grams = written(counts(docs.where(~held_out() & F.col("doc_id").isNotNull())), "grams")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(slot(column(b, "gram").to_numpy()), pa.int32()), b.column(3), b.column(4)], schema=_SLOTTED
-            )
-
-    slotted = probabilities(grams).select("order", "kind", "gram", "lang", "value").mapInArrow(hashed, "order int, kind int, slot int, lang string, value double")
-    found = slotted.groupBy("order", "kind", "slot", "lang").agg(F.max("value").alias("value")).toArrow()
-    langs = sorted(set(found.column("lang").to_pylist()))
-    order, kind, place = (found.column(c).to_numpy() for c in ("order", "kind", "slot"))
-    lang = np.searchsorted(langs, found.column("lang").to_numpy()) if langs else np.zeros(0, np.int64)
-    value = found.column("value").to_numpy()
-    model = Model(langs, 1)
-    for o in range(1, ORDER + 1):
-        for k, missing in ((0, 0.0), (1, 1.0)):
-            here = (order == o) & (kind == k)
-            keys, at = np.unique(place[here], return_inverse=True)
-            table = np.full((len(keys), len(langs)), missing, np.float32)
-            table[at, lang[here]] = value[here]
-            model.keys[o, k], model.values[o, k] = keys, table
+    langs = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
     if not langs:
-        return model
-    model.vocabulary = len(model.keys[1, 0]) + 1
-    shared = spark.sparkContext.broadcast(model)
-
-    def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            of = np.array([shared.value.langs.index(x) for x in column(b, "lang").to_pylist()], np.int64)
-            cost, n = shared.value.costs(column(b, "gram").to_numpy())[np.arange(len(of)), of], column(b, "n").to_numpy()
-            for i, name in enumerate(shared.value.langs):
-                own = of == i
-                yield to_batch(_COSTS, lang=[name], n=[float(n[own].sum())], cost=[float((n * cost)[own].sum())], square=[float((n * cost**2)[own].sum())])
-
-    totals = {r["lang"]: r for r in grams.mapInArrow(priced, ddl(_COSTS)).groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("n", "cost", "square")]).collect()}
+        return Model(langs, 1)
+    missing = F.when(F.col("kind") == 0, 0.0).otherwise(1.0)
+    found = probabilities(grams).groupBy("order", "kind", "gram").agg(*[F.max(F.when(F.col("lang") == x, F.col("value"))).alias(f"v{i}") for i, x in enumerate(langs)])
+    found = found.select("order", "kind", "gram", F.array(*[F.coalesce(f"v{i}", missing) for i in range(len(langs))]).alias("value"))
+    model = Model(langs, 1, table=written(found.sortWithinPartitions("order", "kind"), "model"))
+    model.vocabulary = model.table.where((F.col("order") == 1) & (F.col("kind") == 0)).count() + 1
+    own = F.get("cost", (F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1).cast("int"))
+    each = grams.join(model.priced(grams), "gram").select("lang", F.col("n").cast("double").alias("n"), own.alias("cost"))
+    sums_of = (F.sum(x).alias(name) for name, x in (("n", F.col("n")), ("cost", F.expr("n * cost")), ("square", F.expr("n * cost * cost"))))
+    totals = {r["lang"]: r for r in each.groupBy("lang").agg(*sums_of).collect()}
     n, cost, square = (np.array([totals[x][c] for x in langs]) for c in ("n", "cost", "square"))
     model.mean = cost / n
     model.deviation = np.sqrt(np.maximum(0, square / n - model.mean**2))
@@ -243,25 +264,26 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     A null text, or one without a letter, is ``und`` with score 0 and not accepted. The score is the
     best language's share when costs are turned into probabilities, one observation per word.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=SLICE):
-            names, score, entropy, accepted = shared.value.judge(batch)
-            yield to_batch(_PREDICTED, doc_id=column(batch, "doc_id"), lang_pred=names, score=score, cross_entropy=entropy, accepted=accepted)
+    def work(judge: Judge, batch: pa.RecordBatch, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        names, score, entropy, accepted = judge.judge(batch, keys, values)
+        return to_batch(_PREDICTED, doc_id=column(batch, "doc_id"), lang_pred=names, score=score, cross_entropy=entropy, accepted=accepted)
 
-    found = texts_of(docs).mapInArrow(work, ddl(_PREDICTED))
+    texts = texts_of(docs)
+    if model.langs:
+        found = model.applied(texts, ddl(_PREDICTED), work)
+    else:
+        found = texts.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), F.lit(False).alias("accepted"))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text the model accepts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if not model.langs:
+        return docs.where(F.lit(False))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices([batch.set_column(batch.schema.get_field_index("text"), "text", column(batch, "text").fill_null(""))], limit=SLICE):
-                good = shared.value.judge(part)[3]
-                yield part.filter(pa.array(good))
+    def work(judge: Judge, batch: pa.RecordBatch, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        return batch.filter(pa.array(judge.judge(batch, keys, values)[3]))
 
-    return bounded(docs).mapInArrow(work, docs.schema)
+    # A null text is never accepted.
+    return model.applied(bounded(docs).where(F.col("text").isNotNull()), docs.schema, work)
