@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecast.llm import ann, langid, licenses, near_dups, packing, pieces, quality, token_counts, token_files, topk
+from tidecast.llm import align, ann, langid, licenses, near_dups, packing, pieces, quality, token_counts, token_files, topk
 from tidecast.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_piece_lattice")
 def op8_piece_lattice(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.checked(read(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_run_alignment")
+def op12_run_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return align.statistics(read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
