@@ -24,12 +24,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import column, gather, slices, sums, texts_of, to_batch, written
+from tidecast.llm.common import column, gather, offsets, slices, sums, texts_of, to_batch, written
 from tidecast.llm.packing import ddl
 from tidecast.llm.tokens import Encoder, chunked
 
@@ -37,7 +38,7 @@ SPACE = "▁"
 #: Text handled at once; links between two looks are codes into a slice's distinct pairs.
 SLICE = 4 << 20
 #: Distinct chunks a worker keeps; beyond them it starts afresh.
-KEPT = 300_000
+KEPT = 600_000
 #: Matches looked for one by one before blocks are probed, and the first block's width.
 STEP, BLOCK = 4, 8
 #: Bits of a B id in a pair.
@@ -141,6 +142,23 @@ class Sentences:
         return np.array([i for m in made for i in m], np.uint32), counts
 
 
+def spelled(ids_a: np.ndarray, ids_b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """``a1,a2|b1;a3|b2,b3;``: all groups as text, given the last token of each, and where each group begins in it."""
+    last_a, last_b = np.zeros(len(ids_a), bool), np.zeros(len(ids_b), bool)
+    last_a[at_a], last_b[at_b] = True, True
+    # A group's A tokens, then its B tokens: a token comes after its own side's and the other side's earlier groups.
+    order = np.empty(len(ids_a) + len(ids_b), np.int64)
+    ends_a, ends_b = np.append(0, at_a + 1), np.append(0, at_b + 1)
+    order[np.arange(len(ids_a)) + ends_b[np.cumsum(last_a) - last_a]] = np.arange(len(ids_a))
+    order[np.arange(len(ids_b)) + ends_a[np.cumsum(last_b) - last_b + 1]] = len(ids_a) + np.arange(len(ids_b))
+    marks = np.concatenate([np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))])[order]
+    numbers = pa.array(np.concatenate([ids_a, ids_b])[order]).cast(pa.large_string())
+    marks = pa.Array.from_buffers(pa.large_string(), len(order), [None, pa.py_buffer(np.arange(len(order) + 1)), pa.py_buffer(marks.astype(np.uint8))])
+    tokens = pc.binary_join_element_wise(numbers, marks, pa.scalar("", pa.large_string()))
+    places = offsets(tokens)
+    return (tokens.buffers()[2] or b"")[: places[-1]].to_pybytes() if len(order) else b"", places[ends_a + ends_b]
+
+
 class Grown:
     """An array that is appended to in place."""
 
@@ -175,7 +193,7 @@ class Aligner:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.shown: list[str] = []
+        self.shown: list[bytes] = []
         self.pairs, self.sizes = Grown(np.int64), [Grown(np.int64) for _ in range(3)]
         self.begins = Grown(np.int64)
 
@@ -193,29 +211,25 @@ class Aligner:
 
     def learn(self, chunks: list[str]) -> None:
         ids_a, n_a, ids_b, n_b, right = self.aligned(chunks)
-        keep_a, keep_b = np.repeat(right, n_a), np.repeat(right, n_b)
-        ids_a, ids_b, n_a, n_b = ids_a[keep_a], ids_b[keep_b], np.where(right, n_a, 0), np.where(right, n_b, 0)
+        if not right.all():
+            ids_a, ids_b = ids_a[np.repeat(right, n_a)], ids_b[np.repeat(right, n_b)]
+            n_a, n_b = np.where(right, n_a, 0), np.where(right, n_b, 0)
         at_a, at_b = common_ends(np.cumsum(self.a.sizes[ids_a]), np.cumsum(self.b.sizes[ids_b]))
         # A chunk's groups are those whose last A token is one of its own.
         firsts = np.searchsorted(at_a, np.concatenate([[0], np.cumsum(n_a)]))
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        begin_a, begin_b, groups = 0, 0, []
-        for end_a, end_b in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-            groups.append(",".join(text_a[begin_a:end_a]) + "|" + ",".join(text_b[begin_b:end_b]))
-            begin_a, begin_b = end_a, end_b
-        bounds = firsts.tolist()
-        self.known.update((c, len(self.shown) + i) for i, c in enumerate(chunks))
-        self.shown += [";".join(groups[p:q]) for p, q in zip(bounds[:-1], bounds[1:], strict=True)]
-        counts = np.diff(firsts)
+        text, begins = spelled(ids_a, ids_b, at_a, at_b)
+        bounds = begins[firsts].tolist()
+        self.known.update(zip(chunks, range(len(self.shown), len(self.shown) + len(chunks)), strict=True))
+        self.shown += [text[p:q] for p, q in zip(bounds[:-1], bounds[1:], strict=True)]
         self.begins.add(self.pairs.size + firsts[:-1])
         self.pairs.add((ids_a[at_a].astype(np.int64) << BITS) | ids_b[at_b])
-        for held, values in zip(self.sizes, (np.where(right, n_a, -1), n_b, counts), strict=True):
+        for held, values in zip(self.sizes, (np.where(right, n_a, -1), n_b, np.diff(firsts)), strict=True):
             held.add(values)
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The code of each chunk of every text, in order, each text's first chunk, and whether it has tokens."""
-        lengths = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)
-        chunks, codes, rows = chunked(pa.compute.binary_join_element_wise(pa.scalar(" "), texts, ""), spaces=True)
+        lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        chunks, codes, rows = chunked(pc.binary_join_element_wise(pa.scalar(" "), texts, ""), spaces=True)
         if len(self.shown) > KEPT:
             self.forget()
         new = [c for c in chunks if c not in self.known]
@@ -247,7 +261,7 @@ def linked(docs: DataFrame, a: str, b: str) -> DataFrame:
             counts = aligner.sizes[2].values
             pairs, links, times = np.unique(aligner.pairs.values[gather(aligner.begins.values, counts, codes)], return_inverse=True, return_counts=True)
             listed, shown = codes.tolist(), aligner.shown
-            sha = [hashlib.sha256(";".join([shown[c] for c in listed[p:q]]).encode()).hexdigest() if q > p else "" for p, q in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
+            sha = [hashlib.sha256(b"".join([shown[c] for c in listed[p:q]])[:-1]).hexdigest() if q > p else "" for p, q in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
             links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_groups)]), pa.int32()), pa.array(links.ravel().astype(np.int32)))
             rest = [None] * (batch.num_rows - 1)
             yield to_batch(
@@ -313,7 +327,7 @@ def groups(docs: DataFrame, a: str, b: str) -> DataFrame:
             codes, rows = _kept(codes, rows, some)
             out: dict[str, list] = {"start": [], "end": [], "a": [], "b": []}
             for p, q in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
-                sides = [[list(map(int, ids.split(","))) for ids in group.split("|")] for c in codes[p:q].tolist() for group in aligner.shown[c].split(";")]
+                sides = [[list(map(int, ids.split(","))) for ids in group.split("|")] for c in codes[p:q].tolist() for group in aligner.shown[c].decode().split(";")[:-1]]
                 ends = np.cumsum([sum(len(aligner.a.bytes[i]) for i in left) for left, _ in sides], dtype=np.int64)
                 out["start"].append(np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else [])
                 out["end"].append(ends)
