@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecast.llm import align, ann, langid, licenses, near_dups, packing, pieces, quality, token_counts, token_files, topk
+from tidecast.llm import align, ann, langid, licenses, near_dups, packing, pieces, quality, token_counts, token_files, topk, trie
 from tidecast.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,38 @@ def op8_piece_lattice(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_run_alignment")
 def op12_run_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return align.statistics(read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query(
+    "op13_lcp_trie",
+    r"""WITH t AS (
+  SELECT conv_id AS c, turn, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, x, w, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, x) AS pos FROM t),
+ids AS (
+  SELECT c, c - c % 20 AS base, xor(4294967295, list_reduce(
+    [4294967295::bigint] || flatten(list_transform(string_split(c::varchar, ''), lambda s: [ascii(s)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) % 4 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+heads AS (SELECT i.c, o.pos AS d, x, w FROM ids i JOIN o ON o.c = i.base AND o.pos <= i.h),
+taken AS (SELECT c, count(*) AS k FROM heads GROUP BY c),
+turns AS (
+  SELECT * FROM heads UNION ALL
+  SELECT o.c, o.pos - i.h + coalesce(k, 0), x, w FROM o JOIN ids i ON o.c = i.c LEFT JOIN taken ON taken.c = o.c WHERE o.pos > i.h),
+paths AS (
+  SELECT c, d, w, list(x) OVER (PARTITION BY c ORDER BY d) AS path FROM turns
+  UNION ALL SELECT c, 0, 0, []::varchar[] FROM ids),
+nodes AS (SELECT d, path, min(c) AS c, count(*) AS n, max(w) AS w FROM paths GROUP BY d, path),
+below AS (SELECT path[:d - 1] AS path, count(*) AS children FROM nodes WHERE d > 0 GROUP BY 1),
+whole AS (SELECT nodes.*, coalesce(children, 0) AS children FROM nodes LEFT JOIN below USING (path)),
+lengths AS (SELECT c, max(d) AS len FROM paths GROUP BY c),
+ends AS (SELECT path, string_agg(p.c::varchar, ',' ORDER BY p.c) AS ids FROM paths p JOIN lengths l ON p.c = l.c AND p.d = l.len GROUP BY path),
+up AS (SELECT n, w, children, unnest(list_transform(range(d + 1), lambda k: path[:k])) AS path FROM whole),
+sums AS (SELECT path, sum((children = 0)::bigint) AS leaves, sum((n - 1) * w) AS saved FROM up GROUP BY path)
+SELECT v.c AS conv_id, cast(v.d AS bigint) AS depth, p.c AS parent_conv_id, cast(v.n AS bigint) AS n_convs, cast(v.children AS bigint) AS n_children,
+  cast(leaves AS bigint) AS n_leaves, cast(saved AS bigint) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM whole v JOIN sums USING (path) LEFT JOIN ends USING (path) LEFT JOIN nodes p ON v.d > 0 AND p.path = v.path[:v.d - 1]""",
+)
+def op13_lcp_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, sf, "conversations"))
