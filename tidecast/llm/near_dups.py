@@ -60,8 +60,8 @@ def seeds() -> tuple[np.ndarray, np.ndarray]:
     return made[:n], made[n:] | np.uint64(1)
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct shingles as 64-bit hashes in ascending order, laid end to end, with bounds.
+def shingle_sets(texts: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingles of ``size`` words as 64-bit hashes in ascending order, laid end to end, with bounds.
 
     Words are runs without ASCII white space, A-Z lower-cased. Fewer words than a shingle has are
     one shingle; no word, none.
@@ -75,14 +75,14 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         rows = np.concatenate([np.zeros(1, np.int64), np.cumsum(real)])[rows]
         codes = codes[real]
     h = hashes[codes] if len(words) else np.zeros(0, np.uint64)
-    whole = np.zeros(max(0, len(h) - WORDS + 1), np.uint64)
-    for i in range(WORDS):
-        whole = whole * _GOLD + h[i : len(h) - WORDS + 1 + i] if len(whole) else whole
+    whole = np.zeros(max(0, len(h) - size + 1), np.uint64)
+    for i in range(size):
+        whole = whole * _GOLD + h[i : len(h) - size + 1 + i] if len(whole) else whole
     whole = mix(whole)
     out, sizes = [], np.zeros(len(texts), np.int64)
     for i, (a, b) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)):
-        if b - a >= WORDS:
-            found = np.unique(whole[a : b - WORDS + 1])
+        if b - a >= size:
+            found = np.unique(whole[a : b - size + 1])
         elif b > a:
             found = np.array([xxhash.xxh3_64_intdigest(h[a:b].tobytes())], np.uint64)
         else:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecast.llm import align, ann, langid, licenses, near_dups, packing, pieces, quality, token_counts, token_files, topk, trie
+from tidecast.llm import align, ann, langid, licenses, metric_join, near_dups, packing, pieces, quality, token_counts, token_files, topk, trie
 from tidecast.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,8 @@ FROM whole v JOIN sums USING (path) LEFT JOIN ends USING (path) LEFT JOIN nodes
 )
 def op13_lcp_trie(spark: SparkSession, sf: str) -> DataFrame:
     return trie.prefix_trie(read(spark, sf, "conversations"))
+
+
+@query("op11_metric_join")
+def op11_metric_join(spark: SparkSession, sf: str) -> DataFrame:
+    return metric_join.similar(read(spark, sf, "documents"))
