@@ -38,7 +38,7 @@ SPACE = "▁"
 #: Text handled at once; links between two looks are codes into a slice's distinct pairs.
 SLICE = 3 << 20
 #: Distinct chunks a worker keeps; beyond them it starts afresh.
-KEPT = 200_000
+KEPT = 350_000
 #: Matches looked for one by one before blocks are probed, and the first block's width.
 STEP, BLOCK = 4, 8
 #: Bits of a B id in a pair.
