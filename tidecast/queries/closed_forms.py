@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidecast.models import arima, forecast, network, regress
+from tidecast.models import arima, forecast, minibatch, network, regress
 from tidecast.operators import split
 from tidecast.operators.encode import ordered_statistic
 from tidecast.plans import experiment
@@ -282,6 +282,21 @@ def line_network(spark, sf):
     return rounded(network.network_predict(net, rows.select(*KEY4, "inventory")).select(*KEY4, "y_pred"), 2)
 
 
+@query(
+    "k15_normalised_network",
+    f"""WITH s AS (SELECT avg(inventory) AS mx, stddev_pop(inventory) AS sx, avg(y) AS my, stddev_pop(y) AS sy, corr(y, inventory) AS c, count(*) AS n FROM {F4} z),
+        g AS (SELECT *, 1 / sqrt(1 + 1e-5) AS u, {W0} AS w0 FROM s),
+        d AS (SELECT *, 2 * (w0 * u * u - c * u) AS dw, 2 * w0 * (w0 * u * u - c * u) AS dg FROM g),
+        b AS (SELECT *, w0 - {RATE} * dw / (abs(dw) + 1e-8) AS w1, 1 - {RATE} * dg / (abs(dg) + 1e-8) AS g1, 1 / sqrt(0.9 + 0.1 * n / (n - 1) + 1e-5) AS v FROM d)
+        SELECT s_nationkey, p_type, cast(t AS varchar) AS t, round((inventory - mx) / sx * v * g1 * w1 * sy + my, 2) + 0.0 AS y_pred FROM {F4} x, b""",
+)
+def normalised_network(spark, sf):
+    """One mini-batch of all rows through a normalised input: its scale and its weight make a step, scoring uses the running moments."""
+    rows = keep(monthly(spark, sf).select(*KEY4, "y", "inventory"))
+    net = minibatch.train_minibatches(rows, ["inventory"], "y", hidden=(), learning_rate=RATE, epochs=1, patience=5, batch_size=1 << 40, shards=1)
+    return rounded(minibatch.minibatch_predict(net, rows.select(*KEY4, "inventory")).select(*KEY4, "y_pred"), 2)
+
+
 @query(
     "k16_network_history",
     f"""WITH s AS (SELECT corr(y, inventory) AS c FROM {F4} z), one AS (SELECT c, {W0} AS w0, 2 * ({W0} - c) AS g FROM s),

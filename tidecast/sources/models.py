@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from tidecast.models.minibatch import NormalisedNetwork
 from tidecast.models.network import Network
 from tidecast.models.regress import parameters
 
@@ -21,6 +22,8 @@ def load_model(path: str) -> PipelineModel:
 def save_network(spark: SparkSession, net: Network, path: str) -> None:
     """One row per array of weights and per scaled column; the history beside it."""
     rows = [("weights", str(i), list(map(int, w.shape)), w.ravel().tolist()) for i, w in enumerate(net.weights)]
+    rows += [("moments", str(i), list(map(int, m.shape)), m.ravel().tolist()) for i, m in enumerate(getattr(net, "moments", []))]
+    rows.append(("normalised", "", [1], [float(isinstance(net, NormalisedNetwork))]))
     rows += [("x_scale", c, [2], list(map(float, net.x_scale[c]))) for c in net.features]
     rows.append(("y_scale", "", [2], list(map(float, net.y_scale))))
     rows.append(("best_epoch", "", [1], [float(net.best_epoch)]))
@@ -33,15 +36,18 @@ def load_network(spark: SparkSession, path: str) -> Network:
     found: dict[str, list] = {}
     for row in spark.read.parquet(path).collect():
         found.setdefault(row["part"], []).append(row)
-    arrays = sorted(found["weights"], key=lambda r: int(r["name"]))
+    arrays, moments = (sorted(found.get(part, []), key=lambda r: int(r["name"])) for part in ("weights", "moments"))
+    normalised = "normalised" in found and found["normalised"][0]["numbers"][0] == 1
     history = sorted(found.get("history", []), key=lambda r: int(r["name"]))
-    return Network(
+    kind, extra = (NormalisedNetwork, {"moments": [np.array(r["numbers"]).reshape(r["shape"]) for r in moments]}) if normalised else (Network, {})
+    return kind(
         features=[r["name"] for r in found["x_scale"]],
         weights=[np.array(r["numbers"]).reshape(r["shape"]) for r in arrays],
         x_scale={r["name"]: tuple(r["numbers"]) for r in found["x_scale"]},
         y_scale=tuple(found["y_scale"][0]["numbers"]),
         history=[(int(r["numbers"][0]), r["numbers"][1], r["numbers"][2]) for r in history],
         best_epoch=int(found["best_epoch"][0]["numbers"][0]),
+        **extra,
     )
 
 
@@ -69,7 +75,7 @@ def model_configurations(spark: SparkSession, models: dict[tuple[str, str], Pipe
     rows = []
     for (case, name), model in models.items():
         if isinstance(model, Network):
-            layers = [int(w.shape[0]) for w in model.weights[2::2]]
+            layers = model.hidden
             rows += [(case, name, "n_features", str(len(model.features))), (case, name, "hidden", str(layers)), (case, name, "best_epoch", str(model.best_epoch))]
             continue
         rows.append((case, name, "n_features", str(len(model.stages[0].getInputCols()))))
