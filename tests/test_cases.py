@@ -8,7 +8,7 @@ from tidecast.schemas import WEEKLY_PANEL
 from tidecast.session import fresh_path
 
 MODELS = ["Naive", "SeasonalNaive", "LinearRegression", "XGBoost", "CatBoost"]
-FAST = {"XGBoost": {"maxIter": 4, "maxDepth": 3, "stepSize": 0.5}, "CatBoost": {"maxIter": 4, "maxDepth": 3, "stepSize": 0.5}}
+FAST = {"XGBoost": {"trees": 4, "depth": 3, "rate": 0.5}, "CatBoost": {"trees": 4, "depth": 3, "rate": 0.5}}
 
 
 def daily(spark):

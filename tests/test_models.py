@@ -131,7 +131,7 @@ def test_experiment_scores_models_and_records_failures(spark, rows):
     pos = spark.range(60).select(F.lit("s").alias("k"), F.col("id").cast("int").alias("pos"), (F.col("id") * 1.0 + F.col("id") % 4).alias("y"))
     parts = pos.select("*", F.when(F.col("pos") < 48, "train").otherwise("test").alias("split"), F.when(F.col("pos") >= 48, F.col("pos") - 47).alias("step"))
     e = experiment.Experiment("demo", parts, ["k"], 4, rows, ["id"], ["a", "b"], "y", ["g"], settings={
-        "CatBoost": {"maxIter": 3, "maxDepth": 3}, "XGBoost": {"maxIter": 4, "maxDepth": 3, "stepSize": 0.5, "patience": 2},
+        "CatBoost": {"trees": 3, "depth": 3}, "XGBoost": {"trees": 4, "depth": 3, "rate": 0.5, "patience": 2},
         "ARIMAX": {"most_p": 1, "most_q": 1}, "ShallowANN": {"epochs": 2, "hidden": (4,)},
     })
     models = ["Naive", "SeasonalNaive", "ETS", "ARIMAX", "SARIMAX", "LinearRegression", "XGBoost", "CatBoost", "ShallowANN", "Nothing"]

@@ -7,9 +7,11 @@ layer on standardised numbers is known from a correlation.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from tidecast.models import arima, forecast, minibatch, network, regress
+from tidecast.models import arima, boosting, forecast, minibatch, network, regress
 from tidecast.operators import split
 from tidecast.operators.encode import ordered_statistic
 from tidecast.plans import experiment
@@ -229,6 +231,53 @@ def two_boosting_steps(spark, sf):
     return rounded(regress.predict(model, rows.where("part = 'test'")).select(*KEY4, "y_pred"), 4)
 
 
+def second_order_sql(l2: float, rate: float, by: str) -> str:
+    """Mean of the training rows, then a step of every group of ``by``: its gradient over its Hessian and the penalty."""
+    return f"""SELECT d.*, m.m - {rate} * s.g / (s.h + {l2}) AS f1 FROM {FLAGS} d, (SELECT avg(y) AS m FROM {FLAGS} x WHERE part = 'train') m,
+      (SELECT {by}, sum(k.m - y) AS g, count(*) AS h FROM {FLAGS} z, (SELECT avg(y) AS m FROM {FLAGS} x WHERE part = 'train') k WHERE part = 'train' GROUP BY {by}) s
+      WHERE {" AND ".join(f"d.{c} = s.{c}" for c in by.split(", "))}"""
+
+
+# The better first split under a penalty of 1: groups' squared gradients over their Hessians.
+GAINS = f"""(SELECT f, sum(g * g / (h + 1)) AS q FROM (SELECT 'a' AS f, a AS v, sum(m - y) AS g, count(*) AS h FROM {FLAGS} x, (SELECT avg(y) AS m FROM {FLAGS} z WHERE part = 'train') k
+    WHERE part = 'train' GROUP BY a UNION ALL SELECT 'b', b, sum(m - y), count(*) FROM {FLAGS} x, (SELECT avg(y) AS m FROM {FLAGS} z WHERE part = 'train') k WHERE part = 'train' GROUP BY b) e GROUP BY f)"""
+ONE_SPLIT = f"""(SELECT * FROM ({second_order_sql(1.0, 0.5, 'a')}) p WHERE (SELECT max(CASE WHEN f = 'a' THEN q END) >= max(CASE WHEN f = 'b' THEN q END) FROM {GAINS} g)
+  UNION ALL SELECT * FROM ({second_order_sql(1.0, 0.5, 'b')}) p WHERE (SELECT max(CASE WHEN f = 'a' THEN q END) < max(CASE WHEN f = 'b' THEN q END) FROM {GAINS} g))"""
+WHOLE = {"rate": 0.5, "least_weight": 0.0, "row_share": 1.0, "column_share": 1.0}
+
+
+def second_order(spark, sf, **conf):
+    rows = flags(spark, sf)
+    model = boosting.train_boosted(rows.where("part = 'train'"), ["a", "b"], "y", **{**WHOLE, **conf})
+    return model, rounded(boosting.boosted_predict(model, rows.where("part = 'test'")).select(*KEY4, "y_pred"), 4)
+
+
+@query("k12_second_order_split", f"SELECT s_nationkey, p_type, cast(t AS varchar) AS t, round(f1, 4) + 0.0 AS y_pred FROM {ONE_SPLIT} d WHERE part = 'test'")
+def second_order_split(spark, sf):
+    return second_order(spark, sf, trees=1, depth=1, l2=1.0)[1]
+
+
+@query("k12_second_order_depth_two", f"SELECT s_nationkey, p_type, cast(t AS varchar) AS t, round(f1, 4) + 0.0 AS y_pred FROM ({second_order_sql(1.0, 0.5, 'a, b')}) d WHERE part = 'test'")
+def second_order_depth_two(spark, sf):
+    """Two flags part the rows into four groups, whichever comes first; without a least gain every split is made."""
+    return second_order(spark, sf, trees=1, depth=2, l2=1.0, least_gain=-math.inf)[1]
+
+
+@query("k13_symmetric_tree", f"SELECT s_nationkey, p_type, cast(t AS varchar) AS t, round(f1, 4) + 0.0 AS y_pred FROM ({second_order_sql(3.0, 0.5, 'a, b')}) d WHERE part = 'test'")
+def symmetric_tree(spark, sf):
+    return second_order(spark, sf, trees=1, depth=2, l2=3.0, symmetric=True, least_gain=-math.inf)[1]
+
+
+@query(
+    "k14_second_order_history",
+    f"""SELECT 1 AS step, round(avg(CASE WHEN part = 'train' THEN pow(y - f1, 2) END), 4) + 0.0 AS loss, round(avg(CASE WHEN part = 'val' THEN pow(y - f1, 2) END), 4) + 0.0 AS val_loss FROM {ONE_SPLIT} d""",
+)
+def second_order_history(spark, sf):
+    rows = flags(spark, sf)
+    model = boosting.train_boosted(rows.where("part = 'train'"), ["a", "b"], "y", trees=1, depth=1, val=rows.where("part = 'val'"), **WHOLE)
+    return rounded(spark.createDataFrame(model.history, "step int, loss double, val_loss double"), 4)
+
+
 @query(
     "k13_fine_target",
     f"""SELECT o_orderkey, round((coalesce(sum(y) OVER w, 0) + g) / (count(*) OVER w + 1), 6) + 0.0 AS o_orderpriority_ordered
