@@ -401,3 +401,14 @@ def test_quality_of_awkward_rows(spark):
         assert quality.good(docs, model).columns == docs.columns
     assert quality.predict(empty(spark), model).count() == 0
     assert set(CLASHING) <= set(quality.good(docs, model).columns)
+
+
+def test_a_doc_id_that_stands_for_several_texts_keeps_them_all(spark):
+    a, b, c = (words(40, n) for n in (71, 72, 73))
+    near = b.rsplit(" ", 1)[0]
+    rows = [(1, a), (1, b), (2, b), (3, c), (4, near), (4, near), (5, ""), (5, None), (None, a), (6, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x"))
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_dups.deduplicate(docs).collect())
+    assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (4, 1, False), (4, 1, False), (5, 5, True), (5, 5, True), (6, 1, False)]
+    kept = sorted(((r["doc_id"] or 0), r["text"] or "", r["row"]) for r in near_dups.distinct_documents(docs).collect())
+    assert kept == sorted([(0, a, "x"), (1, a, "x"), (1, b, "x"), (3, c, "x"), (5, "", "x")])

@@ -273,27 +273,60 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
+def repeated(rows: DataFrame, column: str) -> bool:
+    """Whether a value of ``column`` stands in several rows."""
+    return not rows.groupBy(column).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1).isEmpty()
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for every row, written so that it stays the same, and the number's name."""
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text).
 
     A text without words has no shingle and is its own component. A row without a doc_id is
     compared with nothing: its component is null and it is kept. Every row is judged by its own
-    text, rows that repeat a doc_id too. Other columns are left out.
+    text: where a doc_id stands for several sets, rows are compared by a number of their own, and a
+    component is named by the smallest doc_id of its rows. Other columns are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = written(sketches(docs), "sketches")
     real = made.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = real.groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("doc_id", "left", "right")).alias("least"))
     classes = written(classes.select("n_shingles", "d1", "d2", F.col("least.doc_id").alias("rep"), "least.left", "least.right"), "classes")
-    found = linked(docs, classes)
-    named = classes.select("d1", "d2", "n_shingles", "rep").join(found, "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    placed = real.select("doc_id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     alone = made.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    if repeated(classes, "rep"):
+        rows, row = numbered(docs.where(F.col("doc_id").isNotNull()))
+        found = deduplicate(rows.select(F.col(row).alias("doc_id"), "text")).where(F.col("n_shingles") > 0)
+        found = found.select(F.col("doc_id").alias(row), "n_shingles", F.col("component_id").alias("own")).join(rows.select(row, "doc_id"), row)
+        found = written(found, "by-row")
+        placed = found.join(found.groupBy("own").agg(F.min("doc_id").alias("component_id")), "own").select("doc_id", "n_shingles", "component_id")
+    else:
+        found = linked(docs, classes)
+        named = classes.select("d1", "d2", "n_shingles", "rep").join(found, "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+        placed = real.select("doc_id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     return placed.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stand for their component; of rows that repeat a doc_id, one."""
-    kept = deduplicate(docs).where("kept").select("doc_id").distinct()
-    known = docs.where(F.col("doc_id").isNotNull())
-    return known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of ``docs``, with all their columns, that stand for their component: of each the row with the smallest doc_id.
+
+    Rows without a doc_id stay. Where a doc_id is repeated, rows are compared by a number of their own, so
+    that each text keeps a row of its own; a text without words keeps one row a doc_id.
+    """
+    nameless, known = docs.where(F.col("doc_id").isNull()), docs.where(F.col("doc_id").isNotNull())
+    if not repeated(known, "doc_id"):
+        kept = deduplicate(docs).where("kept").select("doc_id").distinct()
+        return known.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(nameless)
+    rows, row = numbered(known)
+    found = deduplicate(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "n_shingles", "component_id")
+    found = found.join(rows.select(row, F.col("doc_id").alias("known_id")), row)
+    # A text without words is linked with nothing; its copies under one doc_id are one.
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
+    kept = found.groupBy(group.alias("own"), F.when(group.isNull(), F.col("known_id")).alias("id")).agg(F.min_by(row, F.struct("known_id", row)).alias(row))
+    return rows.join(kept.select(row), row, "left_semi").select(docs.columns).unionByName(nameless)
