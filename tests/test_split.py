@@ -98,3 +98,22 @@ def test_undated_rows_come_last(table):
         split.temporal_split(df, "t", 1.0)
     with pytest.raises(ValueError):
         split.random_split(df, KEY, 1.0)
+
+
+def test_rows_that_differ_by_microseconds_or_inside_values_are_all_kept(spark):
+    """One key, one date: rows apart by a microsecond, by the last bit of a number, or within a nested value."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(8)
+    rows = ids.select(
+        F.lit("k").alias("k"), F.timestamp_micros(F.lit(1_577_836_800_123_000) + F.col("id").cast("long")).alias("ts"),
+        (F.lit(0.1) + F.col("id") * F.lit(2.0**-55)).alias("x"), F.array(F.struct(F.timestamp_micros(F.lit(5) + F.col("id")).alias("at"))).alias("inner"),
+        F.create_map(F.lit("a"), F.col("id")).alias("m"), F.encode(F.col("id").cast("string"), "utf-8").alias("b"),
+    )
+    whole = sorted(map(str, rows.collect()))
+    for columns in (rows.columns, ["k", "ts"], ["k", "ts", "inner"]):
+        part = rows.select(columns)
+        done = split.temporal_split(part, "ts", 0.5, whole_dates=False, key=["k"])
+        assert done.where("split = 'train'").count() == 4
+        assert sorted(map(str, done.drop("split").collect())) == sorted(map(str, part.collect()))
+    assert len(whole) == len(set(whole)) == 8

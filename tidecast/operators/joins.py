@@ -24,26 +24,23 @@ SALTS = 64
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Measure rows and bytes of ``df`` by one aggregation; a session measures a plan once."""
+    """Measure rows and bytes of ``df`` by one aggregation, each time: a table may have grown at the same path."""
     if rows <= 0:
         return False
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     if int(estimate) > MEASURED_BYTES:
         return False
-    known = df.sparkSession.__dict__.setdefault("_tidecast_sizes", {})
-    plan = (df.semanticHash(), tuple(df.columns))
-    if plan not in known:
-        fixed, text = 0, []
-        for f in df.schema:
-            if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-                text.append(F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)))
-            elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-                text.append(F.coalesce(F.octet_length(F.to_json(F.struct(f"`{f.name}`"))), F.lit(0)))
-            else:
-                fixed += 16
-        width = sum(text, F.lit(fixed)).cast("long")
-        known[plan] = tuple(df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first())
-    return known[plan][0] <= rows and known[plan][1] <= BROADCAST_BYTES
+    fixed, text = 0, []
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            text.append(F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            text.append(F.coalesce(F.octet_length(F.to_json(F.struct(f"`{f.name}`"))), F.lit(0)))
+        else:
+            fixed += 16
+    width = sum(text, F.lit(fixed)).cast("long")
+    count, size = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return count <= rows and size <= BROADCAST_BYTES
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> list[tuple]:

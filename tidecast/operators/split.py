@@ -69,10 +69,28 @@ class Cut:
     copies: int
 
 
+def _exact(df: DataFrame, column: str) -> Column:
+    """A value as text that no other value of its type has; null for null. Nested values by a hash of all they hold."""
+    value, kind = F.col(f"`{column}`"), df.schema[column].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value).cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(value)
+    if isinstance(kind, T.MapType):
+        value = F.array_sort(F.map_entries(value))
+    if isinstance(kind, (T.MapType, T.ArrayType, T.StructType)):
+        return F.when(F.col(f"`{column}`").isNotNull(), F.concat(F.xxhash64(F.lit(1), value).cast("string"), F.lit(" "), F.xxhash64(F.lit(2), value).cast("string")))
+    return value.cast("string")
+
+
 def _place(df: DataFrame, key: list[str], seed: int) -> Column:
-    """Order of the rows of one date: by key hash, rows that share a key by the whole row."""
-    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
-    return F.concat(row_hash(key, seed), F.md5(row))
+    """Order of the rows of one date: by key hash, rows that share a key by every value of the row."""
+    parts = []
+    for c in df.columns:
+        text = _exact(df, c)
+        # A value's length before it, so that no two rows read alike.
+        parts.append(F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("~")))
+    return F.concat(row_hash(key, seed), F.md5(F.concat(*parts)))
 
 
 def _reach(counts: DataFrame, order: str, rows: int) -> tuple:
