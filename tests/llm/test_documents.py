@@ -253,15 +253,15 @@ def lang_docs(spark, n=300):
 
 
 def brute_kneser_ney(texts):
-    """gram -> cost of its last symbol, from counts in plain dictionaries; padded with 0."""
+    """gram -> cost of its last symbol, from counts in plain dictionaries; padded with gaps."""
     from collections import Counter
 
     top = Counter()
     for t in texts:
         for w in t.split():
             for run in re.findall(r"[^\W\d_]+", w):
-                s = [0] * (langid.ORDER - 1) + [1 + ord(c.lower()) % 4095 for c in run] + [0]
-                top.update(tuple(s[i : i + langid.ORDER]) for i in range(len(s) - langid.ORDER + 1))
+                s = " " * (langid.ORDER - 1) + run.lower() + " "
+                top.update(s[i : i + langid.ORDER] for i in range(len(s) - langid.ORDER + 1))
     tables = {langid.ORDER: top}
     for k in range(langid.ORDER - 1, 0, -1):
         tables[k] = Counter(g[1:] for g in tables[k + 1])
@@ -287,28 +287,58 @@ def test_costs_are_interpolated_kneser_ney(spark):
     model = langid.train(docs)
     seen = [r["text"] for r in docs.where(~langid.held_out()).collect()]
     p, vocabulary = brute_kneser_ney(seen)
-    grams, _ = langid.grams_of(sentences("en", 12, 999).split() + ["zebra"])
-    for gram, cost in zip(grams.tolist(), model.costs(grams)[:, 0], strict=True):
-        symbols = tuple(gram >> (langid.BITS * (langid.ORDER - 1 - i)) & 4095 for i in range(langid.ORDER))
-        assert cost == pytest.approx(-np.log(p(symbols)), rel=1e-4), symbols
+    grams = langid.grams_of(sentences("en", 12, 999).split() + ["zebra"])[0].tolist()
+    for gram, cost in zip(grams, model.costs(grams)[:, 0], strict=True):
+        assert cost == pytest.approx(-np.log(p(gram)), rel=1e-4), gram
     assert model.vocabulary == vocabulary + 1
 
 
 def test_unseen_grams_are_not_priced_as_seen(spark):
-    """Grams that no text holds, whose hash of 20 bits is that of a gram seen: they cost what back-off gives."""
     docs = lang_docs(spark, 60).where("lang = 'en'")
     model = langid.train(docs)
     texts = [r["text"] for r in docs.where(~langid.held_out()).collect()]
     p, _ = brute_kneser_ney(texts)
-    slot = lambda g: (g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-    seen = np.unique(langid.grams_of(" ".join(texts).split())[0])
-    letters = np.random.default_rng(5).integers(98, 123, (200_000, langid.ORDER))
-    grams = np.setdiff1d((letters << (langid.BITS * np.arange(langid.ORDER))).sum(axis=1), seen)
-    grams = grams[np.isin(slot(grams), slot(seen))][:40]
-    assert len(grams) == 40
-    for gram, cost in zip(grams.tolist(), model.costs(grams)[:, 0], strict=True):
-        symbols = tuple(gram >> (langid.BITS * (langid.ORDER - 1 - i)) & 4095 for i in range(langid.ORDER))
-        assert cost == pytest.approx(-np.log(p(symbols)), rel=1e-4), symbols
+    seen = set(langid.grams_of(" ".join(texts).split())[0].tolist())
+    letters = random.Random(5)
+    grams = {"".join(letters.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(langid.ORDER)) for _ in range(200)} - seen
+    grams = sorted(grams | {"".join(chr(ord(c) + 4095) if c.isalpha() else c for c in g) for g in sorted(seen)[:40]})
+    for gram, cost in zip(grams, model.costs(grams)[:, 0], strict=True):
+        assert cost == pytest.approx(-np.log(p(gram)), rel=1e-4), gram
+
+
+def test_letters_of_all_planes_are_told_apart():
+    words = ["\u4e2d", chr(0x4E2D + 4095), "\U00020000\U00020001x", "\U00020000", "Ab"]
+    grams, place, firsts = langid.grams_of(words)
+    of = [grams[place[a:b]].tolist() for a, b in zip(firsts, firsts[1:])]
+    assert of[0] == ["    \u4e2d", "   \u4e2d "] and of[0][0] != of[1][0]
+    assert of[2] == ["    \U00020000", "   \U00020000\U00020001", "  \U00020000\U00020001x", " \U00020000\U00020001x "]
+    assert of[3][0] == of[2][0] and of[4] == ["    a", "   ab", "  ab "]
+    assert len(set(grams.tolist())) == len(grams)
+
+
+def test_languages_do_not_depend_on_slices(spark, monkeypatch):
+    """Many small slices give what one slice gives, words and n-grams beyond one byte's numbers included."""
+    docs = lang_docs(spark, 400).coalesce(1)
+    model = langid.train(docs)
+    one = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    monkeypatch.setattr(langid, "BATCH", 700)
+    for size in (1, 5_000):
+        monkeypatch.setattr(langid, "SLICE", size)
+        many = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+        assert many.keys() == one.keys()
+        for i, r in many.items():
+            assert r["lang_pred"] == one[i]["lang_pred"] and r["score"] == pytest.approx(one[i]["score"], abs=1e-6)
+
+
+def test_accepted_keeps_clashing_columns_and_repeated_rows(spark):
+    docs = lang_docs(spark, 90)
+    odd = docs.where("doc_id < 3").withColumn("text", F.lit("xqzj vkpq zzxj qqkv " * 20))
+    clash = docs.unionByName(odd).unionByName(docs.where("doc_id = 5"))
+    for name in ("_grams", "_slice", "grams", "slice", "key", "codes", "_rejected", "digest"):
+        clash = clash.withColumn(name, F.lit(7))
+    got = langid.accepted(clash, langid.train(docs))
+    assert got.columns == clash.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted([*range(90), 5])
 
 
 def test_held_out_languages(spark):

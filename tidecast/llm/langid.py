@@ -2,18 +2,19 @@
 
 Every language has a model of order ``ORDER`` over the letters of words, with the gap between
 words as one more symbol. Counts come from all training rows; discounts, continuation counts and
-back-off weights are aggregations in Spark. The finished model is a written table of exact n-grams,
-which grows with the corpus; the distinct n-grams of the texts are priced by joins with it, and each
-slice of texts meets the costs of its own n-grams. A text gets the language with the
-lowest cross-entropy per symbol, and is rejected where even that is far above what the language's
-own text costs.
+back-off weights are aggregations in Spark. The finished model is a written table of exact n-grams
+for each order, which grows with the corpus; the distinct n-grams of the texts are priced by joins
+with it. Texts themselves are read once and never shuffled: a slice of them is kept as its distinct
+n-grams, its distinct words as numbers of n-grams, and every text as numbers of words, and meets the
+costs of its own n-grams. A text gets the language with the lowest cross-entropy per symbol, and is
+rejected where even that is far above what the language's own text costs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import cache, reduce
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +28,18 @@ from tidecast.llm.common import bounded, coded, column, slices, sums, texts_of,
 from tidecast.llm.packing import ddl
 
 ORDER = 5
-#: Bits of a symbol in a packed n-gram: letters beyond the first 4,095 code points share symbols.
-BITS = 12
+#: The symbol of the gap between words, and of the places before a word's first letter.
+GAP = " "
 #: Where a text is rejected: this far from its language's own cost towards a uniform guess, plus
 #: this many standard deviations of the mean over its symbols.
 REJECT, DEVIATIONS = 0.5, 6.0
 #: Symbols that count as one independent observation when the score is formed: about a word.
 WORD = 8.0
 UNKNOWN = "und"
-#: Text handled at once: a table of costs per word and language goes with it.
-SLICE = 3 << 20
+#: Text read at once; text and distinct words of a slice, whichever is reached first.
+BATCH, SLICE, SLICE_WORDS = 3 << 20, 16 << 20, 3 << 20
 
-_GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
-_PREDICTED = pa.schema(
-    [("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("accepted", pa.bool_())]
-)
+_GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -51,51 +49,56 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 @cache
 def symbols() -> np.ndarray:
-    """The symbol of every code point: 0 for what is no letter, else its lower-case letter folded to ``BITS`` bits."""
-    out = np.zeros(0x110000, np.int64)
+    """The symbol of every code point: its lower-case letter, or the gap for what is no letter."""
+    out = np.full(0x110000, ord(GAP), np.uint32)
     for c in range(0x110000):
         if chr(c).isalpha():
-            out[c] = 1 + ord(chr(c).lower()[0]) % ((1 << BITS) - 1)
+            out[c] = ord(chr(c).lower()[0])
     return out
 
 
-def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at every letter of every word and at every end of letters, and each word's first one.
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams, the n-gram that ends at every letter of every word and at every end of letters, each word's first one.
 
-    A gram holds ``ORDER`` symbols, the last in the lowest bits; symbols before the letters' start are 0.
+    A gram is a string of ``ORDER`` symbols; those before the letters' start are gaps.
     """
     points = np.frombuffer(("\n".join(words) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
     s = symbols()[points]
     at = np.arange(len(s))
-    gap = np.maximum.accumulate(np.where(s == 0, at, -1))
+    gap = np.maximum.accumulate(np.where(s == ord(GAP), at, -1))
     before = np.append(-1, gap[:-1])  # the last gap before each place
-    gram = s.copy()
+    counted = np.flatnonzero((s != ord(GAP)) | (at - before > 1))
+    gram = np.full((len(counted), ORDER), ord(GAP), np.uint32)
+    gram[:, -1] = s[counted]
     for back in range(1, ORDER):
-        earlier = np.zeros_like(s)
-        earlier[back:] = s[:-back]
-        gram |= np.where(at - back > before, earlier, 0) << (BITS * back)
-    counted = (s > 0) | (at - before > 1)
+        inside = counted - back > before[counted]
+        gram[inside, ORDER - 1 - back] = s[counted[inside] - back]
+    # A letter has 21 bits: the first two and the last three symbols are numbered, then the pairs of numbers.
+    parts = [np.zeros(len(gram), np.int64), np.zeros(len(gram), np.int64)]
+    for i in range(ORDER):
+        parts[i >= 2] = parts[i >= 2] << 21 | gram[:, i]
+    (_, first), (ends, last) = (np.unique(x, return_inverse=True) for x in parts)
+    _, one, place = np.unique(first * max(1, len(ends)) + last, return_index=True, return_inverse=True)
+    distinct = np.ascontiguousarray(gram[one]).view(f"<U{ORDER}").ravel()
     lengths = np.array([len(w) + 1 for w in words], np.int64)
     word = np.repeat(np.arange(len(words)), lengths)[counted]
-    return gram[counted], np.searchsorted(word, np.arange(len(words) + 1))
+    return distinct, place, np.searchsorted(word, np.arange(len(words) + 1))
 
 
-def _words(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
-    dictionary, codes, rows = coded(pc.ascii_split_whitespace(column(batch, "text")))
-    return dictionary.to_pylist(), codes, rows
+def _words(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    return coded(pc.ascii_split_whitespace(column(batch, "text")))
 
 
 def counts(docs: DataFrame) -> DataFrame:
     """lang, gram, n over every row of ``docs`` (text, lang); each slice of a task sends a gram once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=SLICE):
+        for batch in slices(batches, limit=BATCH):
             words, codes, rows = _words(batch)
-            if not words:
+            if not len(words):
                 continue
-            grams, firsts = grams_of(words)
+            found, place, firsts = grams_of(words.to_pylist())
             word = np.repeat(np.arange(len(words)), np.diff(firsts))
-            found, place = np.unique(grams, return_inverse=True)
             langs = column(batch, "lang").to_numpy(zero_copy_only=False)
             of = np.repeat(np.arange(len(langs)), np.diff(rows))
             for lang in sorted(set(langs)):
@@ -109,23 +112,19 @@ def counts(docs: DataFrame) -> DataFrame:
     return usable.mapInArrow(work, ddl(_GRAMS)).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def probabilities(grams: DataFrame) -> DataFrame:
-    """order, kind (0: discounted share of a gram, 1: back-off weight of a context), gram, lang, value."""
-    tables = [grams.select("lang", "gram", F.col("n").alias("c"))]
-    for order in range(ORDER - 1, 0, -1):
-        tail = F.col("gram").bitwiseAND(F.lit((1 << (BITS * order)) - 1)).alias("gram")
-        tables.append(tables[-1].groupBy("lang", tail).agg(F.count(F.lit(1)).alias("c")))
-    orders = [t.withColumn("order", F.lit(ORDER - i)) for i, t in enumerate(tables)]
-    every = reduce(DataFrame.unionByName, orders).withColumn("context", F.shiftright("gram", BITS))
-    once, twice = (F.sum((F.col("c") == n).cast("long")) for n in (1, 2))
-    discount = every.groupBy("order", "lang").agg(once.alias("n1"), twice.alias("n2"))
-    share = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    discount = discount.select("order", "lang", F.when((F.col("n1") > 0) & (F.col("n2") > 0), share).otherwise(0.5).alias("d"))
-    contexts = every.groupBy("order", "lang", "context").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    contexts = contexts.join(discount, ["order", "lang"])
-    seen = every.join(contexts, ["order", "lang", "context"])
-    return seen.select("order", F.lit(0).alias("kind"), "gram", "lang", ((F.col("c") - F.col("d")) / F.col("total")).alias("value")).unionByName(
-        contexts.select("order", F.lit(1).alias("kind"), F.col("context").alias("gram"), "lang", (F.col("d") * F.col("kinds") / F.col("total")).alias("value"))
+def probabilities(counted: DataFrame, order: int) -> DataFrame:
+    """kind (0: discounted share of a gram, 1: back-off weight of a context), gram, lang, value of one order.
+
+    ``counted`` holds lang, gram and c, the count or the number of symbols seen before the gram.
+    """
+    once, twice = (F.sum((F.col("c") == n).cast("long")).alias(name) for n, name in ((1, "n1"), (2, "n2")))
+    shares = {r["lang"]: r["n1"] / (r["n1"] + 2 * r["n2"]) if r["n1"] and r["n2"] else 0.5 for r in counted.groupBy("lang").agg(once, twice).collect()}
+    discount = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair]), F.col("lang"))
+    every = counted.withColumn("context", F.substring("gram", 1, order - 1))
+    contexts = every.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    seen = every.join(contexts.hint("merge"), ["lang", "context"])
+    return seen.select(F.lit(0).alias("kind"), "gram", "lang", ((F.col("c") - discount) / F.col("total")).alias("value")).unionByName(
+        contexts.select(F.lit(1).alias("kind"), F.col("context").alias("gram"), "lang", (discount * F.col("kinds") / F.col("total")).alias("value"))
     )
 
 
@@ -138,21 +137,8 @@ class Judge:
     mean: np.ndarray | None = None
     deviation: np.ndarray | None = None
 
-    def texts(self, batch: pa.RecordBatch, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cost of each text in each language, and its number of symbols. ``keys``: its n-grams, ascending, each with a row of costs."""
-        words, codes, rows = _words(batch)
-        grams, firsts = grams_of(words) if words else (np.zeros(0, np.int64), np.zeros(1, np.int64))
-        if not len(grams) or not self.langs:
-            return np.zeros((batch.num_rows, max(1, len(self.langs)))), np.zeros(batch.num_rows, np.int64)
-        word_cost, size = sums(values[np.searchsorted(keys, grams)].astype(np.float64), firsts), np.diff(firsts)
-        return sums(word_cost[codes], rows), sums(size[codes], rows)
-
-    def judge(self, batch: pa.RecordBatch, keys: np.ndarray, values: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Language, score, cross-entropy and acceptance of each text."""
-        cost, size = self.texts(batch, keys, values)
-        if not self.langs:
-            none = np.zeros(batch.num_rows)
-            return [UNKNOWN] * batch.num_rows, none, none, none > 0
+    def judge(self, cost: np.ndarray, size: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, cross-entropy and acceptance of texts, by their costs in each language and numbers of symbols."""
         best = np.argmin(cost, axis=1)
         least = cost.min(axis=1)
         score = np.where(size > 0, 1 / np.exp(-(cost - least[:, None]) / WORD).sum(axis=1), 0.0)
@@ -163,93 +149,153 @@ class Judge:
         return names, score, entropy, (size > 0) & (entropy <= most)
 
 
+def _packed(codes: np.ndarray, most: int) -> tuple[np.ndarray, int]:
+    """Numbers below ``most`` in as few bytes as hold them, and how many those are."""
+    width = 1 if most <= 1 << 8 else 2 if most <= 1 << 16 else 4
+    return codes.astype(f"<u{width}"), width
+
+
+def sliced(texts: DataFrame, key: str) -> DataFrame:
+    """The texts as numbers, in slices of a few megabytes.
+
+    A text's row: slice, key, width, and codes, its words as unsigned integers of ``width`` bytes. A
+    slice has one more row with its distinct ``grams``, the words' grams as such integers, and in
+    ``sizes`` the words' numbers of grams. Words are numbered within the slice as they are met.
+    """
+    made = pa.schema(
+        [("slice", pa.int64()), ("key", pa.int64() if dict(texts.dtypes)[key] == "bigint" else pa.string()), ("width", pa.int32()), ("codes", pa.binary()), ("grams", pa.list_(pa.string())), ("sizes", pa.binary())]
+    )
+
+    def head(number: int, known: pa.Array) -> pa.RecordBatch:
+        grams, place, firsts = grams_of(known.to_pylist()) if len(known) else (np.zeros(0, "U1"), np.zeros(0, np.int64), np.zeros(1, np.int64))
+        packed, width = _packed(place, len(grams))
+        sizes = np.diff(firsts).astype("<u4").tobytes()
+        return to_batch(made, slice=[number], key=[None], width=[width], codes=[packed.tobytes()], grams=[grams.tolist()], sizes=[sizes])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, known, read = TaskContext.get().partitionId() << 32, pa.array([], pa.string()), 0
+        for batch in slices(batches, limit=BATCH):
+            words, codes, rows = _words(batch)
+            words = words.cast(pa.string())
+            place = pc.index_in(words, value_set=known)
+            new = pc.is_null(place)
+            numbers = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            new_at = new.to_numpy(zero_copy_only=False)
+            numbers[new_at] = len(known) + np.arange(int(new_at.sum()))
+            known = pa.concat_arrays([known, words.filter(new)])
+            packed, width = _packed(numbers[codes], len(known))
+            ends = pa.array(rows * width, pa.int32())
+            blobs = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, ends.buffers()[1], pa.py_buffer(packed.tobytes())])
+            n, none = batch.num_rows, [None] * batch.num_rows
+            yield to_batch(made, slice=[number] * n, key=column(batch, key), width=[width] * n, codes=blobs, grams=none, sizes=none)
+            read += max(1, column(batch, "text").nbytes)
+            if read >= SLICE or known.nbytes >= SLICE_WORDS:
+                yield head(number, known)
+                number, known, read = number + 1, pa.array([], pa.string()), 0
+        if read:
+            yield head(number, known)
+
+    return written(texts.select(key, "text").mapInArrow(cut, ddl(made)), "slices")
+
+
 @dataclass
 class Model(Judge):
-    """``table``: order, kind, gram and an array with a value for every language, one row per n-gram seen."""
+    """``tables``: for each order from 1 up, a table of kind, gram and an array with a value for every language."""
 
-    table: DataFrame | None = None
+    tables: list[DataFrame] = field(default_factory=list)
 
     def priced(self, grams: DataFrame) -> DataFrame:
         """gram, cost: for every distinct gram, the nats of its last symbol after the others, per language.
 
         From the shortest order up: an order's distinct n-grams meet their discounted share, the
-        back-off weight of their context and what the order below gave.
+        back-off weight of their context and what the order below gave, and are written.
         """
-        needed = written(grams.select("gram").distinct(), "needed")
+        below = written(grams.select("gram").distinct(), "needed")
+        needed = [below]
+        for order in range(ORDER - 1, 0, -1):
+            needed.append(written(needed[-1].select(F.substring("gram", 2, order).alias("gram")).distinct(), f"needed-{order}"))
         shares, ones = (F.array(*[F.lit(x)] * len(self.langs)) for x in (0.0, 1.0))
-        below = None
-        for order in range(1, ORDER + 1):
-            cut = F.col("gram").bitwiseAND(F.lit((1 << (BITS * order)) - 1))
-            here = self.table.where(F.col("order") == order)
-            share = here.where("kind = 0").select("gram", F.col("value").alias("share"))
-            weight = here.where("kind = 1").select(F.col("gram").alias("context"), F.col("value").alias("weight"))
-            found = needed.select(cut.alias("gram")).distinct().withColumn("context", F.shiftright("gram", BITS))
-            found = found.join(share, "gram", "left").join(weight, "context", "left")
-            if below is None:
+        for order, table in enumerate(self.tables, 1):
+            share = table.where("kind = 0").select("gram", F.col("value").alias("share"))
+            weight = table.where("kind = 1").select(F.col("gram").alias("context"), F.col("value").alias("weight"))
+            found = needed[ORDER - order].withColumn("context", F.substring("gram", 1, order - 1))
+            found = found.join(share.hint("merge"), "gram", "left").join(weight.hint("merge"), "context", "left")
+            if order == 1:
                 found = found.withColumn("p", F.array(*[F.lit(1.0 / self.vocabulary)] * len(self.langs)))
             else:
-                tail = F.col("gram").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
-                found = found.withColumn("tail", tail).join(below.select(F.col("gram").alias("tail"), "p"), "tail")
+                tail = F.substring("gram", 2, order - 1)
+                found = found.withColumn("tail", tail).join(below.select(F.col("gram").alias("tail"), "p").hint("merge"), "tail")
             lower = F.zip_with(F.coalesce("weight", ones), "p", lambda x, y: x * y)
-            below = found.select("gram", F.zip_with(F.coalesce("share", shares), lower, lambda x, y: x + y).alias("p"))
+            below = written(found.select("gram", F.zip_with(F.coalesce("share", shares), lower, lambda x, y: x + y).alias("p")), f"priced-{order}")
         return below.select("gram", F.transform("p", lambda x: -F.log(F.greatest(x, F.lit(1e-12)))).alias("cost"))
 
-    def costs(self, grams: np.ndarray) -> np.ndarray:
+    def costs(self, grams: list[str]) -> np.ndarray:
         """Nats of each of a few grams' last symbol after the others, per language."""
-        asked = self.table.sparkSession.createDataFrame([(int(g),) for g in np.unique(grams)], "gram long")
+        asked = self.tables[0].sparkSession.createDataFrame([(g,) for g in sorted(set(grams))], "gram string")
         found = {r["gram"]: r["cost"] for r in self.priced(asked).collect()}
-        return np.array([found[int(g)] for g in grams])
+        return np.array([found[g] for g in grams])
 
-    def applied(self, docs: DataFrame, schema: T.StructType | str, work) -> DataFrame:
-        """``work(judge, batch, keys, values)`` on slices of ``docs``, each with the costs of its own n-grams.
+    def judged(self, texts: DataFrame, key: str) -> DataFrame:
+        """key, lang_pred, score, cross_entropy, accepted: one row per row of ``texts`` (``key``, a long or a string, and text).
 
-        Slices are written with their distinct n-grams, so that both reads see the same ones. Only
-        n-grams are joined with the model, and each slice goes to one task with its costs.
+        Only n-grams are joined with the model, and each slice's numbers go to one task with the costs of its n-grams.
         """
-        plain, names = Judge(self.langs, self.vocabulary, self.mean, self.deviation), docs.columns
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            number = TaskContext.get().partitionId() << 32
-            for batch in slices(batches, limit=SLICE):
-                words = _words(batch)[0]
-                grams = np.unique(grams_of(words)[0]) if words else np.zeros(0, np.int64)
-                held = pa.array([grams] + [None] * (batch.num_rows - 1), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([number] * batch.num_rows, pa.int64()), held], names=[*names, "_slice", "_grams"])
-                number += 1
+        plain = Judge(self.langs, self.vocabulary, self.mean, self.deviation)
+        parts = sliced(texts, key)
+        out = T.StructType([parts.schema["key"], *T.StructType.fromDDL("lang_pred string, score double, cross_entropy double, accepted boolean").fields])
 
         def meet(part: pa.Table, costs: pa.Table) -> pa.Table:
-            costs = costs.sort_by("gram").combine_chunks()
-            values = costs.column("cost").combine_chunks()
-            values = values.flatten().to_numpy(zero_copy_only=False).reshape(costs.num_rows, -1) if costs.num_rows else np.zeros((0, len(plain.langs)), np.float32)
-            batches = part.select(names).combine_chunks().to_batches()
-            return pa.Table.from_batches([work(plain, b, costs.column("gram").to_numpy(), values) for b in batches])
-
-        made = T.StructType([*docs.schema.fields, T.StructField("_slice", T.LongType()), T.StructField("_grams", T.ArrayType(T.LongType()))])
-        parts = written(docs.mapInArrow(cut, made), "slices")
-        grams = parts.where(F.col("_grams").isNotNull()).select(F.col("_slice").alias("_of"), F.explode("_grams").alias("gram"))
-        priced = written(self.priced(grams).select("gram", F.col("cost").cast("array<float>").alias("cost")), "priced")
-        costs = grams.join(priced, "gram").select("_of", "gram", "cost")
-        return parts.drop("_grams").groupBy("_slice").cogroup(costs.groupBy("_of")).applyInArrow(meet, schema)
+            some = pc.is_valid(part.column("grams"))
+            (head,) = part.filter(some).select(["codes", "width", "sizes"]).to_pylist()
+            values = np.zeros((costs.num_rows, len(plain.langs)))
+            flat = costs.column("cost").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            values[costs.column("pos").to_numpy()] = flat.reshape(values.shape)
+            size = np.frombuffer(head["sizes"], "<u4").astype(np.int64)
+            word_cost = sums(values[np.frombuffer(head["codes"], f"<u{head['width']}")], np.append(0, np.cumsum(size)))
+            part = part.filter(pc.invert(some))
+            cost, symbols_in = np.zeros((part.num_rows, len(plain.langs))), np.zeros(part.num_rows, np.int64)
+            for i, (width, codes) in enumerate(zip(part.column("width").to_pylist(), part.column("codes").to_pylist(), strict=True)):
+                of = np.frombuffer(codes, f"<u{width}")
+                if len(of) < len(size):
+                    cost[i], symbols_in[i] = word_cost[of].sum(axis=0), size[of].sum()
+                else:
+                    times = np.bincount(of, minlength=len(size))
+                    cost[i], symbols_in[i] = times @ word_cost, times @ size
+            names, score, entropy, accepted = plain.judge(cost, symbols_in)
+            return pa.table({"key": part.column("key"), "lang_pred": pa.array(names, pa.string()), "score": score, "cross_entropy": entropy, "accepted": accepted})
+
+        grams = parts.where(F.col("grams").isNotNull()).select(F.col("slice").alias("of"), F.posexplode("grams").alias("pos", "gram"))
+        cost = self.priced(grams).select("gram", F.col("cost").cast("array<float>").alias("cost"))
+        costs = grams.join(cost.hint("merge"), "gram").select("of", "pos", "cost")
+        # The numbers of the n-grams have done their work: the slices need only the costs.
+        slim = parts.withColumn("grams", F.when(F.col("grams").isNotNull(), F.array().cast("array<string>")))
+        return slim.groupBy("slice").cogroup(costs.groupBy("of")).applyInArrow(meet, out)
 
 
 def train(docs: DataFrame) -> Model:
     """A model of every language in ``docs``, from the rows that are not held out and have a text and a language.
 
     Every such row counts and every n-gram is kept. Only the languages' names, the number of
-    symbols and two figures per language reach the driver. Without any such row the model knows no
-    language and calls every text unknown.
+    symbols and a few figures per language and order reach the driver. Without any such row the
+    model knows no language and calls every text unknown.
     """
     grams = written(counts(docs.where(~held_out() & F.col("doc_id").isNotNull())), "grams")
     langs = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
     if not langs:
         return Model(langs, 1)
     missing = F.when(F.col("kind") == 0, 0.0).otherwise(1.0)
-    found = probabilities(grams).groupBy("order", "kind", "gram").agg(*[F.max(F.when(F.col("lang") == x, F.col("value"))).alias(f"v{i}") for i, x in enumerate(langs)])
-    found = found.select("order", "kind", "gram", F.array(*[F.coalesce(f"v{i}", missing) for i in range(len(langs))]).alias("value"))
-    model = Model(langs, 1, table=written(found.sortWithinPartitions("order", "kind"), "model"))
-    model.vocabulary = model.table.where((F.col("order") == 1) & (F.col("kind") == 0)).count() + 1
+    of_lang = [F.max(F.when(F.col("lang") == x, F.col("value"))).alias(f"v{i}") for i, x in enumerate(langs)]
+    values = F.array(*[F.coalesce(f"v{i}", missing) for i in range(len(langs))]).alias("value")
+    counted, tables = grams.withColumnRenamed("n", "c"), []
+    for order in range(ORDER, 0, -1):
+        found = probabilities(counted, order).groupBy("kind", "gram").agg(*of_lang).select("kind", "gram", values)
+        tables.insert(0, written(found.sortWithinPartitions("kind"), f"model-{order}"))
+        if order > 1:
+            shorter = counted.select("lang", F.substring("gram", 2, order - 1).alias("gram"))
+            counted = written(shorter.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c")), f"counts-{order - 1}")
+    model = Model(langs, tables[0].where("kind = 0").count() + 1, tables=tables)
     own = F.get("cost", (F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1).cast("int"))
-    each = grams.join(model.priced(grams), "gram").select("lang", F.col("n").cast("double").alias("n"), own.alias("cost"))
+    each = grams.join(model.priced(grams).hint("merge"), "gram").select("lang", F.col("n").cast("double").alias("n"), own.alias("cost"))
     sums_of = (F.sum(x).alias(name) for name, x in (("n", F.col("n")), ("cost", F.expr("n * cost")), ("square", F.expr("n * cost * cost"))))
     totals = {r["lang"]: r for r in each.groupBy("lang").agg(*sums_of).collect()}
     n, cost, square = (np.array([totals[x][c] for x in langs]) for c in ("n", "cost", "square"))
@@ -264,26 +310,23 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     A null text, or one without a letter, is ``und`` with score 0 and not accepted. The score is the
     best language's share when costs are turned into probabilities, one observation per word.
     """
-
-    def work(judge: Judge, batch: pa.RecordBatch, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        names, score, entropy, accepted = judge.judge(batch, keys, values)
-        return to_batch(_PREDICTED, doc_id=column(batch, "doc_id"), lang_pred=names, score=score, cross_entropy=entropy, accepted=accepted)
-
     texts = texts_of(docs)
     if model.langs:
-        found = model.applied(texts, ddl(_PREDICTED), work)
+        found = model.judged(texts, "doc_id").withColumnRenamed("key", "doc_id")
     else:
         found = texts.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), F.lit(False).alias("accepted"))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text the model accepts."""
+    """The rows of ``docs``, with all their columns, whose text the model accepts. A null text is never accepted.
+
+    The verdict depends on the text alone, so the digests of the rejected texts are written and kept
+    away from ``docs`` by an anti-join; where they are few, Spark sends them by their written size.
+    """
     if not model.langs:
         return docs.where(F.lit(False))
-
-    def work(judge: Judge, batch: pa.RecordBatch, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        return batch.filter(pa.array(judge.judge(batch, keys, values)[3]))
-
-    # A null text is never accepted.
-    return model.applied(bounded(docs).where(F.col("text").isNotNull()), docs.schema, work)
+    some = bounded(docs).where(F.col("text").isNotNull())
+    digests = model.judged(some.select(F.md5("text").alias("digest"), "text"), "digest")
+    rejected = written(digests.where(~F.col("accepted")).select(F.col("key").alias("_rejected")).distinct(), "rejected")
+    return some.join(rejected, F.md5(some["text"]) == rejected["_rejected"], "left_anti")
