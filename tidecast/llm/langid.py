@@ -4,9 +4,8 @@ Every language has a model of order ``ORDER`` over the letters of words, with th
 words as one more symbol. Counts come from all training rows; discounts, continuation counts and
 back-off weights are aggregations in Spark. The finished model is a written table of exact n-grams
 for each order, which grows with the corpus; the distinct n-grams of the texts are priced by joins
-with it. Texts themselves are read once and never shuffled: a slice of them is kept as its distinct
-n-grams, its distinct words as numbers of n-grams, and every text as numbers of words, and meets the
-costs of its own n-grams. A text gets the language with the lowest cross-entropy per symbol, and is
+with it. Texts themselves are never shuffled: a slice of them is kept as its distinct words, their
+distinct n-grams, and the words of every text as numbers, and meets the costs of its own n-grams. A text gets the language with the lowest cross-entropy per symbol, and is
 rejected where even that is far above what the language's own text costs.
 """
 
@@ -36,8 +35,8 @@ REJECT, DEVIATIONS = 0.5, 6.0
 #: Symbols that count as one independent observation when the score is formed: about a word.
 WORD = 8.0
 UNKNOWN = "und"
-#: Text read at once; text and distinct words of a slice, whichever is reached first.
-BATCH, SLICE, SLICE_WORDS = 3 << 20, 16 << 20, 3 << 20
+#: Text read at once; text and distinct words of a slice, whichever is reached first; letters cut into n-grams at once.
+BATCH, SLICE, SLICE_WORDS, BLOCK = 3 << 20, 32 << 20, 8 << 20, 1 << 19
 
 _GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
@@ -68,21 +67,42 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     gap = np.maximum.accumulate(np.where(s == ord(GAP), at, -1))
     before = np.append(-1, gap[:-1])  # the last gap before each place
     counted = np.flatnonzero((s != ord(GAP)) | (at - before > 1))
-    gram = np.full((len(counted), ORDER), ord(GAP), np.uint32)
-    gram[:, -1] = s[counted]
-    for back in range(1, ORDER):
-        inside = counted - back > before[counted]
-        gram[inside, ORDER - 1 - back] = s[counted[inside] - back]
-    # A letter has 21 bits: the first two and the last three symbols are numbered, then the pairs of numbers.
-    parts = [np.zeros(len(gram), np.int64), np.zeros(len(gram), np.int64)]
-    for i in range(ORDER):
-        parts[i >= 2] = parts[i >= 2] << 21 | gram[:, i]
-    (_, first), (ends, last) = (np.unique(x, return_inverse=True) for x in parts)
-    _, one, place = np.unique(first * max(1, len(ends)) + last, return_index=True, return_inverse=True)
-    distinct = np.ascontiguousarray(gram[one]).view(f"<U{ORDER}").ravel()
-    lengths = np.array([len(w) + 1 for w in words], np.int64)
-    word = np.repeat(np.arange(len(words)), lengths)[counted]
-    return distinct, place, np.searchsorted(word, np.arange(len(words) + 1))
+    found = np.zeros(0x110000, bool)
+    found[s] = found[ord(GAP)] = True
+    letters, number = np.flatnonzero(found), np.cumsum(found) - 1
+    bits = max(1, int(len(letters) - 1).bit_length())
+    symbol = number[s]
+    columns = [np.where(counted - back > before[counted], symbol[counted - back], number[ord(GAP)]) for back in range(ORDER - 1, 0, -1)]
+    columns.append(symbol[counted])
+    # Where five symbols do not fit one number, two and three of them are numbered first.
+    cuts = [columns] if bits * ORDER < 64 else [columns[:2], columns[2:]]
+    coded_parts = [_numbered(_joined(part, bits)) for part in cuts]
+    distinct, place = coded_parts[0]
+    matrices = [_split(distinct, len(cuts[0]), bits)]
+    if len(cuts) > 1:
+        tails, tail = coded_parts[1]
+        both, place = _numbered(place * max(1, len(tails)) + tail)
+        matrices = [matrices[0][both // max(1, len(tails))], _split(tails, len(cuts[1]), bits)[both % max(1, len(tails))]]
+    grams = np.ascontiguousarray(letters[np.concatenate(matrices, axis=1)].astype(np.uint32)).view(f"<U{ORDER}").ravel()
+    word = np.repeat(np.arange(len(words)), np.array([len(w) + 1 for w in words], np.int64))[counted]
+    return grams, place, np.searchsorted(word, np.arange(len(words) + 1))
+
+
+def _joined(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        out = out << bits | c
+    return out
+
+
+def _split(numbers: np.ndarray, n: int, bits: int) -> np.ndarray:
+    return numbers[:, None] >> (bits * np.arange(n - 1, -1, -1)) & ((1 << bits) - 1)
+
+
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values as they are met, and the number of each value's."""
+    found = pa.array(values).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy().astype(np.int64)
 
 
 def _words(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -149,28 +169,52 @@ class Judge:
         return names, score, entropy, (size > 0) & (entropy <= most)
 
 
-def _packed(codes: np.ndarray, most: int) -> tuple[np.ndarray, int]:
-    """Numbers below ``most`` in as few bytes as hold them, and how many those are."""
-    width = 1 if most <= 1 << 8 else 2 if most <= 1 << 16 else 4
-    return codes.astype(f"<u{width}"), width
+def _packed(codes: np.ndarray, most: int) -> tuple[bytes, int]:
+    """Numbers below ``most`` in as few bytes as hold them, compressed, and how many those are."""
+    width = 2 if most <= 1 << 16 else 4
+    return pa.compress(codes.astype(f"<u{width}").tobytes(), codec="zstd", asbytes=True), width
+
+
+def _blocks(words: list[str]) -> Iterator[list[str]]:
+    """Runs of words of about ``BLOCK`` letters each."""
+    at, letters = 0, 0
+    for i, w in enumerate(words):
+        letters += len(w) + 1
+        if letters >= BLOCK:
+            yield words[at : i + 1]
+            at, letters = i + 1, 0
+    if at < len(words):
+        yield words[at:]
 
 
 def sliced(texts: DataFrame, key: str) -> DataFrame:
-    """The texts as numbers, in slices of a few megabytes.
+    """The texts as numbers of words, in slices.
 
-    A text's row: slice, key, width, and codes, its words as unsigned integers of ``width`` bytes. A
-    slice has one more row with its distinct ``grams``, the words' grams as such integers, and in
-    ``sizes`` the words' numbers of grams. Words are numbered within the slice as they are met.
+    A row holds the texts of one batch: slice, their ``keys``, their numbers of ``words``, and in
+    ``packed`` those words as compressed unsigned integers of ``width`` bytes. A slice has one more row
+    with its distinct ``grams`` and in ``packed`` its distinct words, in the order of their numbers,
+    as compressed lines of ``raw`` bytes.
     """
+    kind = pa.int64() if dict(texts.dtypes)[key] == "bigint" else pa.string()
     made = pa.schema(
-        [("slice", pa.int64()), ("key", pa.int64() if dict(texts.dtypes)[key] == "bigint" else pa.string()), ("width", pa.int32()), ("codes", pa.binary()), ("grams", pa.list_(pa.string())), ("sizes", pa.binary())]
+        [
+            ("slice", pa.int64()),
+            ("keys", pa.list_(kind)),
+            ("words", pa.list_(pa.int64())),
+            ("width", pa.int32()),
+            ("raw", pa.int64()),
+            ("packed", pa.binary()),
+            ("grams", pa.list_(pa.string())),
+        ]
     )
 
     def head(number: int, known: pa.Array) -> pa.RecordBatch:
-        grams, place, firsts = grams_of(known.to_pylist()) if len(known) else (np.zeros(0, "U1"), np.zeros(0, np.int64), np.zeros(1, np.int64))
-        packed, width = _packed(place, len(grams))
-        sizes = np.diff(firsts).astype("<u4").tobytes()
-        return to_batch(made, slice=[number], key=[None], width=[width], codes=[packed.tobytes()], grams=[grams.tolist()], sizes=[sizes])
+        words = known.to_pylist()
+        found = [pa.array(grams_of(block)[0], pa.string()) for block in _blocks(words)]
+        grams = pc.unique(pa.concat_arrays(found)) if found else pa.array([], pa.string())
+        raw = "\n".join(words).encode("utf-8", "surrogatepass")
+        packed = pa.compress(raw, codec="zstd", asbytes=True)
+        return to_batch(made, slice=[number], keys=[None], words=[None], width=[0], raw=[len(raw)], packed=[packed], grams=[grams.to_pylist()])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, known, read = TaskContext.get().partitionId() << 32, pa.array([], pa.string()), 0
@@ -178,17 +222,14 @@ def sliced(texts: DataFrame, key: str) -> DataFrame:
             words, codes, rows = _words(batch)
             words = words.cast(pa.string())
             place = pc.index_in(words, value_set=known)
-            new = pc.is_null(place)
-            numbers = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            new_at = new.to_numpy(zero_copy_only=False)
-            numbers[new_at] = len(known) + np.arange(int(new_at.sum()))
-            known = pa.concat_arrays([known, words.filter(new)])
+            new = place.is_null().to_numpy(zero_copy_only=False)
+            numbers = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            numbers[new] = len(known) + np.arange(int(new.sum()))
+            known = pa.concat_arrays([known, words.filter(pa.array(new))])
             packed, width = _packed(numbers[codes], len(known))
-            ends = pa.array(rows * width, pa.int32())
-            blobs = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, ends.buffers()[1], pa.py_buffer(packed.tobytes())])
-            n, none = batch.num_rows, [None] * batch.num_rows
-            yield to_batch(made, slice=[number] * n, key=column(batch, key), width=[width] * n, codes=blobs, grams=none, sizes=none)
-            read += max(1, column(batch, "text").nbytes)
+            keys = column(batch, key).to_pylist()
+            yield to_batch(made, slice=[number], keys=[keys], words=[np.diff(rows)], width=[width], raw=[len(codes) * width], packed=[packed], grams=[None])
+            read += max(1, int(column(batch, "text").nbytes))
             if read >= SLICE or known.nbytes >= SLICE_WORDS:
                 yield head(number, known)
                 number, known, read = number + 1, pa.array([], pa.string()), 0
@@ -242,34 +283,42 @@ class Model(Judge):
         """
         plain = Judge(self.langs, self.vocabulary, self.mean, self.deviation)
         parts = sliced(texts, key)
-        out = T.StructType([parts.schema["key"], *T.StructType.fromDDL("lang_pred string, score double, cross_entropy double, accepted boolean").fields])
+        verdicts = "lang_pred string, score double, cross_entropy double, accepted boolean"
+        out = T.StructType([T.StructField("key", parts.schema["keys"].dataType.elementType), *T.StructType.fromDDL(verdicts).fields])
 
         def meet(part: pa.Table, costs: pa.Table) -> pa.Table:
-            some = pc.is_valid(part.column("grams"))
-            (head,) = part.filter(some).select(["codes", "width", "sizes"]).to_pylist()
-            values = np.zeros((costs.num_rows, len(plain.langs)))
-            flat = costs.column("cost").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            values[costs.column("pos").to_numpy()] = flat.reshape(values.shape)
-            size = np.frombuffer(head["sizes"], "<u4").astype(np.int64)
-            word_cost = sums(values[np.frombuffer(head["codes"], f"<u{head['width']}")], np.append(0, np.cumsum(size)))
+            some = pc.equal(part.column("width"), 0)
+            (head,) = part.filter(some).to_pylist()
             part = part.filter(pc.invert(some))
-            cost, symbols_in = np.zeros((part.num_rows, len(plain.langs))), np.zeros(part.num_rows, np.int64)
-            for i, (width, codes) in enumerate(zip(part.column("width").to_pylist(), part.column("codes").to_pylist(), strict=True)):
-                of = np.frombuffer(codes, f"<u{width}")
-                if len(of) < len(size):
-                    cost[i], symbols_in[i] = word_cost[of].sum(axis=0), size[of].sum()
-                else:
-                    times = np.bincount(of, minlength=len(size))
-                    cost[i], symbols_in[i] = times @ word_cost, times @ size
-            names, score, entropy, accepted = plain.judge(cost, symbols_in)
-            return pa.table({"key": part.column("key"), "lang_pred": pa.array(names, pa.string()), "score": score, "cross_entropy": entropy, "accepted": accepted})
-
-        grams = parts.where(F.col("grams").isNotNull()).select(F.col("slice").alias("of"), F.posexplode("grams").alias("pos", "gram"))
+            known = costs.column("gram").combine_chunks()
+            values = costs.column("cost").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(costs.num_rows, len(plain.langs))
+            words = pa.decompress(head["packed"], head["raw"], codec="zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n")
+            word_cost, word_size = [], []
+            for block in _blocks(words):
+                grams, place, firsts = grams_of(block)
+                at = pc.index_in(pa.array(grams, known.type), value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
+                word_cost.append(sums(values[at[place]].astype(np.float64), firsts))
+                word_size.append(np.diff(firsts))
+            word_cost, word_size = np.concatenate(word_cost), np.concatenate(word_size)
+            tables = []
+            for row in range(part.num_rows):
+                of = part.slice(row, 1).select(["words", "width", "raw", "packed"]).to_pylist()[0]
+                ends = np.append(0, np.cumsum(np.array(of["words"], np.int64)))
+                codes = np.frombuffer(pa.decompress(of["packed"], of["raw"], codec="zstd", asbytes=True), f"<u{of['width']}")
+                if len(of["words"]) > 1:
+                    cost, size = sums(word_cost[codes], ends), sums(word_size[codes], ends)
+                else:  # a text may be long: its words are counted first
+                    times = np.bincount(codes, minlength=len(word_size))
+                    cost, size = (times @ word_cost)[None], np.array([times @ word_size])
+                names, score, entropy, accepted = plain.judge(cost, size)
+                keys = part.column("keys").slice(row, 1).combine_chunks().flatten()
+                tables.append(pa.table({"key": keys, "lang_pred": pa.array(names, pa.string()), "score": score, "cross_entropy": entropy, "accepted": accepted}))
+            return pa.concat_tables(tables)
+
+        grams = parts.where(F.col("grams").isNotNull()).select(F.col("slice").alias("of"), F.explode("grams").alias("gram"))
         cost = self.priced(grams).select("gram", F.col("cost").cast("array<float>").alias("cost"))
-        costs = grams.join(cost.hint("merge"), "gram").select("of", "pos", "cost")
-        # The numbers of the n-grams have done their work: the slices need only the costs.
-        slim = parts.withColumn("grams", F.when(F.col("grams").isNotNull(), F.array().cast("array<string>")))
-        return slim.groupBy("slice").cogroup(costs.groupBy("of")).applyInArrow(meet, out)
+        costs = grams.join(cost.hint("merge"), "gram").select("of", "gram", "cost")
+        return parts.drop("grams").groupBy("slice").cogroup(costs.groupBy("of")).applyInArrow(meet, out)
 
 
 def train(docs: DataFrame) -> Model:
