@@ -316,6 +316,16 @@ def test_letters_of_all_planes_are_told_apart():
     assert len(set(grams.tolist())) == len(grams)
 
 
+def test_word_numbers_of_texts_come_back_in_order():
+    r = np.random.default_rng(0)
+    for most in (3, 70_000, 10**6):
+        for ends in ([0], [0, 0], [0, 5], [0, 0, 4, 4, 900, 900]):
+            ends = np.array(ends)
+            codes = r.integers(0, most, ends[-1])
+            got = langid._unpacked(*langid._packed(codes, ends), ends)
+            assert got.tolist() == [c for a, b in zip(ends, ends[1:]) for c in sorted(codes[a:b].tolist())]
+
+
 def test_languages_do_not_depend_on_slices(spark, monkeypatch):
     """Many small slices give what one slice gives, words and n-grams beyond one byte's numbers included."""
     docs = lang_docs(spark, 400).coalesce(1)

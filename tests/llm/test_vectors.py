@@ -97,3 +97,11 @@ def test_recall_on_vectors_without_structure(spark):
     assert hits / (200 * 20) >= 0.9
     assert (got.groupby("query_id").size() == 20).all()
     assert np.allclose(got.score, [x[a] @ x[b] for a, b in zip(got.query_id, got.vec_id, strict=True)], atol=1e-12)
+
+
+@pytest.mark.parametrize("n", [5, 10, 15, 21, 30, 40])
+def test_small_tables_give_as_many_neighbours_as_there_are(spark, n):
+    r = np.random.default_rng(n)
+    got = ann.nearest_vectors(table(spark, [(i, r.standard_normal(64).tolist(), 0) for i in range(n)])).collect()
+    for q in range(0, n, 20):
+        assert sorted(x["rank"] for x in got if x["query_id"] == q) == list(range(1, min(20, n - 1) + 1))

@@ -5,8 +5,8 @@ that the largest inner product with a query is the smallest distance. A table cu
 projections into slots of width ``WIDTH``; the slots are the bucket. A query visits the occupied
 buckets of all tables, not its own only, in the order of their estimated success: the nearer a
 bucket's middle lies to the query's projections, the likelier it holds near vectors. It stops when
-the visited buckets hold ``VISITED`` times as many entries as the block has vectors, merges the
-tables' candidates, and ranks them by the exact inner product of the original vectors.
+the visited buckets hold ``VISITED`` times as many entries as the block has vectors, and goes on where fewer
+identifiers than asked for are met; it merges the tables' candidates, and ranks them by the exact inner product of the original vectors.
 
 Rows and queries meet in blocks (``topk.search``). Every row is indexed.
 """
@@ -78,6 +78,10 @@ class Block:
         found = np.ones((len(queries), len(self.rows)), bool)
         if len(some):
             found[some] = self.candidates(wide[some], visited)
+        enough = min(k + 1, len(self.ids))
+        while len(some := some[found[some] @ self.copies < enough]):
+            visited *= 2  # beyond the number of tables every bucket is visited
+            found[some] = self.candidates(wide[some], visited)
         few = np.minimum(self.copies, k + 1)  # of equal vectors only the smallest identifiers can be among the best
         for i in range(len(asked)):
             near = np.flatnonzero(found[i])
@@ -100,8 +104,8 @@ def search_nearest(
     """Each query's ``k`` nearest found by inner product, among all rows but its own.
 
     Both tables hold ``vec_id`` and ``v`` (doubles). Returns query_id, rank, vec_id and score, the
-    inner product in double precision; ties go to the smaller vec_id. Fewer candidates than ``k``
-    only where a block visits fewer. Empty tables give no rows.
+    inner product in double precision; ties go to the smaller vec_id. All candidates, if there are
+    fewer than ``k``. Empty tables give no rows.
     """
     largest = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     norm = float(largest) ** 0.5 * (1 + 1e-12) if largest else 1.0

@@ -169,10 +169,24 @@ class Judge:
         return names, score, entropy, (size > 0) & (entropy <= most)
 
 
-def _packed(codes: np.ndarray, most: int) -> tuple[bytes, int]:
-    """Numbers below ``most`` in as few bytes as hold them, compressed, and how many those are."""
-    width = 2 if most <= 1 << 16 else 4
-    return pa.compress(codes.astype(f"<u{width}").tobytes(), codec="zstd", asbytes=True), width
+def _packed(codes: np.ndarray, ends: np.ndarray) -> tuple[bytes, int, int]:
+    """Each text's numbers in ascending order as steps, byte by byte of their places, compressed; bytes of a step, of all.
+
+    The order of words does not matter to their costs, and steps are small.
+    """
+    text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    steps = np.diff(np.sort(text << 32 | codes) & 0xFFFFFFFF, prepend=0)
+    firsts = ends[:-1][np.diff(ends) > 0]
+    steps[firsts] += np.append(0, np.cumsum(steps))[firsts]
+    width = 2 if steps.max(initial=0) < 1 << 16 else 4
+    planes = steps.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return pa.Codec("zstd", compression_level=3).compress(planes, asbytes=True), width, len(planes)
+
+
+def _unpacked(packed: bytes, width: int, raw: int, ends: np.ndarray) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, raw, codec="zstd", asbytes=True), np.uint8).reshape(width, -1)
+    total = np.append(0, np.cumsum(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)))
+    return total[1:] - np.repeat(total[ends[:-1]], np.diff(ends))
 
 
 def _blocks(words: list[str]) -> Iterator[list[str]]:
@@ -191,7 +205,7 @@ def sliced(texts: DataFrame, key: str) -> DataFrame:
     """The texts as numbers of words, in slices.
 
     A row holds the texts of one batch: slice, their ``keys``, their numbers of ``words``, and in
-    ``packed`` those words as compressed unsigned integers of ``width`` bytes. A slice has one more row
+    ``packed`` those words (``_packed``), in ascending order within a text. A slice has one more row
     with its distinct ``grams`` and in ``packed`` its distinct words, in the order of their numbers,
     as compressed lines of ``raw`` bytes.
     """
@@ -213,7 +227,7 @@ def sliced(texts: DataFrame, key: str) -> DataFrame:
         found = [pa.array(grams_of(block)[0], pa.string()) for block in _blocks(words)]
         grams = pc.unique(pa.concat_arrays(found)) if found else pa.array([], pa.string())
         raw = "\n".join(words).encode("utf-8", "surrogatepass")
-        packed = pa.compress(raw, codec="zstd", asbytes=True)
+        packed = pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
         return to_batch(made, slice=[number], keys=[None], words=[None], width=[0], raw=[len(raw)], packed=[packed], grams=[grams.to_pylist()])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,9 +240,9 @@ def sliced(texts: DataFrame, key: str) -> DataFrame:
             numbers = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             numbers[new] = len(known) + np.arange(int(new.sum()))
             known = pa.concat_arrays([known, words.filter(pa.array(new))])
-            packed, width = _packed(numbers[codes], len(known))
+            packed, width, raw = _packed(numbers[codes], rows)
             keys = column(batch, key).to_pylist()
-            yield to_batch(made, slice=[number], keys=[keys], words=[np.diff(rows)], width=[width], raw=[len(codes) * width], packed=[packed], grams=[None])
+            yield to_batch(made, slice=[number], keys=[keys], words=[np.diff(rows)], width=[width], raw=[raw], packed=[packed], grams=[None])
             read += max(1, int(column(batch, "text").nbytes))
             if read >= SLICE or known.nbytes >= SLICE_WORDS:
                 yield head(number, known)
@@ -304,7 +318,7 @@ class Model(Judge):
             for row in range(part.num_rows):
                 of = part.slice(row, 1).select(["words", "width", "raw", "packed"]).to_pylist()[0]
                 ends = np.append(0, np.cumsum(np.array(of["words"], np.int64)))
-                codes = np.frombuffer(pa.decompress(of["packed"], of["raw"], codec="zstd", asbytes=True), f"<u{of['width']}")
+                codes = _unpacked(of["packed"], of["width"], of["raw"], ends)
                 if len(of["words"]) > 1:
                     cost, size = sums(word_cost[codes], ends), sums(word_size[codes], ends)
                 else:  # a text may be long: its words are counted first
