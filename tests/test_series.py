@@ -210,3 +210,84 @@ def test_grids():
     assert len(arima.search_grid()) == 15
     assert len(arima.seasonal_grid(4)) == 35
     assert all(o[6] == 4 for o in arima.seasonal_grid(4))
+
+
+def seasonal_product(n, phi, sphi, th, sth, s, seed=3):
+    """(1 - phi B)(1 - sphi B^s)(1 - B)(1 - B^s) y = (1 + th B)(1 + sth B^s) e, by plain loops."""
+    e = np.random.default_rng(seed).normal(size=n + 200)
+    w = np.zeros(n + 200)
+    for t in range(s + 1, n + 200):
+        ar = phi * w[t - 1] + sphi * w[t - s] - phi * sphi * w[t - s - 1]
+        w[t] = ar + e[t] + th * e[t - 1] + sth * e[t - s] + th * sth * e[t - s - 1]
+    w, y = w[200:], np.zeros(n)
+    for t in range(n):
+        y[t] = w[t] if t <= s else w[t] + y[t - 1] + y[t - s] - y[t - s - 1]
+    return y
+
+
+def parameters(monkeypatch):
+    kept, plain = [], arima._least_squares
+    monkeypatch.setattr(arima, "_least_squares", lambda theta, errors: kept.append(plain(theta, errors)) or kept[-1])
+    return kept
+
+
+def test_product_of_polynomials_recovers_its_parameters(monkeypatch):
+    kept = parameters(monkeypatch)
+    y = seasonal_product(3000, 0.5, 0.3, 0.4, -0.6, 4)
+    none = np.zeros((3000, 0))
+    _, path = arima.fit_and_forecast(y, none, np.zeros((4, 0)), (1, 1, 1), (1, 1, 1, 4))
+    np.testing.assert_allclose(kept[0][1:], [0.5, 0.3, 0.4, -0.6], atol=0.08)
+    # Another unit gives the same parameters and the same forecasts in it.
+    _, other = arima.fit_and_forecast(y * 1e6 + 5, none, np.zeros((4, 0)), (1, 1, 1), (1, 1, 1, 4))
+    np.testing.assert_allclose(kept[1][1:], kept[0][1:], atol=1e-4)
+    np.testing.assert_allclose(other, path * 1e6 + 5, rtol=1e-4)
+
+
+def test_a_gap_moves_no_lag(monkeypatch):
+    kept = parameters(monkeypatch)
+    y = seasonal_product(3000, 0.5, 0.3, 0.4, -0.6, 4)
+    holes = y.copy()
+    holes[np.random.default_rng(0).choice(np.arange(50, 2900), 60, replace=False)] = np.nan
+    none = np.zeros((3000, 0))
+    _, whole = arima.fit_and_forecast(y, none, np.zeros((6, 0)), (1, 1, 1), (1, 1, 1, 4))
+    _, path = arima.fit_and_forecast(holes, none, np.zeros((6, 0)), (1, 1, 1), (1, 1, 1, 4))
+    np.testing.assert_allclose(kept[1][1:], kept[0][1:], atol=0.08)
+    np.testing.assert_allclose(path, whole, atol=1.0)
+
+
+def test_errors_follow_the_definition():
+    rng = np.random.default_rng(4)
+    y, x, theta = rng.normal(size=40), rng.normal(size=(40, 1)), np.array([0.2, 1.5, 0.4, 0.3, -0.5, 0.2])
+    shape = (1, 1, 1), (1, 1, 1, 4)
+    e, _ = arima._recursion(theta[:, None], y, x, np.zeros(40, bool), shape)
+    z = y - 1.5 * x[:, 0]
+    w = np.diff(z)[4:] - np.diff(z)[:-4]
+    want = np.zeros(40)
+    for t in range(10, 40):
+        v = lambda k: w[t - k - 5]
+        want[t] = v(0) - 0.4 * v(1) - 0.3 * v(4) + 0.12 * v(5) - 0.2
+        want[t] -= -0.5 * want[t - 1] + 0.2 * want[t - 4] - 0.1 * want[t - 5]
+    np.testing.assert_allclose(e[:, 0], want, atol=1e-12)
+
+
+def test_rows_missing_from_the_calendar_keep_their_place(spark):
+    y = np.tile([10.0, 20.0, 30.0, 40.0], 30) + 0.25 * np.arange(120) + np.random.default_rng(1).normal(0, 0.01, 120)
+    rows = [("a", i * 7, float(v)) for i, v in enumerate(y) if i not in (50, 51, 90)]
+    rows += [("b", i * 7, float(v)) for i, v in enumerate(y)] + [("odd", 0, 1.0), ("odd", 3, 2.0)]
+    df = spark.createDataFrame(rows, "k string, t int, y double")
+    fits = arima.fit_orders(df, None, ["k"], "t", "y", [(1, 1, 1, 0, 1, 1, 4)], 4, step=7)
+    got = {r["k"]: r for r in fits.collect()}
+    want = np.array([10.0, 20.0, 30.0, 40.0]) + 0.25 * np.arange(120, 124)
+    np.testing.assert_allclose(got["a"]["path"], want, atol=0.1)
+    np.testing.assert_allclose(got["b"]["path"], want, atol=0.1)
+    assert got["odd"]["status"] == "unusable" and got["odd"]["path"] == []
+
+
+def test_one_unusable_horizon_does_not_stop_the_others(spark):
+    rows = [(k, i, float(v), float(i % 3)) for k in ("a", "b") for i, v in enumerate(arma(80, 0.5, 0.2))]
+    later = [("a", 80, 0.0), ("a", 81, 1.0), *[("b", i, 0.0) for i in range(80, 90)]]
+    train = spark.createDataFrame(rows, "k string, t int, y double, x double")
+    fits = arima.fit_orders(train, spark.createDataFrame(later, "k string, t int, x double"), ["k"], "t", "y", [(1, 0, 1, 0, 0, 0, 1)], 3, ["x"])
+    got = {r["k"]: r for r in fits.collect()}
+    assert got["a"]["status"] == "fitted" and len(got["a"]["path"]) == 2
+    assert got["b"]["status"] == "unusable" and got["b"]["aic"] is None

@@ -1,8 +1,11 @@
 """Autoregressive moving-average models with regressors, per series and candidate.
 
-Estimation is two-stage least squares (Hannan-Rissanen), an approximation of maximum likelihood.
-Spark distributes the series and the candidate orders; one (series, order) is one group, and a
-group is as long as the series' calendar.
+A model is a regression whose errors follow a product of ordinary and seasonal polynomials. It is
+estimated by conditional least squares: two-stage least squares (Hannan-Rissanen) give a start, and
+damped Gauss-Newton steps on the product form end at the minimum. Periods without a value keep
+their place: the model's own prediction stands in for them, and their error does not count. Spark
+distributes the series and the candidate orders; one (series, order) is one group, and a group is
+as long as the series' calendar.
 """
 
 from __future__ import annotations
@@ -82,27 +85,70 @@ def _long_order(n: int, longest: int) -> int:
     return max(longest + 2, int(np.log(max(n, 2)) ** 2))
 
 
-def fit_and_forecast(y, x, x_next, order, seasonal=(0, 0, 0, 0), start: int | None = None) -> tuple[float, np.ndarray]:
-    """AIC and forecasts of one order. ``x`` and ``x_next`` are regressors or have no columns.
+#: Gauss-Newton steps at most, the relative gain below which they end, and the dampings tried at once.
+STEPS, GAIN, DAMPING = 60, 1e-10, 10.0 ** np.arange(-6, 5, 2)
+
+
+def _product(first: np.ndarray, second: np.ndarray, s: int) -> np.ndarray:
+    """Coefficients by lag of (1 + first(B)) (1 + second(B^s)); a column is one set of parameters."""
+    cols = max(first.shape[1], second.shape[1])
+    out = np.zeros((1 + len(first) + s * len(second), cols))
+    one = np.ones((1, 1))
+    for j, outer in enumerate(np.vstack([np.broadcast_to(one, (1, cols)), np.broadcast_to(second, (len(second), cols))])):
+        out[s * j] += outer
+        for i, inner in enumerate(first):
+            out[s * j + i + 1] += outer * inner
+    return out[1:]
+
+
+def _recursion(theta: np.ndarray, y, x, absent, shape) -> tuple[np.ndarray, np.ndarray]:
+    """Errors and regression residuals for each column of parameters.
 
-    ``start`` is the first observation whose error counts; orders of one series are comparable
-    when they share it. A series without at least two more such observations than coefficients is
-    too short.
+    Parameters are the constant, regressors, then p, P, q and Q coefficients. A period in ``absent``
+    takes its prediction and has no error, which also makes forecasts.
     """
-    (p, d, q), (sp, sd, sq, s) = order, seasonal
-    start = first_used(len(y), order, seasonal) if start is None else start
-    levels, w, xd = [], y.astype(float), np.vstack([x, x_next]).astype(float)
+    (p, d, q), (sp, sd, sq, s) = shape
+    cuts = np.cumsum([1, x.shape[1], p, sp, q])
+    c, beta, phi, sphi, th, sth = np.split(theta, cuts)
+    ar = _product(-phi, -sphi, s)
+    unit = -np.ones((1, 1))
     for gap in [1] * d + [s] * sd:
-        levels.append((gap, w[-gap:]))
-        w, xd = w[gap:] - w[:-gap], xd[gap:] - xd[:-gap]
-    n, steps = len(w), len(x_next)
-    xw = xd[:n]
+        ar = _product(ar, unit, gap) if gap == 1 else _product(ar, np.vstack([np.zeros((gap - 1, 1)), unit]), 1)
+    ar, ma = -ar[::-1], _product(th, sth, s)[::-1]
+    z, first = y[:, None] - x @ beta, len(ar)
+    e = np.zeros_like(z)
+    with np.errstate(over="ignore", invalid="ignore"):
+        if not absent[first:].any():
+            z_ahead = z[first:] - c
+            for k in range(first):
+                z_ahead = z_ahead - ar[k] * z[k : len(z) - first + k]
+            e[first:] = z_ahead
+            if len(ma):
+                for t in range(first, len(z)):
+                    back = min(t, len(ma))
+                    e[t] -= (ma[len(ma) - back :] * e[t - back : t]).sum(axis=0)
+            return e, z
+        for t in range(first, len(z)):
+            back = min(t, len(ma))
+            guess = c[0] + (ar * z[t - first : t]).sum(axis=0) + (ma[len(ma) - back :] * e[t - back : t]).sum(axis=0)
+            if absent[t]:
+                z[t] = guess
+            else:
+                e[t] = z[t] - guess
+    return e, z
+
+
+def _squares(e: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore", invalid="ignore"):
+        sse = (e * e).sum(axis=0)
+    return np.where(np.isfinite(sse), sse, np.inf)
+
+
+def _two_stage(w, xw, shape, start: int) -> np.ndarray:
+    """Parameters from least squares on lags and on residuals of a long autoregression."""
+    (p, _, q), (sp, _, sq, s) = shape
     ar, ma = _seasonal_lags(p, sp, s), _seasonal_lags(q, sq, s)
-    longest = max(ar + ma + [1])
-    m = _long_order(n, longest)
-    start -= d + s * sd
-    if n - start < len(ar) + len(ma) + xw.shape[1] + 3:
-        raise ValueError("series too short for this order")
+    n, m = len(w), _long_order(len(w), max(ar + ma + [1]))
     e = np.zeros(n)
     if ma:
         first = np.column_stack([np.ones(n - m), *_lagged(w, list(range(1, m + 1)), m), xw[m:]])
@@ -110,20 +156,82 @@ def fit_and_forecast(y, x, x_next, order, seasonal=(0, 0, 0, 0), start: int | No
     second = np.column_stack(
         [np.ones(n - start), *_lagged(w, ar, start), *_lagged(e, ma, start), xw[start:]]
     )
-    beta, resid, sse = _ols(second, w[start:])
-    aic = len(resid) * np.log(max(sse / len(resid), 1e-300)) + 2 * (len(beta) + 1)
-    e[start:] = resid
-    wf, ef = np.concatenate([w, np.zeros(steps)]), np.concatenate([e, np.zeros(steps)])
-    for t in range(n, n + steps):
-        row = np.concatenate([[1.0], [wf[t - k] for k in ar], [ef[t - k] for k in ma], xd[t]])
-        wf[t] = row @ beta
-    out = wf[n:]
-    for gap, tail in reversed(levels):
-        path = list(tail)
-        for v in out:
-            path.append(v + path[-gap])
-        out = np.array(path[gap:])
-    return float(aic), out
+    beta = _ols(second, w[start:])[0]
+    lags = dict(zip([("ar", k) for k in ar] + [("ma", k) for k in ma], beta[1 : 1 + len(ar) + len(ma)]))
+    own = [("ar", k) for k in range(1, p + 1)] + [("ar", s * k) for k in range(1, sp + 1)]
+    own += [("ma", k) for k in range(1, q + 1)] + [("ma", s * k) for k in range(1, sq + 1)]
+    return np.concatenate([beta[:1], beta[len(beta) - xw.shape[1] :], [lags[o] for o in own]])
+
+
+def _least_squares(theta: np.ndarray, errors) -> np.ndarray:
+    """Damped Gauss-Newton from the best column of ``theta``; ``errors`` maps columns to columns."""
+    sse = _squares(errors(theta))
+    if not np.isfinite(sse).any():
+        raise ValueError("no start has finite errors")
+    now, best = theta[:, sse.argmin()], sse.min()
+    for _ in range(STEPS):
+        h = 1e-6 * np.maximum(1.0, np.abs(now))
+        e = errors(np.column_stack([now, now[:, None] + np.diag(h)]))
+        slopes = (e[:, 1:] - e[:, :1]) / h
+        if not np.isfinite(slopes).all():
+            break
+        square, down = slopes.T @ slopes, slopes.T @ e[:, 0]
+        size = np.diag(np.maximum(np.diag(square), 1e-12))
+        tried = np.column_stack([now - np.linalg.lstsq(square + lam * size, down, rcond=None)[0] for lam in DAMPING])
+        sse = _squares(errors(tried))
+        if not sse.min() < best * (1 - GAIN):
+            break
+        now, best = tried[:, sse.argmin()], sse.min()
+    return now
+
+
+def fit_and_forecast(y, x, x_next, order, seasonal=(0, 0, 0, 0), start: int | None = None) -> tuple[float, np.ndarray]:
+    """AIC and forecasts of one order. ``x`` and ``x_next`` are regressors or have no columns.
+
+    ``y`` may hold NaN for periods without a value. ``start`` is the first observation whose error
+    counts; orders of one series are comparable when they share it. A series without at least two
+    more such observations than coefficients is too short.
+    """
+    shape = (p, d, q), (sp, sd, sq, s) = tuple(order), tuple(seasonal)
+    start = first_used(len(y), order, seasonal) if start is None else start
+    n, steps, absent = len(y), len(x_next), np.isnan(y)
+    ar, ma = _seasonal_lags(p, sp, s), _seasonal_lags(q, sq, s)
+    used = int((~absent[start:]).sum())
+    if used < len(ar) + len(ma) + x.shape[1] + 3:
+        raise ValueError("series too short for this order")
+    whole = np.interp(np.arange(n), np.flatnonzero(~absent), y[~absent]).astype(float)
+    every = np.vstack([x, x_next]).astype(float)
+    w, xw = whole, every[:n]
+    for gap in [1] * d + [s] * sd:
+        w, xw = w[gap:] - w[:-gap], xw[gap:] - xw[:-gap]
+    # Units of one spread each, so that the steps do not depend on the unit of the series.
+    spread, mid = w.std() or 1.0, whole.mean()
+    x_spread = np.where(every[:n].std(axis=0) > 0, every[:n].std(axis=0), 1.0)
+    every = (every - every[:n].mean(axis=0)) / x_spread
+    blind = np.isnan(every[n:]).any(axis=1)
+    every[n:][blind] = 0.0
+    whole, w, xw = (whole - mid) / spread, (w - (0 if d or sd else mid)) / spread, xw / x_spread
+    if not (d or sd):
+        xw = every[:n]
+    theta = _two_stage(w, xw, shape, start - d - s * sd)
+
+    def errors(params):
+        return _recursion(params, whole, every[:n], absent, shape)[0][start:]
+
+    if ma or (p and sp) or (ar and x.shape[1]) or absent.any():
+        # Further starts, for a first estimate whose errors explode: no moving average, nothing but a mean.
+        plain, flat = theta.copy(), theta.copy()
+        plain[1 + x.shape[1] + p + sp :] = 0.0
+        flat[1 + x.shape[1] :] = 0.0
+        flat[0] = w.mean()
+        theta = _least_squares(np.column_stack([theta, plain, flat]), errors)
+    sse = _squares(errors(theta[:, None]))[0] * spread**2
+    aic = used * np.log(max(sse / used, 1e-300)) + 2 * (len(theta) + 1)
+    _, z = _recursion(
+        theta[:, None], np.concatenate([whole, np.zeros(steps)]), every, np.concatenate([absent, np.ones(steps, bool)]), shape
+    )
+    ahead = z[n:, 0] + every[n:] @ theta[1 : 1 + x.shape[1]]
+    return float(aic), np.where(blind, np.nan, ahead * spread + mid)
 
 
 def _series_schema(df: DataFrame, keys: list[str], extra: str) -> T.StructType:
@@ -144,6 +252,42 @@ def difference_orders(
     return rows.groupBy(*keys).applyInPandas(one, _series_schema(df, keys, "d int, n int"))
 
 
+def _placed(pdf: pd.DataFrame, time: str, exog: list[str], horizon: int, step: int | None):
+    """Values, regressors and regressors ahead of one series, each period in its place, NaN for none."""
+    now, later = pdf[~pdf["_ahead"]], pdf[pdf["_ahead"]]
+    now = now[now["_y"].notna().cummax().astype(bool)]
+    if not len(now):
+        return np.zeros(0), np.zeros((0, len(exog))), np.zeros((min(len(later), horizon) if exog else horizon, len(exog)))
+    last = now[time].iloc[-1]
+    if len(later) > horizon or (len(later) and later[time].iloc[0] <= last):
+        raise ValueError("the horizon is too long or not after the training periods")
+
+    def places(at: pd.Series) -> np.ndarray:
+        if step is None:
+            return np.arange(len(at))
+        units = at if pd.api.types.is_numeric_dtype(at) else (pd.to_datetime(at) - pd.Timestamp(0)).dt.days
+        first = now[time].iloc[0] if units is at else (pd.Timestamp(now[time].iloc[0]) - pd.Timestamp(0)).days
+        place = (units - first).to_numpy(dtype=np.int64)
+        if (place % step).any() or (np.diff(place) <= 0).any():
+            raise ValueError("a period lies between the steps")
+        return place // step
+
+    at, ahead_at = places(now[time]), places(later[time])
+    if step is None:
+        ahead_at = ahead_at + len(now)
+    steps = (int(ahead_at[-1] - at[-1]) if len(later) else 0) if exog else horizon
+    if steps > horizon:
+        raise ValueError("the horizon is too long")
+    v, x = np.full(at[-1] + 1, np.nan), np.zeros((at[-1] + 1, len(exog)))
+    v[at], x[at] = now["_y"].to_numpy(dtype=float), now[exog].to_numpy(dtype=float)
+    v[np.isnan(x).any(axis=1)] = np.nan
+    x[np.isnan(x).any(axis=1)] = 0.0
+    ahead = np.full((steps, len(exog)), np.nan)
+    if exog and len(later):
+        ahead[ahead_at - at[-1] - 1] = later[exog].to_numpy(dtype=float)
+    return v, x, ahead
+
+
 def fit_orders(
     train: DataFrame,
     future: DataFrame | None,
@@ -154,15 +298,22 @@ def fit_orders(
     horizon: int,
     exog: list[str] = (),
     d: DataFrame | None = None,
+    step: int | None = None,
 ) -> DataFrame:
     """Fit each candidate to each series: keys, order columns, aic, forecasts, status.
 
     ``orders`` holds (p, d, q, P, D, Q, s); a ``d`` table replaces the given d per series.
     ``future`` holds the regressors of the horizon, at most ``horizon`` periods after the last
-    training period; forecasts are for those periods. Training periods without a value are left
-    out. All candidates of a series are scored on the same observations. Candidates are spread over
-    tasks when there are fewer series than tasks, and stay beside their series otherwise, so that
-    rows are not copied through a shuffle.
+    training period; forecasts are for those periods. A training period without a value, or without
+    one of its regressors, keeps its place and is not scored; those before the first value are left
+    out. With ``step``, the periods lie that many units of ``time`` (whole numbers, or days of a date)
+    apart, and periods that have no row at all keep their place too; a step ahead without regressors
+    gets no forecast. All candidates of a series are scored on the same observations. ``status`` is
+    ``fitted``; ``failed`` where the order does not fit the series, which then repeats its last value;
+    or ``unusable`` where the rows ahead are more than ``horizon``, not after the training periods, or
+    between the steps: such a series has an empty path and does not stop the others. Candidates are
+    spread over tasks when there are fewer series than tasks, and stay beside their series otherwise,
+    so that rows are not copied through a shuffle.
     """
     exog = list(exog)
     names = ["p", "d", "q", "sp", "sd", "sq", "s"]
@@ -182,30 +333,34 @@ def fit_orders(
 
     def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(time)
-        now, later = pdf[~pdf["_ahead"] & pdf["_y"].notna()], pdf[pdf["_ahead"]]
-        if len(later) > horizon or (exog and len(later) and len(now) and later[time].iloc[0] <= now[time].iloc[-1]):
-            raise ValueError(f"series {key}: the horizon must hold at most {horizon} periods, all after the training periods")
-        v = now["_y"].to_numpy(dtype=float)
-        x = now[exog].to_numpy(dtype=float) if exog else np.zeros((len(now), 0))
-        ahead = later[exog].to_numpy(dtype=float) if exog else np.zeros((horizon, 0))
         all_ = [list(o) for o in orders]
         if own_d:
             all_ = [[o[0], int(pdf["_d"].iloc[0]), *o[2:]] for o in all_]
+        asked = [all_[int(pdf["_cid"].iloc[0])]] if few else all_
+        names_ = [*keys, *names, "aic", "path", "status"]
+        try:
+            v, x, ahead = _placed(pdf, time, exog, horizon, step)
+        except ValueError:
+            return pd.DataFrame([(*key[: len(keys)], *o, None, [], "unusable") for o in asked], columns=names_)
+        known = np.isfinite(ahead).all(axis=1)
         # Orders that fit the series at all; the common start is the latest among those.
         starts = [first_used(len(v), tuple(o[:3]), tuple(o[3:])) for o in all_]
-        fits = [n for n, o in zip(starts, all_) if len(v) - n >= 3 + x.shape[1] + sum(map(len, (_seasonal_lags(o[0], o[3], o[6]), _seasonal_lags(o[2], o[5], o[6]))))]
-        start, out = max(fits, default=0), []
-        for o in [all_[int(pdf["_cid"].iloc[0])]] if few else all_:
+        least = [3 + x.shape[1] + sum(map(len, (_seasonal_lags(o[0], o[3], o[6]), _seasonal_lags(o[2], o[5], o[6])))) for o in all_]
+        start = max((n for n, k in zip(starts, least) if np.isfinite(v[n:]).sum() >= k), default=0)
+        out = []
+        for o in asked:
             try:
                 own = first_used(len(v), tuple(o[:3]), tuple(o[3:]))
                 aic, path = fit_and_forecast(v, x, ahead, tuple(o[:3]), tuple(o[3:]), max(own, start))
-                status = "fitted" if np.isfinite(path).all() and np.isfinite(aic) else "failed"
+                status = "fitted" if np.isfinite(path[known]).all() and np.isfinite(aic) else "failed"
             except (ValueError, np.linalg.LinAlgError):
                 status = "failed"
             if status == "failed":
-                aic, path = None, np.full(len(ahead), v[-1] if len(v) else np.nan)
-            out.append((*key[: len(keys)], *o, aic, path.tolist(), status))
-        return pd.DataFrame(out, columns=[*keys, *names, "aic", "path", "status"])
+                seen = v[np.isfinite(v)]
+                aic, path = None, np.full(len(ahead), seen[-1] if len(seen) else np.nan)
+            path = [float(f) if np.isfinite(f) else None for f in path]
+            out.append((*key[: len(keys)], *o, aic, path, status))
+        return pd.DataFrame(out, columns=names_)
 
     schema = _series_schema(
         train, keys, ", ".join(f"{n} int" for n in names) + ", aic double, path array<double>, status string"
