@@ -86,7 +86,7 @@ def _long_order(n: int, longest: int) -> int:
 
 
 #: Gauss-Newton steps at most, the relative gain below which they end, and the dampings tried at once.
-STEPS, GAIN, DAMPING = 60, 1e-10, 10.0 ** np.arange(-6, 5, 2)
+STEPS, GAIN, DAMPING = 30, 1e-6, 10.0 ** np.arange(-6, 5, 2)
 
 
 def _product(first: np.ndarray, second: np.ndarray, s: int) -> np.ndarray:
@@ -114,27 +114,26 @@ def _recursion(theta: np.ndarray, y, x, absent, shape) -> tuple[np.ndarray, np.n
     unit = -np.ones((1, 1))
     for gap in [1] * d + [s] * sd:
         ar = _product(ar, unit, gap) if gap == 1 else _product(ar, np.vstack([np.zeros((gap - 1, 1)), unit]), 1)
-    ar, ma = -ar[::-1], _product(th, sth, s)[::-1]
+    ar, ma = -ar, _product(th, sth, s)[::-1]
     z, first = y[:, None] - x @ beta, len(ar)
     e = np.zeros_like(z)
     with np.errstate(over="ignore", invalid="ignore"):
-        if not absent[first:].any():
-            z_ahead = z[first:] - c
-            for k in range(first):
-                z_ahead = z_ahead - ar[k] * z[k : len(z) - first + k]
-            e[first:] = z_ahead
-            if len(ma):
-                for t in range(first, len(z)):
-                    back = min(t, len(ma))
-                    e[t] -= (ma[len(ma) - back :] * e[t - back : t]).sum(axis=0)
-            return e, z
-        for t in range(first, len(z)):
+        # What lags of z predict, at once; a prediction that stands in for a value is passed on to its lags.
+        lagged = np.zeros((len(z) - first, z.shape[1])) + c
+        for k, weight in enumerate(ar, 1):
+            lagged += weight * z[first - k : len(z) - k]
+        e[first:] = z[first:] - lagged
+        for t in range(first, len(z)) if len(ma) else first + np.flatnonzero(absent[first:]):
             back = min(t, len(ma))
-            guess = c[0] + (ar * z[t - first : t]).sum(axis=0) + (ma[len(ma) - back :] * e[t - back : t]).sum(axis=0)
-            if absent[t]:
-                z[t] = guess
-            else:
-                e[t] = z[t] - guess
+            pushed = (ma[len(ma) - back :] * e[t - back : t]).sum(axis=0) if back else 0.0
+            if not absent[t]:
+                e[t] -= pushed
+                continue
+            moved = lagged[t - first] + pushed - z[t]
+            z[t], e[t] = z[t] + moved, 0.0
+            after = ar[: len(z) - t - 1] * moved
+            lagged[t + 1 - first : t + 1 - first + len(after)] += after
+            e[t + 1 : t + 1 + len(after)] -= after
     return e, z
 
 
@@ -396,6 +395,7 @@ def best_order(fits: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def order_forecast(best: DataFrame, keys: list[str]) -> DataFrame:
-    return best.select(*keys, "status", F.posexplode("path").alias("_i", "y_pred")).select(
+    """Forecast steps; a series without any keeps one row with its status and no step."""
+    return best.select(*keys, "status", F.posexplode_outer("path").alias("_i", "y_pred")).select(
         *keys, (F.col("_i") + 1).alias("step"), "y_pred", "status"
     )
