@@ -291,3 +291,38 @@ def test_one_unusable_horizon_does_not_stop_the_others(spark):
     got = {r["k"]: r for r in fits.collect()}
     assert got["a"]["status"] == "fitted" and len(got["a"]["path"]) == 2
     assert got["b"]["status"] == "unusable" and got["b"]["aic"] is None
+
+
+def test_searched_weights_reach_the_minimum_of_a_fine_grid(spark):
+    rng = np.random.default_rng(11)
+    data = {}
+    for i in range(100):
+        drift = np.cumsum(rng.normal(0, [0.05, 1, 3][i % 3], 50))
+        data[f"s{i}"] = ((100 + drift + rng.normal(0, 2, 50)) * 10.0 ** (i % 7 - 3)).tolist()
+    arrays = forecast.series_arrays(series_frame(spark, data), ["k"], "t", "y").cache()
+    fine = np.linspace(0, 1, 41)
+    for trend in (None, "add"):
+        got = forecast.smooth(arrays, ["k"], forecast.smoothing_grid(trend, None, False, 1), search=True).toPandas()
+        assert len(got) == 100
+        a, b = (m.ravel() for m in np.meshgrid(fine, fine if trend else [0.0]))
+        for r in got.itertuples():
+            y = np.array(data[r.k])
+            level, slope, sse = np.full(len(a), y[0]), np.full(len(a), (y[1] - y[0]) if trend else 0.0), np.zeros(len(a))
+            for v in y[1:]:
+                base = level + slope
+                sse += (v - base) ** 2
+                new = a * v + (1 - a) * base
+                level, slope = new, b * (new - level) + (1 - b) * slope
+            assert r.sse <= sse.min() * (1 + 1e-4), (r.k, trend, r.alpha, r.beta)
+
+
+def test_searched_weights_never_lose_to_their_starts(spark, frame):
+    arrays = forecast.series_arrays(frame, ["k"], "t", "y")
+    for variant in [("add", "add", True, 4), (None, "add", False, 4), ("add", "mul", False, 4), ("mul", None, True, 1)]:
+        grid = forecast.smoothing_grid(*variant)
+        cols = ["k", "sse", "phi"]
+        plain = forecast.pick_best(forecast.smooth(arrays, ["k"], grid), ["k"], "sse").select(*cols).toPandas().set_index("k")
+        got = forecast.smooth(arrays, ["k"], grid, search=True).select(*cols).toPandas().set_index("k")
+        both = plain.join(got, rsuffix="_got").dropna()
+        assert len(both) == 2 and (both["sse_got"] <= both["sse"] * (1 + 1e-12)).all()
+        assert both["phi_got"].between(0.8, 1.0).all()

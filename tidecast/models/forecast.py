@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from tidecast.models import simplex
 from tidecast.session import task_count
 
 MAX_POINTS = 200_000
@@ -107,9 +108,12 @@ def _array_mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
-def smooth(arrays: DataFrame, keys: list[str], candidates: list[tuple]) -> DataFrame:
+def smooth(arrays: DataFrame, keys: list[str], candidates: list[tuple], search: bool = False) -> DataFrame:
     """Run every candidate over every series: final state, squared error, AIC, status.
 
+    With ``search``, the candidates of one variant (trend, season, damping) are the starts of a
+    search for its continuous weights, and every variant gives one row.
+
     Errors count from the longest season among the candidates that fit the series, so that all of
     them are compared on the same observations. A series too short for every candidate gets one
     row with status ``fallback`` that repeats its last value.
@@ -122,14 +126,23 @@ def smooth(arrays: DataFrame, keys: list[str], candidates: list[tuple]) -> DataF
     parts = task_count(spark)
     any_mul = any("mul" in (c[0], c[1]) for c in candidates)
     fields = [f.name for f in CANDIDATE_SCHEMA]
-    grid = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(c, fields)]) for c in candidates])
+    heads, tails = fields[:4], fields[4:]
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(c, fields)]) for c in candidates]
+    if search:
+        # Errors can have several minima: a search from each level weight and trend weight (without a
+        # trend, season weight).
+        variants: dict[tuple, dict] = {}
+        for c in candidates:
+            variants.setdefault(c[:4], {}).setdefault((c[4], c[5] if c[0] != "none" else c[6]), []).append(c[4:])
+        structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(head, heads)]) for head in variants]
+    grid = F.array(*structs)
     few = arrays.select(*keys).limit(parts + 1).count() <= parts
     if few:
         cand = F.posexplode(grid).alias("_cid", "_c")
         rows = arrays.select(*keys, "ys", cand).repartition(parts, *keys, "_cid")
     else:
         rows = arrays.repartition(parts, *keys).select(*keys, "ys", F.posexplode(grid).alias("_cid", "_c"))
-    rows = rows.select(*keys, "_cid", *[F.col(f"_c.{n}").alias(n) for n in fields], "ys")
+    rows = rows.select(*keys, "_cid", *[F.col(f"_c.{n}").alias(n) for n in (heads if search else fields)], "ys")
 
     # Multiplicative parts need positive values: shift, and shift the forecast back.
     mul_season, mul_trend = F.col("seasonal") == "mul", F.col("trend") == "mul"
@@ -155,9 +168,9 @@ def smooth(arrays: DataFrame, keys: list[str], candidates: list[tuple]) -> DataF
         b0 = F.when(mul_trend, ratio).otherwise(b0)
         q0 = F.when(mul_season, F.transform(first, lambda v: F.try_divide(v, F.col("_m1")))).otherwise(q0)
     q0 = F.when(F.col("seasonal") == "none", F.array(F.lit(0.0))).otherwise(q0)
-    a, b, g, phi = (F.col(c) for c in ("alpha", "beta", "gamma", "phi"))
 
-    def step(state, y):
+    def step(weights, state, y):
+        a, b, g, phi = (weights[c] for c in tails)
         level, slope_, queue = state["l"], state["b"], state["q"]
         head = queue[0]
         base = level + phi * slope_
@@ -186,7 +199,11 @@ def smooth(arrays: DataFrame, keys: list[str], candidates: list[tuple]) -> DataF
     start = F.struct(
         F.col("_m1").alias("l"), b0.cast("double").alias("b"), q0.alias("q"), F.lit(0.0).alias("sse"), s.cast("int").alias("i")
     )
-    folded = F.aggregate(F.slice("ys", s + 1, F.col("n")), start, step)
+    later = F.slice("ys", s + 1, F.col("n"))
+    if search:
+        rows = simplex.searched(rows.withColumn("_start", start), {h: list(w.values()) for h, w in variants.items()})
+    weights_ = {n: F.col(n) for n in tails}
+    folded = F.aggregate(later, start, lambda state, y: step(weights_, state, y))
     used = (F.col("n") - F.col("_from")).cast("double")
     weights = (
         1
@@ -257,7 +274,8 @@ def smoothing_auto(
 ) -> DataFrame:
     """Best additive smoothing model per series by AIC; too short a series repeats its last value.
 
-    ``status`` says which of the two a forecast is.
+    Weights are searched for each variant. ``status`` says which of the two a forecast is.
     """
     arrays = series_arrays(df, keys, time, y)
-    return smoothing_forecast(pick_best(smooth(arrays, keys, all_variants(season)), keys), keys, horizon)
+    fitted = smooth(arrays, keys, all_variants(season), search=True)
+    return smoothing_forecast(pick_best(fitted, keys), keys, horizon)

@@ -52,6 +52,23 @@ def simple_smoothing(spark, sf):
     return best.select("event_type", "alpha", r("sse", 2).alias("sse"), r("level", 4).alias("level"))
 
 
+@query(
+    "k03_searched_weights",
+    f"""WITH RECURSIVE s AS (SELECT event_type, y, row_number() OVER (PARTITION BY event_type ORDER BY t) AS i FROM {F5} x),
+        a AS (SELECT i / 4000.0::DOUBLE AS alpha FROM (SELECT unnest(generate_series(0, 4000)) AS i) g),
+        f AS (SELECT event_type, alpha, cast(1 AS bigint) AS i, y AS level, 0.0::DOUBLE AS sse FROM s, a WHERE i = 1
+          UNION ALL SELECT f.event_type, f.alpha, s.i, f.alpha * s.y + (1 - f.alpha) * f.level, f.sse + (s.y - f.level) * (s.y - f.level)
+          FROM f JOIN s ON s.event_type = f.event_type AND s.i = f.i + 1),
+        e AS (SELECT event_type, alpha, max(i) - 1 AS n, arg_max(sse, i) AS sse FROM f GROUP BY 1, 2)
+        SELECT event_type, round(sqrt(min(sse / n)), 1) + 0.0 AS rmse FROM e GROUP BY 1""",
+)
+def searched_weights(spark, sf):
+    """The error that the searched weight reaches; the SQL tries every weight of a fine grid."""
+    arrays = forecast.series_arrays(event_days(spark, sf), EVENT, "t", "y")
+    best = forecast.smooth(arrays, EVENT, forecast.smoothing_grid(None, None, False, 1), search=True)
+    return best.select("event_type", r(F.sqrt(F.col("sse") / (F.col("n") - 1)), 1).alias("rmse"))
+
+
 @query("k03_smoothing_variants")
 def smoothing_variants(spark, sf):
     arrays = forecast.series_arrays(event_days(spark, sf), EVENT, "t", "y")
@@ -60,7 +77,7 @@ def smoothing_variants(spark, sf):
         *forecast.smoothing_grid("add", "mul", False, 7),
         *forecast.smoothing_grid("add", "add", True, 7),
     ]
-    best = forecast.pick_best(forecast.smooth(arrays, EVENT, grid), EVENT)
+    best = forecast.pick_best(forecast.smooth(arrays, EVENT, grid, search=True), EVENT)
     return rounded(forecast.smoothing_forecast(best, EVENT, 14), 4)
 
 
@@ -100,11 +117,11 @@ def order_search(spark, sf):
 
 @query("k08_sarimax")
 def sarimax(spark, sf):
-    fits = arima.fit_orders(weekly(spark, sf), None, PANEL, "wk", "y", [(1, 1, 1, 1, 1, 1, 4)], 10)
+    fits = arima.fit_orders(weekly(spark, sf), None, PANEL, "wk", "y", [(1, 1, 1, 1, 1, 1, 4)], 10, step=1)
     return rounded(arima.order_forecast(fits, PANEL), 4)
 
 
 @query("k09_seasonal_order_search")
 def seasonal_order_search(spark, sf):
-    fits = arima.fit_orders(weekly(spark, sf), None, PANEL, "wk", "y", arima.seasonal_grid(4), 10)
+    fits = arima.fit_orders(weekly(spark, sf), None, PANEL, "wk", "y", arima.seasonal_grid(4), 10, step=1)
     return rounded(arima.best_order(fits, PANEL).select(*PANEL, "p", "d", "q", "sp", "sd", "sq", "s", "aic", "status"), 4)
