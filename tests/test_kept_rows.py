@@ -213,3 +213,10 @@ def test_configured_searches_draw_from_their_spaces(spark, model):
     assert all(v in space[p.name] for g in grid for p, v in g.items())
     with pytest.raises(ValueError):
         regress.configured_search("FFNN", "y")
+
+
+def test_just_below_a_half_is_rounded_down(spark):
+    rows = [(0.03 / 600,), (0.49999999999999994e-4,), (0.00005,), (-0.03 / 600,), (2.00005,), (0.00015,)]
+    got = spark.createDataFrame(rows, "x double").select(r("x", 4).alias("x")).collect()
+    want = [0.0, 0.0, 0.0001, 0.0, 2.0001, 0.0001]
+    assert [x["x"] for x in got] == want

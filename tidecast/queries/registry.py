@@ -29,11 +29,16 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# Added before ``floor`` it rounds every double below 2**52 half up.
+HALF = float.fromhex("0x1.fffffffffffffp-2")
+
+
 def r(c: Column | str, digits: int = 6) -> Column:
     """Double rounded half away from zero in binary, as the reference SQL rounds; no negative zero."""
     col = (F.col(c) if isinstance(c, str) else c).cast("double")
     scale = F.lit(10.0**digits)
-    grown = F.abs(col) * scale + 0.5
+    # The double before a half: a half itself would lift the double before 0.5 to 1, and 0.03 / 600 to 0.0001.
+    grown = F.abs(col) * scale + HALF
     # From 2**52 on a double has no decimals left to round, and ``floor`` returns a 64-bit integer.
     return F.when(grown < 2.0**52, F.signum(col) * (F.floor(grown) / scale) + F.lit(0.0)).otherwise(col)
 
