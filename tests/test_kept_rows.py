@@ -220,3 +220,13 @@ def test_just_below_a_half_is_rounded_down(spark):
     got = spark.createDataFrame(rows, "x double").select(r("x", 4).alias("x")).collect()
     want = [0.0, 0.0, 0.0001, 0.0, 2.0001, 0.0001]
     assert [x["x"] for x in got] == want
+
+
+def test_rows_are_scored_where_none_can_be_learned_from(spark):
+    df = spark.createDataFrame([(None, 1.0), (float("nan"), 2.0)], "x double, y double")
+    later = spark.createDataFrame([(None,), (3.0,)], "x double")
+    for estimator in (regress.linear("y"), regress.linear("y", "lasso"), regress.forest("y", numTrees=2, maxDepth=2), regress.boosting("y", maxIter=2)):
+        model = regress.fit(df, ["x"], estimator)
+        assert [x["status"] for x in regress.predict(model, df, status=True).collect()] == ["missing features"] * 2
+        got = {(x["x"], x["y_pred"], x["status"]) for x in regress.predict(model, later, status=True).collect()}
+        assert got == {(None, None, "missing features"), (3.0, None, "no model")}
