@@ -230,3 +230,9 @@ def test_rows_are_scored_where_none_can_be_learned_from(spark):
         assert [x["status"] for x in regress.predict(model, df, status=True).collect()] == ["missing features"] * 2
         got = {(x["x"], x["y_pred"], x["status"]) for x in regress.predict(model, later, status=True).collect()}
         assert got == {(None, None, "missing features"), (3.0, None, "no model")}
+
+
+def test_rounding_is_no_improvement():
+    assert regress.best_iteration([1606920.9663406035, 1606920.9663406017]) == 1
+    assert regress.best_iteration([4.0, 3.0, 3.0 - 1e-14, 2.9, 2.9]) == 4
+    assert regress.best_iteration([float("nan"), 2.0, 0.0, 0.0]) == 3
