@@ -236,3 +236,10 @@ def test_rounding_is_no_improvement():
     assert regress.best_iteration([1606920.9663406035, 1606920.9663406017]) == 1
     assert regress.best_iteration([4.0, 3.0, 3.0 - 1e-14, 2.9, 2.9]) == 4
     assert regress.best_iteration([float("nan"), 2.0, 0.0, 0.0]) == 3
+
+
+def test_the_weekly_panel_is_joined_once(spark):
+    from tidecast.queries.registry import weekly
+
+    plan = weekly(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan

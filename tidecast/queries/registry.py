@@ -99,7 +99,8 @@ def weekly(spark: SparkSession, sf: str) -> DataFrame:
     """r_name, c_mktsegment, wk, y, base_price, checkout_price, emailer, homepage.
 
     Each join is preceded by a roll-up to its own key, so a hot order, customer or nation is a few
-    rows by the time it is joined.
+    rows by the time it is joined. The panel is written once: fits, quantiles and outputs read it
+    again, and each would join the large tables once more.
     """
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     per_order = (
@@ -135,7 +136,7 @@ def weekly(spark: SparkSession, sf: str) -> DataFrame:
         per_nation, places.select(F.col("n_nationkey").alias("c_nationkey"), "r_name"), ["c_nationkey"], "inner"
     )
     q = F.col("q").cast("double")
-    return roll(placed, "r_name", "c_mktsegment", "wk").select(
+    panel = roll(placed, "r_name", "c_mktsegment", "wk").select(
         "r_name",
         "c_mktsegment",
         "wk",
@@ -145,6 +146,7 @@ def weekly(spark: SparkSession, sf: str) -> DataFrame:
         "emailer",
         "homepage",
     )
+    return materialise(panel, "weekly")
 
 
 # Cross-section: one row per line, with order, customer, place and part attributes.
