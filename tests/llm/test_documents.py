@@ -452,3 +452,12 @@ def test_a_doc_id_that_stands_for_several_texts_keeps_them_all(spark):
     assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (4, 1, False), (4, 1, False), (5, 5, True), (5, 5, True), (6, 1, False)]
     kept = sorted(((r["doc_id"] or 0), r["text"] or "", r["row"]) for r in near_dups.distinct_documents(docs).collect())
     assert kept == sorted([(0, a, "x"), (1, a, "x"), (1, b, "x"), (3, c, "x"), (5, "", "x")])
+
+
+def test_words_become_python_strings_a_block_at_a_time(monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 16)
+    known = [f"word{i}" for i in range(40)] + ["x" * 50, "y", "é"]
+    blocks = list(langid._blocks(pa.array(known, pa.string())))
+    assert [w for b in blocks for w in b] == known and max(len(b) for b in blocks) <= 4 and all(blocks)
+    assert list(langid._blocks(pa.array([], pa.string()))) == []
+    assert list(langid._blocks(pa.array([""], pa.string()))) == [[""]]

@@ -189,16 +189,18 @@ def _unpacked(packed: bytes, width: int, raw: int, ends: np.ndarray) -> np.ndarr
     return total[1:] - np.repeat(total[ends[:-1]], np.diff(ends))
 
 
-def _blocks(words: list[str]) -> Iterator[list[str]]:
-    """Runs of words of about ``BLOCK`` letters each."""
-    at, letters = 0, 0
-    for i, w in enumerate(words):
-        letters += len(w) + 1
-        if letters >= BLOCK:
-            yield words[at : i + 1]
-            at, letters = i + 1, 0
-    if at < len(words):
-        yield words[at:]
+def _blocks(words: pa.Array) -> Iterator[list[str]]:
+    """Runs of words of about ``BLOCK`` letters each; Python strings of one run at a time."""
+    ends = np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    cuts = np.append(np.flatnonzero(np.diff(ends // BLOCK)) + 1, len(words)) if len(words) else []
+    at = 0
+    for to in cuts:
+        yield words.slice(at, int(to) - at).to_pylist()
+        at = int(to)
+
+
+def _one_list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def sliced(texts: DataFrame, key: str) -> DataFrame:
@@ -223,12 +225,12 @@ def sliced(texts: DataFrame, key: str) -> DataFrame:
     )
 
     def head(number: int, known: pa.Array) -> pa.RecordBatch:
-        words = known.to_pylist()
-        found = [pa.array(grams_of(block)[0], pa.string()) for block in _blocks(words)]
+        found = [pa.array(grams_of(block)[0], pa.string()) for block in _blocks(known)]
         grams = pc.unique(pa.concat_arrays(found)) if found else pa.array([], pa.string())
-        raw = "\n".join(words).encode("utf-8", "surrogatepass")
+        raw = pc.binary_join(_one_list(known), "\n")[0].as_buffer()
         packed = pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
-        return to_batch(made, slice=[number], keys=[None], words=[None], width=[0], raw=[len(raw)], packed=[packed], grams=[grams.to_pylist()])
+        # Arrow all the way: as Python strings a slice's words and n-grams take ten times the memory, which a worker keeps.
+        return to_batch(made, slice=[number], keys=[None], words=[None], width=[0], raw=[raw.size], packed=[packed], grams=_one_list(grams))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, known, read = TaskContext.get().partitionId() << 32, pa.array([], pa.string()), 0
@@ -306,7 +308,8 @@ class Model(Judge):
             part = part.filter(pc.invert(some))
             known = costs.column("gram").combine_chunks()
             values = costs.column("cost").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(costs.num_rows, len(plain.langs))
-            words = pa.decompress(head["packed"], head["raw"], codec="zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n")
+            raw = pa.decompress(head["packed"], head["raw"], codec="zstd", asbytes=True)
+            words = pc.split_pattern(pa.array([raw], pa.binary()).cast(pa.string()), "\n").flatten()
             word_cost, word_size = [], []
             for block in _blocks(words):
                 grams, place, firsts = grams_of(block)

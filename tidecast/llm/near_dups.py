@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tidecast.llm.common import coded, column, slices, texts_of, to_batch, written
 from tidecast.llm.packing import ddl
 
-#: Text handled at once: every shingle becomes a few 64-bit numbers.
-SLICE = 4 << 20
+#: Text handled at once: every shingle becomes a few 64-bit numbers, about twenty times the text's bytes.
+SLICE = 1 << 20
 #: Words of a shingle, and the similarity that links, in percent.
 WORDS, PERCENT = 5, 85
 #: Minhashes of a sketch and sketches of a collection. A pair at 0.85 shares a sketch of three
