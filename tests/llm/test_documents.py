@@ -461,3 +461,13 @@ def test_words_become_python_strings_a_block_at_a_time(monkeypatch):
     assert [w for b in blocks for w in b] == known and max(len(b) for b in blocks) <= 4 and all(blocks)
     assert list(langid._blocks(pa.array([], pa.string()))) == []
     assert list(langid._blocks(pa.array([""], pa.string()))) == [[""]]
+
+
+def test_freed_memory_is_given_back_after_each_slice(monkeypatch):
+    from tidecast.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    batch = pa.record_batch({"text": ["x" * 10] * 6})
+    assert [s.num_rows for s in common.slices([batch], limit=20)] == [2, 2, 2]
+    assert len(calls) == 3
