@@ -63,3 +63,34 @@ def test_weekly_case_scores_orders_not_logarithms(spark):
     assert not math.isnan(got["LinearRegression"]["rmsle"])
     with pytest.raises(ValueError, match="several rows"):
         cases.weekly_case(weekly(spark).unionByName(weekly(spark).limit(1)), WEEKLY_PANEL)
+
+
+def test_a_model_runs_once_and_statistics_come_from_the_rows_as_they_are(spark, monkeypatch):
+    from tidecast.operators import encode
+    from tidecast.plans import experiment
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            calls.add(len(pdf))
+            yield pdf
+
+    made = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (3.0, None)], "y double, y_pred double")
+    monkeypatch.setattr(experiment, "row_predictions", lambda e, model: made.mapInPandas(counted, made.schema))
+    rows = spark.createDataFrame([(1, 1, 1.0, "test")], "series_id int, step int, y double, split string")
+    e = experiment.Experiment("c", rows, ["series_id"], 7, rows, ["step"], [], "y")
+    row = experiment.run(e, ["LinearRegression"]).first()
+    assert (row["status"], row["n"], row["n_unscored"], row["mae"]) == ("fitted", 2, 1, 0.5)
+    assert calls.value == 3
+
+    # Of several columns a plan holds each join once: what the sums are made from was not joined before.
+    read = []
+    before = encode._before
+    monkeypatch.setattr(encode, "_before", lambda df, *rest: read.append(df.columns) or before(df, *rest))
+    df = spark.createDataFrame([(i, "ab"[i % 2], "xyz"[i % 3], float(i)) for i in range(30)], "id long, c string, d string, y double")
+    got = encode.permuted_statistics(df, ["c", "d"], "y", ["id"])
+    assert read == [df.columns] * 4
+    for c in ("c", "d"):
+        want = {r["id"]: r[f"{c}_ordered"] for r in encode.permuted_statistic(df, c, "y", ["id"]).collect()}
+        assert {r["id"]: r[f"{c}_ordered"] for r in got.collect()} == pytest.approx(want)
