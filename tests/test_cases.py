@@ -94,3 +94,45 @@ def test_a_model_runs_once_and_statistics_come_from_the_rows_as_they_are(spark,
     for c in ("c", "d"):
         want = {r["id"]: r[f"{c}_ordered"] for r in encode.permuted_statistic(df, c, "y", ["id"]).collect()}
         assert {r["id"]: r[f"{c}_ordered"] for r in got.collect()} == pytest.approx(want)
+
+
+def test_the_cross_section_query_runs_the_configured_settings(spark, monkeypatch):
+    from tidecast.models import arima, boosting, minibatch, regress
+    from tidecast.plans import experiment
+    from tidecast.queries import regression
+
+    rows = [(i, 1, 1, 1, "2024-01-01", float(i % 7), float(i % 5)) for i in range(60)]
+    made = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey int, l_suppkey int, `order date (DateOrders)` string, `Order Item Total` double, `Days for shipping (real)` double")
+    monkeypatch.setattr(regression, "cross_section", lambda spark, sf: made)
+    seen, called = [], {}
+    monkeypatch.setattr(cases, "run", lambda e, models, *_: seen.append((e, models)) or made.select(F.lit(1.0).alias("mae")))
+    regression.cross_section_case(spark, "")
+    e, models = seen[0]
+    assert models == regression.ALL and len(models) == 11 and e.settings == {}
+
+    class Asked(Exception):
+        pass
+
+    def asked(name):
+        def run(*a, **conf):
+            called[name] = (a, conf)
+            raise Asked
+
+        return run
+
+    monkeypatch.setattr(minibatch, "train_minibatches", asked("net"))
+    monkeypatch.setattr(boosting, "train_boosted", asked("trees"))
+    monkeypatch.setattr(regress, "fit", lambda train, features, estimator: asked("fit")(estimator))
+    for model, name, want in (("XGBoost", "trees", boosting.SECOND_ORDER), ("CatBoost", "trees", boosting.SYMMETRIC), ("FFNN", "net", minibatch.DEEP), ("ShallowANN", "net", minibatch.SHALLOW)):
+        with pytest.raises(Asked):
+            experiment.row_predictions(e, model)
+        assert {k: called[name][1][k] for k in want} == want
+    with pytest.raises(Asked):
+        experiment.row_predictions(e, "RandomForest")
+    forest = called["fit"][0][0]
+    assert [forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()] == [200, 20, 2]
+    monkeypatch.setattr(arima, "fit_orders", lambda *a: asked("orders")(a[5]))
+    e.series = spark.createDataFrame([("all", i, float(i % 3), "train" if i < 40 else "test", None if i < 40 else i - 39) for i in range(50)], "series_id string, pos int, y double, split string, step int")
+    with pytest.raises(Asked):
+        experiment.series_forecast(e, "ARIMAX")
+    assert called["orders"][0][0] == arima.search_grid(3, 3)
